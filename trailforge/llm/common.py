@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +83,54 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+# Documents are dealt to blocks by doc_id; what a block wants to know of the corpus it asks of the buckets that own
+# ranges of 64-bit keys, and the buckets answer block by block. A key that stands in a third of all documents then
+# reaches its bucket once for each block, however often it occurs.
+
+
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """(block, doc_id, text), to be grouped by block; two plans that group it share one shuffle of the texts."""
+    blocks = shuffle_partitions(docs.sparkSession)
+    return docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def bucket_bounds(buckets: int) -> np.ndarray:
+    """The least key of each bucket but the first: equal ranges of the 64-bit keys."""
+    return np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences, byte plane by byte plane, so that shuffle compression drops the empty planes."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_ints(values: np.ndarray) -> bytes:
+    """Signed 64-bit values byte plane by byte plane, in their order."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def rows_of(table: pa.Table) -> tuple[int, list[int | None], list[bytes]]:
+    """Block number, doc_ids and texts (UTF-8, null as empty) of one block, in an order that does not hang on the shuffle's."""
+    ids, texts = table.column("doc_id").to_pylist(), table.column("text").cast(pa.large_binary()).to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0, texts[k] or b""))
+    return table.column("block")[0].as_py(), [ids[k] for k in order], [texts[k] or b"" for k in order]
+
+
+def mix(keys: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit keys (two multiply-xorshift rounds)."""
+    keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return keys ^ (keys >> np.uint64(32))

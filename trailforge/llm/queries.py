@@ -7,9 +7,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailforge.llm import bpe, linededup
+from trailforge.llm import bpe, langid, linededup, lm, unitdedup
 from trailforge.session import table
 
 
@@ -19,14 +20,55 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return os.path.join(os.path.dirname(found.origin), name)
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_documents(table(spark, sf_dir, "documents"), order=3, alpha=0.4)
+    return scored.select("doc_id", "n_words", F.round("log_score", 5).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+#: Words as the operator takes them, in SQL.
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM t),
+n1 AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+n2 AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
+n3 AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
+total AS (SELECT count(*) AS n FROM g),
+s AS (
+  SELECT g.doc_id,
+         CASE WHEN n3.n IS NOT NULL THEN n3.n / h2.n
+              WHEN n2.n IS NOT NULL THEN (CASE WHEN g.a IS NOT NULL THEN 0.4::DOUBLE ELSE 1 END) * n2.n / h1.n
+              ELSE (CASE WHEN g.a IS NOT NULL THEN 0.4::DOUBLE ELSE 1 END) * (CASE WHEN g.b IS NOT NULL THEN 0.4::DOUBLE ELSE 1 END) * n1.n / total.n END AS p
+  FROM g JOIN n1 ON n1.c = g.c CROSS JOIN total
+  LEFT JOIN n2 ON n2.b = g.b AND n2.c = g.c LEFT JOIN n1 h1 ON h1.c = g.b
+  LEFT JOIN n3 ON n3.a = g.a AND n3.b = g.b AND n3.c = g.c LEFT JOIN n2 h2 ON h2.b = g.a AND h2.c = g.b
+), sums AS (SELECT doc_id, sum(ln(p)) AS x FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, round(coalesce(x, 0), 5) AS log_score, round(x / len(w), 6) AS mean_log_score
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    said = langid.predict_documents(docs, langid.fit(docs))
+    return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest_columns(linededup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1))
 
 
+def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = unitdedup.dedup_units(table(spark, sf_dir, "documents"), min_words=8)
+    return cut.select("doc_id", "n_chars", "n_removed", "n_spans", "removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line
@@ -46,6 +88,9 @@ FROM keyed LEFT JOIN frequent f USING (k) GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm": op1_lm,
+        "op4_langid": op4_langid,
+        "op8_unit_dedup": op8_unit_dedup,
         "op2_bpe": op2_bpe,
         "op7_line_dedup": op7_line_dedup,
         "pipeline": corpus_pipeline.run,
@@ -54,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {
+        "op1_lm": OP1_SQL,
         "op7_line_dedup": OP7_SQL,
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
