@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailforge.llm import bpe, langid, linededup, lm, unitdedup
+from trailforge.llm import bpe, decontam, langid, linededup, lm, unitdedup
 from trailforge.session import table
 
 
@@ -60,6 +60,32 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13)
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+win AS (
+  SELECT item_id, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s, w FROM b WHERE len(w) > 0
+), grams AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM win),
+places AS (
+  SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM grams) WHERE len(w) >= n
+), hit AS (
+  SELECT doc_id, p, grams.n, item_id
+  FROM (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM places) x JOIN grams ON grams.n = x.n AND grams.g = x.g
+), hitwords AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS k FROM hit) GROUP BY doc_id),
+hititems AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS list
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hitwords USING (doc_id) LEFT JOIN hititems USING (doc_id)
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest_columns(linededup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1))
 
@@ -90,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm": op1_lm,
         "op4_langid": op4_langid,
+        "op5_decontam": op5_decontam,
         "op8_unit_dedup": op8_unit_dedup,
         "op2_bpe": op2_bpe,
         "op7_line_dedup": op7_line_dedup,
@@ -100,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     found = {
         "op1_lm": OP1_SQL,
+        "op5_decontam": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
