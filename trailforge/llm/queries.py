@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailforge.llm import bpe, decontam, langid, linededup, lm, unitdedup
+from trailforge.llm import bpe, decontam, langid, linededup, lm, packing, unitdedup
 from trailforge.session import table
 
 
@@ -86,6 +86,10 @@ FROM d LEFT JOIN hitwords USING (doc_id) LEFT JOIN hititems USING (doc_id)
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest_columns(linededup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1))
 
@@ -117,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm": op1_lm,
         "op4_langid": op4_langid,
         "op5_decontam": op5_decontam,
+        "op6_packing": op6_packing,
         "op8_unit_dedup": op8_unit_dedup,
         "op2_bpe": op2_bpe,
         "op7_line_dedup": op7_line_dedup,
