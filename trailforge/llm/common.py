@@ -134,3 +134,30 @@ def mix(keys: np.ndarray) -> np.ndarray:
     keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     return keys ^ (keys >> np.uint64(32))
+
+
+def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each row's least connected row, as far as known) after joining rows a[k] and b[k]."""
+    while True:
+        low = np.minimum(labels[a], labels[b])
+        new = labels.copy()
+        np.minimum.at(new, labels[a], low)
+        np.minimum.at(new, labels[b], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        new = new[labels]
+        if np.array_equal(new, labels):
+            return labels
+        labels = new
+
+
+def runs_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, size): a sort of the rows by the columns, and where each run of equal rows starts in it and how long it is."""
+    order = np.lexsort(columns[::-1])
+    change = np.zeros(len(order), bool)
+    change[:1] = True
+    for c in columns:
+        s = c[order]
+        change[1:] |= s[1:] != s[:-1]
+    first = np.flatnonzero(change)
+    return order, first, np.diff(np.r_[first, len(order)])

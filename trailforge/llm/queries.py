@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailforge.llm import bpe, decontam, langid, linededup, lm, packing, unitdedup
+from trailforge.llm import bpe, decontam, embdedup, langid, linededup, lm, packing, unitdedup
 from trailforge.session import table
 
 
@@ -99,6 +99,28 @@ def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_chars", "n_removed", "n_spans", "removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line
@@ -122,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_langid": op4_langid,
         "op5_decontam": op5_decontam,
         "op6_packing": op6_packing,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op8_unit_dedup": op8_unit_dedup,
         "op2_bpe": op2_bpe,
         "op7_line_dedup": op7_line_dedup,
@@ -132,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     found = {
         "op1_lm": OP1_SQL,
+        "op9_embedding_dedup": OP9_SQL,
         "op5_decontam": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
     }
