@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailforge.llm import bpe, decontam, embdedup, langid, linededup, lm, packing, unitdedup
+from trailforge.llm import bpe, decontam, embdedup, jaccard, langid, linededup, lm, packing, unitdedup
 from trailforge.session import table
 
 
@@ -121,6 +121,10 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = c
 FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), size=5, threshold=0.8)
+
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line
@@ -145,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontam": op5_decontam,
         "op6_packing": op6_packing,
         "op9_embedding_dedup": op9_embedding_dedup,
+        "op3_ngram_jaccard": op3_ngram_jaccard,
         "op8_unit_dedup": op8_unit_dedup,
         "op2_bpe": op2_bpe,
         "op7_line_dedup": op7_line_dedup,
