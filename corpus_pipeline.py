@@ -1,15 +1,72 @@
-"""A corpus pipeline over documents: each stage reads what the stage before it kept."""
+"""A corpus pipeline over documents: each stage reads what the stage before it kept.
+
+Language ID lets go of documents without letters or without a language that is likelier than not; line dedup takes
+frequent lines out of texts; the Jaccard join keeps the first document of each class; decontamination lets go of
+documents that the benchmark covers; encoding returns ids and digests of what is left. All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailforge.llm import bpe, decontam, jaccard, langid, linededup
+from trailforge.llm.bpe import tokenizer_path
+from trailforge.llm.common import checkpoint
+from trailforge.session import table
+
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = tuple(c for c in docs.columns if c not in ("doc_id",))
+    said = langid.predict_documents(docs.withColumn("doc_id", F.col("doc_id").cast("long")), langid.fit(docs), carry=others, prefix="__")
+    return said.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kept = linededup.dedup_lines(docs, min_docs=10, min_chars=1, carry=others, prefix="__")
+    changed = {"text": F.when(F.col("__n_dropped") > 0, F.col("__kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("__n_dropped") > 0, F.char_length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumns(changed).select(*docs.columns)
+
+
+def keep_first_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of least doc_id of each class stays; of rows that are equal in doc_id and shingles, all of them do."""
+    classes = jaccard.jaccard_join(docs, size=5, threshold=0.8)
+    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = decontam.judge_documents(docs, table(spark, sf_dir, "benchmark"), n=13)
+    gone = judged.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("line_dedup", drop_frequent_lines),
+    ("jaccard_join", keep_first_of_class),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+#: The network and the encoder are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; each stage's rows are cut off in the shared checkpoint folder before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = checkpoint(docs)
     return docs

@@ -176,15 +176,19 @@ def fit(docs: DataFrame, per_language: int = WINDOWS_PER_LANGUAGE, seed: int = 1
     return train(windows, labels, languages, seed=seed)
 
 
-def predict_documents(docs: DataFrame, network: Network, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *carry, lang_pred, score) of every whole text: a map over the scan, without a shuffle."""
+def predict_documents(docs: DataFrame, network: Network, carry: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """(doc_id, *carry, lang_pred, score) of every whole text: a map over the scan, without a shuffle.
+
+    prefix: put before the two new names, for tables that have columns of these names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(network)  # some hundred kilobytes, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared.value)
         for batch in batches:
             said, score = predictor.predict(batch.column("text").cast(pa.binary()).to_pylist())
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", *carry)), pa.array(said, pa.string()), pa.array(score, pa.float64())], names=["doc_id", *carry, "lang_pred", "score"])
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", *carry)), pa.array(said, pa.string()), pa.array(score, pa.float64())], names=["doc_id", *carry, *new])
 
+    new = [f"{prefix}lang_pred", f"{prefix}score"]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
-    return docs.select("doc_id", *[c for c in carry if c != "text"], "text").mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select("doc_id", *[c for c in carry if c != "text"], "text").mapInArrow(run, f"{kinds}, `{new[0]}` string, `{new[1]}` double")

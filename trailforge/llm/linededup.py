@@ -122,22 +122,25 @@ def _long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "replace")) >= min_chars)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *carry, n_lines, n_dropped, kept): each document without the lines that min_docs documents or more have.
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, carry: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """(doc_id, *carry, text, n_lines, n_dropped, kept): each document without the lines that min_docs documents or more have.
+
+    prefix: put before the three new names, for tables that have columns of these names.
 
     Lines meet the frequent digests in a join that Spark may split where one line is hot, and each document's
     dropped digests come back to it by doc_id.
     """
     lines = docs.select("doc_id", "text").mapInArrow(_own_digests, "doc_id long, digest binary")
-    lost = lines.join(frequent_lines(docs, min_docs, min_chars), "digest").groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set("digest").alias("lost"))
+    lost = lines.join(frequent_lines(docs, min_docs, min_chars), "digest").groupBy(F.col("doc_id").alias("__lost_id")).agg(F.collect_set("digest").alias("__lost"))
     text_of = docs.select(F.col("doc_id"), *carry, F.col("text"))
-    joined = text_of.join(lost, text_of["doc_id"].eqNullSafe(lost["lost_id"]), "left").select("doc_id", *carry, "text", "lost")
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
+    joined = text_of.join(lost, text_of["doc_id"].eqNullSafe(lost["__lost_id"]), "left").select("doc_id", *carry, "text", "__lost")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry, "text"))
+    new = [f"{prefix}{c}" for c in ("n_lines", "n_dropped", "kept")]
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_lines, n_dropped, kept = [], [], []
-            for text, lost in zip(_as_bytes(batch.column("text")), batch.column("lost").to_pylist(), strict=True):
+            for text, lost in zip(_as_bytes(batch.column("text")), batch.column("__lost").to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")
                 if lost:
                     gone = set(lost)
@@ -147,9 +150,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, carry:
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
                 kept.append(b"\n".join(stay) if lost else text or b"")
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", *carry)), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", *carry, "n_lines", "n_dropped", "kept"])
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", *carry, "text")), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", *carry, "text", *new])
 
-    return joined.mapInArrow(drop, f"{kinds}, n_lines long, n_dropped long, kept string")
+    return joined.mapInArrow(drop, f"{kinds}, `{new[0]}` long, `{new[1]}` long, `{new[2]}` string")
 
 
 def _own_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailforge.llm import bpe, decontam, embdedup, jaccard, langid, linededup, lm, packing, unitdedup
+from trailforge.llm import bpe, decontam, embdedup, jaccard, langid, linededup, lm, packing, substring, unitdedup
+from trailforge.llm.bpe import tokenizer_path
 from trailforge.session import table
 
 
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """Where the installed package of public tokenizers has a file; it is read on the driver only."""
-    found = importlib.util.find_spec("public_tokenizers")
-    return os.path.join(os.path.dirname(found.origin), name)
-
-
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score_documents(table(spark, sf_dir, "documents"), order=3, alpha=0.4)
     return scored.select("doc_id", "n_words", F.round("log_score", 5).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
@@ -125,6 +118,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), size=5, threshold=0.8)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line
@@ -150,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op10_suffix_dedup": op10_suffix_dedup,
         "op8_unit_dedup": op8_unit_dedup,
         "op2_bpe": op2_bpe,
         "op7_line_dedup": op7_line_dedup,
