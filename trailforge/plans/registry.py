@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+MODULES = ("retrieval",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"trailforge.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
