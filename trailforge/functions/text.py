@@ -78,7 +78,7 @@ def snippet(column: Column, size: int) -> Column:
 def at_word(column: Column, size: int) -> Column:
     """Cut at the last space before size characters (X11)."""
     cut = F.left(column, F.lit(size))
-    return F.when(F.length(column) > size, F.regexp_replace(cut, r"\s+\S*$", "")).otherwise(column)
+    return F.when(F.length(column) > size, F.regexp_replace(cut, r"\s+\S*\z", "")).otherwise(column)
 
 
 #: What a caption may start with and a hint leaves out.
