@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,5 +42,13 @@ def views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | list[str] =
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trailforge-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def repo_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
