@@ -37,3 +37,18 @@ def rank_histogram(best: DataFrame) -> DataFrame:
     bins = F.broadcast(spark.createDataFrame(BINS, "bin string, lo long, hi long"))
     rank = best.select(F.coalesce(F.col("rank").cast("long"), F.lit(101)).alias("r"))
     return bins.join(rank, F.col("r").between(F.col("lo"), F.col("hi")), "left").groupBy("bin").agg(F.count("r").alias("n"))
+
+
+def report(rows: DataFrame, level: str, **measures: Column) -> DataFrame:
+    """Counts and measures by level and over all, in one pass with grouping sets."""
+    named = {"success": "success_rate", "steps": "mean_steps"}
+    g = rows.cube(level).agg(F.count("*").alias("n"), F.grouping(level).alias("__g"), *[F.round(m, 6).alias(named.get(k, k)) for k, m in measures.items()])
+    return g.withColumn("level", F.when(F.col("__g") == 1, "all").otherwise(F.col(level))).drop(level, "__g")
+
+
+def failure_bucket(success: Column, malformed: Column, in_candidates: Column, opened: Column, cited: Column, submitted: Column, coverage: Column) -> Column:
+    """The first thing that went wrong."""
+    return (
+        F.when(success, "Success").when(malformed, "FormatOrActionError").when(~in_candidates, "GTNotInCandidates").when(~opened, "NeverOpenedGT")
+        .when(~cited, "OpenedGTButNeverCited").when(~submitted, "CitedButNotSubmitted").when(coverage < 0.5, "SubmittedWithLowCoverage").otherwise("NeedsManualReview")
+    )
