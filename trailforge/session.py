@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,5 +51,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless they find it on the path that they share with the driver."""
+    root, context = repo_root(), spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root or getattr(context, "_trailforge_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="trailforge-")
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "trailforge"), "zip", root, "trailforge"))
+    context._trailforge_shipped = True
+
+
 def repo_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
