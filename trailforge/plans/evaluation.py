@@ -302,7 +302,7 @@ def v24(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", F.round(world.component_score((F.col("page_id") * 37) % 1500, F.lit(100), F.length("url"), F.regexp_count("html", F.lit("<p")), F.length("html"), F.lit(0)), 6).alias("score"))
 
 
-@query("V25_bbox", "SELECT p_partkey, p_size + 50 / 2.0 AS cx, p_size * 20.0 AS area FROM part")
+@query("V25_bbox", "SELECT p_partkey, p_size + 50 / 2.0 AS cx, (p_size * 20.0)::DOUBLE AS area FROM part")
 def v25(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("p_size")
     return table(spark, sf, "part").select("p_partkey", (s + 50 / F.lit(2.0)).alias("cx"), (s * F.lit(20.0)).alias("area"))
