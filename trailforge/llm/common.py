@@ -90,9 +90,12 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 # reaches its bucket once for each block, however often it occurs.
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_id, text), to be grouped by block; two plans that group it share one shuffle of the texts."""
-    blocks = shuffle_partitions(docs.sparkSession)
+def in_blocks(docs: DataFrame, each: int = 1) -> DataFrame:
+    """(block, doc_id, text), to be grouped by block; plans that group it share one shuffle of the texts.
+
+    each: blocks for each shuffle partition; more of them need less memory at a time.
+    """
+    blocks = each * shuffle_partitions(docs.sparkSession)
     return docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -16,11 +16,13 @@ or one without words has no words, score 0 and a null mean; rows that repeat a d
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trailforge.llm.common import bucket_bounds, in_blocks, mix, pack_ints, pack_sorted, rows_of, shuffle_partitions, unpack_ints, unpack_sorted
 
@@ -31,7 +33,7 @@ RESULT = "doc_id long, n_words long, log_score double, mean_log_score double"
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = found
         return found
 
@@ -46,88 +48,143 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(sizes, np.int64)
 
 
+def longer(grams: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams ending at each word: the gram of n-1 ending one earlier, then this word."""
+    return mix(mix(np.r_[np.zeros(1, np.uint64), grams[:-1]][: len(words)] + np.uint64(n)) ^ words)
+
+
 def gram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For n = 1..order: the hash of the n-gram that ends at each word and where it lies within one text."""
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     grams, own = [], words
     for n in range(1, order + 1):
-        if n > 1:  # the gram ending here = the gram of n-1 ending one earlier, then this word
-            own = mix(np.r_[np.zeros(1, np.uint64), own[:-1]][: len(words)] + np.uint64(n)) ^ words
-            own = mix(own)
+        if n > 1:
+            own = longer(own, words, n)
         grams.append((own, place >= n - 1))
     return grams
 
 
+def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the count of each."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
+class _Block:
+    """One block's n-grams with the corpus counts that it has been told so far."""
+
+    def __init__(self, table: pa.Table, replies: pa.Table | None, order: int, shift: np.uint64):
+        self.block, self.ids, texts = rows_of(table)
+        words, self.sizes = word_hashes(texts)
+        del texts
+        self.words, place = len(words), gram_place(self.sizes)
+        told: dict[int, list[tuple[int, bytes]]] = {}
+        if replies is not None:
+            for n, bucket, totals in zip(replies.column("n").to_pylist(), replies.column("bucket").to_pylist(), replies.column("totals").to_pylist(), strict=True):
+                told.setdefault(n, []).append((bucket, totals))
+        self.corpus = int(unpack_ints(told[0][0][1])[0]) if 0 in told else 0
+        self.counts: list[np.ndarray] = []
+        self.open = np.zeros(0, np.uint64)  # the hashes to be asked next
+        own = words
+        for n in range(1, order + 1):
+            if n > 1:
+                own = longer(own, words, n)
+            wanted = place >= n - 1
+            if n > 1:  # an n-gram occurs once if either part of it does, and need not be asked for
+                last = self.counts[-1] > 1
+                wanted &= last & np.r_[False, last[:-1]][: len(last)]
+            asked = own[wanted] >> shift
+            if n not in told:
+                self.open = asked
+                if replies is None or len(asked):
+                    return
+                told[n] = []
+            count = np.where(place >= n - 1, 1, 0).astype(np.int32)
+            if len(asked):
+                keys, _ = _unique(asked)
+                totals = np.concatenate([unpack_ints(x) for _, x in sorted(told[n])]).astype(np.int32)
+                count[wanted] = totals[np.searchsorted(keys, asked)]
+            self.counts.append(count)
+        self.place = place
+
+
 def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) under the model that all of docs make."""
-    buckets = shuffle_partitions(docs.sparkSession)
-    blocks = in_blocks(docs)
-
-    def ask(table: pa.Table) -> pa.Table:
-        block, _, texts = rows_of(table)
-        words, sizes = word_hashes(texts)
-        out = []
-        for n, (grams, valid) in enumerate(gram_hashes(words, sizes, order), 1):
-            keys, counts = np.unique(grams[valid], return_counts=True)
-            cuts = [0, *np.searchsorted(keys, bucket_bounds(buckets)).tolist(), len(keys)]
-            out += [(k, block, n, pack_sorted(keys[a:b]), pack_ints(counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        out += [(k, block, 0, b"", pack_ints(np.array([len(words)]))) for k in range(buckets)]  # every bucket can tell the size of the corpus
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "n", "keys", "counts"])
-
-    def answer(table: pa.Table) -> pa.Table:
+    """(doc_id, n_words, log_score, mean_log_score) under the model that all of docs make.
+
+    Counts are asked for in rounds, from words to the longest n-grams: one that holds a part that occurs once in
+    the corpus occurs once itself, so most long n-grams are known without being sent.
+    """
+    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    blocks = in_blocks(docs, 2)
+    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 1
+    shift = np.uint64(max(0, 64 - (size.bit_length() + 28)))  # chance meetings stay below one in 2**28 n-grams
+    lower = bucket_bounds(buckets) >> shift
+    asked_names = ["bucket", "block", "keys", "counts"]
+    asked_kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+    def ask(table: pa.Table, replies: pa.Table | None, n: int) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], t) for t in asked_kinds], names=asked_names)
+        own = _Block(table, replies, n, shift)
+        keys, counts = _unique(own.open)
+        cuts = [0, *np.searchsorted(keys, lower).tolist(), len(keys)]
+        out = [(k, own.block, pack_sorted(keys[a:b]), pack_ints(counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        if n == 1:  # the first bucket adds up the size of the corpus
+            out.append((0, own.block, None, pack_ints(np.array([own.words]))))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 4, asked_kinds, strict=True)], names=asked_names)
+
+    def answer(table: pa.Table, n: int) -> pa.Table:
         """Totals for each block in the order in which it asked; n = 0 stands for the number of words in the corpus."""
-        bucket = table.column("bucket")[0].as_py()
-        blocks_, ns = table.column("block").to_numpy(), table.column("n").to_numpy()
-        total = sum(int(unpack_ints(table.column("counts")[int(k)].as_py())[0]) for k in np.flatnonzero(ns == 0))
-        out = [(b, bucket, 0, pack_ints(np.array([total]))) for b in sorted(set(blocks_.tolist()))] if bucket == 0 else []
-        for n in range(1, order + 1):
-            rows = np.flatnonzero(ns == n)
-            if not len(rows):
-                continue
-            keys = [unpack_sorted(table.column("keys")[int(k)].as_py()) for k in rows]
-            counts = np.concatenate([unpack_ints(table.column("counts")[int(k)].as_py()) for k in rows])
+        bucket, rows = table.column("bucket")[0].as_py(), sorted(zip(table.column("block").to_pylist(), table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True), key=lambda r: r[0])
+        sizes = [r for r in rows if r[1] is None]
+        total = sum(int(unpack_ints(r[2])[0]) for r in sizes)
+        out = [(r[0], bucket, 0, pack_ints(np.array([total]))) for r in sizes]
+        rows = [r for r in rows if r[1] is not None]
+        if rows:
+            keys, counts = [unpack_sorted(r[1]) for r in rows], np.concatenate([unpack_ints(r[2]) for r in rows])
+            cuts = np.cumsum([0, *map(len, keys)])
             every = np.concatenate(keys)
+            del keys
             by = np.argsort(every, kind="stable")
-            head = np.ones(len(by), bool)
-            head[1:] = every[by[1:]] != every[by[:-1]]
+            head = np.r_[True, every[by[1:]] != every[by[:-1]]]
+            del every
             sums = np.add.reduceat(counts[by], np.flatnonzero(head))
             totals = np.empty(len(by), np.int64)
             totals[by] = sums[np.cumsum(head) - 1]
-            at = np.cumsum([0, *map(len, keys)])
-            out += [(int(blocks_[k]), bucket, n, pack_ints(totals[a:b])) for k, a, b in zip(rows, at, at[1:])]
+            out += [(r[0], bucket, n, pack_ints(totals[a:b])) for r, a, b in zip(rows, cuts, cuts[1:])]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 4, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "bucket", "n", "totals"])
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-        _, ids, texts = rows_of(table)
-        words, sizes = word_hashes(texts)
-        told: dict[int, list[tuple[int, bytes]]] = {}
-        for n, bucket, totals in zip(replies.column("n").to_pylist(), replies.column("bucket").to_pylist(), replies.column("totals").to_pylist(), strict=True):
-            told.setdefault(n, []).append((bucket, totals))
-        corpus = int(unpack_ints(told[0][0][1])[0])
-        counts = []
-        for n, (grams, valid) in enumerate(gram_hashes(words, sizes, order), 1):
-            count = np.zeros(len(words), np.int64)
-            if valid.any():
-                totals = np.concatenate([unpack_ints(x) for _, x in sorted(told[n])])
-                count[valid] = totals[np.unique(grams[valid], return_inverse=True)[1]]
-            counts.append(count)
-        best = counts[0] / max(1, corpus)
+        own = _Block(table, replies, order, shift)
+        best = own.counts[0] / max(1, own.corpus)
         for n in range(1, order):  # a longer context wins where its n-gram was seen
-            context = np.r_[np.zeros(1, np.int64), counts[n - 1][:-1]][: len(words)]
-            place = gram_place(sizes)
-            seen = counts[n] > 0
-            backed = np.where(place >= n, alpha * best, best)
-            best = np.where(seen, counts[n] / np.maximum(1, context), backed)
+            context = np.r_[np.zeros(1, np.int32), own.counts[n - 1][:-1]][: own.words]
+            backed = np.where(own.place >= n, alpha * best, best)
+            best = np.where(own.counts[n] > 0, own.counts[n] / np.maximum(1, context), backed)
+        logs, sizes = np.log(best), own.sizes
         ends = np.cumsum(sizes)
-        logs = np.log(best) if len(best) else best
         sums = [float(logs[b - s : b].sum()) for s, b in zip(sizes, ends)]
-        return pa.table([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array([x / s if s else None for x, s in zip(sums, sizes.tolist())], pa.float64())], names=names)
+        return pa.table([pa.array(own.ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array([x / s if s else None for x, s in zip(sums, sizes.tolist())], pa.float64())], names=names)
+
+    def asking(n: int | None) -> Callable[..., pa.Table]:
+        return (lambda table: ask(table, None, 1)) if n is None else (lambda table, replies: ask(table, replies, n))
+
+    def answering(n: int) -> Callable[[pa.Table], pa.Table]:
+        return lambda table: answer(table, n)
 
     names = ["doc_id", "n_words", "log_score", "mean_log_score"]
-    asked = blocks.groupBy("block").applyInArrow(ask, "bucket int, block int, n int, keys binary, counts binary")
-    replies = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, n int, totals binary")
+    replies = None
+    for n in range(1, order + 1):
+        kinds = "bucket int, block int, keys binary, counts binary"
+        if replies is None:
+            asked = blocks.groupBy("block").applyInArrow(asking(None), kinds)
+        else:
+            asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(asking(n), kinds)
+        told = asked.groupBy("bucket").applyInArrow(answering(n), "block int, bucket int, n int, totals binary")
+        replies = told if replies is None else replies.union(told)
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, RESULT)
 
 
