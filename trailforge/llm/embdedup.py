@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
 A vector is filled up to a power of two and rotated by three rounds of random signs and a fast Hadamard transform; the
-nearest corner of the cross-polytope (the coordinate of largest size, with its sign) is one hash. Two hashes make a
+nearest corner of the cross-polytope (the coordinate of largest size, with its sign) is one hash. Three hashes make a
 bucket of one table. Multiprobe: a vector also stands in the buckets that it would reach by its second-best corner
-in either hash. Pairs that share a bucket are verified by their cosine in double precision, in blocks of a matrix
+in one of the hashes. At 64 dimensions a pair of cosine 0.98 shares a bucket of one table with probability 0.88, so six
+tables miss three pairs in a million. Pairs that share a bucket are verified by their cosine in double precision, in blocks of a matrix
 product, and are neither kept nor sent: only how many links each vector has, and a spanning forest of them.
 A pair that meets more than once counts only in the first bucket that both stand in.
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from trailforge.llm.common import checkpoint, components, merge_labels, mix, runs_of, spread_hot
 
-TABLES, PROBES = 10, 3
+TABLES, HASHES = 6, 3
+PROBES = HASHES + 1
 HOT_BUCKET = 4096
 
 
@@ -52,7 +54,7 @@ def codes(x: np.ndarray, tables: int = TABLES, seed: int = 11) -> np.ndarray:
     out = np.empty((n, tables, PROBES), np.int64)
     for t in range(tables):
         corners = []
-        for _ in range(2):
+        for _ in range(HASHES):
             y = full
             for _ in range(3):
                 y = hadamard(y * rng.choice([-1.0, 1.0], size)) / np.sqrt(size)
@@ -61,10 +63,11 @@ def codes(x: np.ndarray, tables: int = TABLES, seed: int = 11) -> np.ndarray:
             swap = np.abs(own[:, 1]) > np.abs(own[:, 0])
             best[swap], own[swap] = best[swap][:, ::-1], own[swap][:, ::-1]
             corners.append(2 * best + (own < 0))
-        (a, b), base = corners, 2 * size
-        out[:, t, 0] = a[:, 0] * base + b[:, 0]
-        out[:, t, 1] = a[:, 1] * base + b[:, 0]
-        out[:, t, 2] = a[:, 0] * base + b[:, 1]
+        scale = (2 * size) ** np.arange(HASHES)
+        own = sum(c[:, 0] * m for c, m in zip(corners, scale, strict=True))
+        out[:, t, 0] = own
+        for k, (c, m) in enumerate(zip(corners, scale, strict=True), 1):
+            out[:, t, k] = own + (c[:, 1] - c[:, 0]) * m
     return out
 
 
@@ -73,15 +76,29 @@ def _vectors(data: list[bytes], kind: str) -> np.ndarray:
 
 
 class _Links:
-    """Links found in one task: how many each row has, by weight, and labels of what they connect."""
+    """Links found in one task: how many each row has, by weight, and labels of what they connect.
 
-    def __init__(self, x: np.ndarray, weight: np.ndarray, own_codes: np.ndarray, threshold: float):
-        self.x, self.weight, self.codes, self.threshold = x, weight, own_codes, threshold
+    t and code say in which bucket a row stands, own_codes (n, TABLES, PROBES) all buckets of its vector.
+    """
+
+    def __init__(self, x: np.ndarray, weight: np.ndarray, own_codes: np.ndarray, t: np.ndarray, code: np.ndarray, threshold: float):
+        self.x, self.weight, self.codes, self.t, self.code, self.threshold = x, weight, own_codes, t, code, threshold
         self.norm = np.sqrt((x * x).sum(1))
         self.count, self.labels = np.zeros(len(x), np.int64), np.arange(len(x))
 
-    def cross(self, rows: np.ndarray, cols: np.ndarray, table: int, code: int, triangle: bool) -> None:
-        """Look at all pairs of rows and cols (of rows, each once, if triangle)."""
+    def small(self, groups: np.ndarray) -> None:
+        """All pairs in each of many groups of one size; groups (g, size) of rows."""
+        size = groups.shape[1]
+        each = max(1, 2_000_000 // (size * max(size, self.x.shape[1])))
+        for at in range(0, len(groups), each):
+            g = groups[at : at + each]
+            x, n = self.x[g], self.norm[g]
+            near = np.matmul(x, x.transpose(0, 2, 1)) / (n[:, :, None] * n[:, None, :]) >= self.threshold
+            k, i, j = np.nonzero(near & np.triu(np.ones((size, size), bool), 1))
+            self.found(g[k, i], g[k, j])
+
+    def cross(self, rows: np.ndarray, cols: np.ndarray, triangle: bool) -> None:
+        """All pairs of rows and cols (of rows, each once, if triangle)."""
         for at in range(0, len(rows), 1024):
             a = rows[at : at + 1024]
             for to in range(at if triangle else 0, len(cols), 1024):
@@ -90,23 +107,25 @@ class _Links:
                 if triangle and to == at:
                     near = np.triu(near, 1)
                 i, j = np.nonzero(near)
-                if len(i):
-                    self.found(a[i], b[j], table, code)
+                self.found(a[i], b[j])
+
+    def found(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Count linked pairs of one bucket each, but for those that share an earlier bucket."""
+        for at in range(0, len(i), 1 << 18):
+            self._found(i[at : at + (1 << 18)], j[at : at + (1 << 18)])
 
-    def found(self, i: np.ndarray, j: np.ndarray, table: int, code: int) -> None:
-        before = np.zeros(len(i), bool)
-        for t in range(table):
+    def _found(self, i: np.ndarray, j: np.ndarray) -> None:
+        t, code, before = self.t[i], self.code[i], np.zeros(len(i), bool)
+        for table in range(TABLES):
+            earlier, here = table < t, table == t
             for p in range(PROBES):
+                own = self.codes[i, table, p]
+                useful = earlier | (here & (own < code))
                 for q in range(PROBES):
-                    before |= self.codes[i, t, p] == self.codes[j, t, q]
-        for p in range(PROBES):
-            lower = self.codes[i, table, p] < code
-            for q in range(PROBES):
-                before |= lower & (self.codes[i, table, p] == self.codes[j, table, q])
+                    before |= useful & (own == self.codes[j, table, q])
         i, j = i[~before], j[~before]
-        np.add.at(self.count, i, self.weight[j])
-        np.add.at(self.count, j, self.weight[i])
         if len(i):
+            self.count += np.bincount(i, self.weight[j], len(self.count)).astype(np.int64) + np.bincount(j, self.weight[i], len(self.count)).astype(np.int64)
             self.labels = merge_labels(self.labels, i, j)
 
 
@@ -154,23 +173,36 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, hot: int = HOT_BUC
         table = pa.Table.from_batches(whole)
         col = {c: table.column(c).to_numpy() for c in ("key", "bi", "bj", "blk", "node", "n", "t", "code")}
         order, first, size = runs_of(col["key"], col["bi"], col["bj"])
-        use = np.flatnonzero(size > 1)
-        v, own = table.column("v"), table.column("codes")
-        nodes, links, roots = [], [], []
-        for k in use.tolist():
-            at = order[first[k] : first[k] + size[k]]
-            own_codes = np.frombuffer(b"".join(own.take(pa.array(at)).to_pylist()), "<i4").reshape(len(at), TABLES, PROBES)
-            task = _Links(_vectors(v.take(pa.array(at)).to_pylist(), kind), col["n"][at], own_codes, threshold)
-            t, code = int(col["t"][at[0]]), int(col["code"][at[0]])
-            if col["bi"][at[0]] == col["bj"][at[0]]:
-                task.cross(np.arange(len(at)), np.arange(len(at)), t, code, True)
-            else:
-                blk = col["blk"][at]
-                task.cross(np.flatnonzero(blk == col["bi"][at[0]]), np.flatnonzero(blk == col["bj"][at[0]]), t, code, False)
+        keep = np.repeat(size > 1, size)
+        if not keep.any():
+            return
+        rows, size = order[keep], size[size > 1]  # only rows that have company
+        first = np.cumsum(size) - size
+        table, col = table.take(pa.array(rows)), {c: v[rows] for c, v in col.items()}
+        lengths = np.array([len(x) for x in table.column("v").to_pylist()])
+        for width in np.unique(lengths).tolist():  # vectors of one length at a time; a bucket holds one length
+            mine = np.flatnonzero(lengths == width)
+            whole_groups = lengths[first] == width
+            place = np.full(len(lengths), -1)
+            place[mine] = np.arange(len(mine))
+            part = table.take(pa.array(mine))
+            own = np.frombuffer(b"".join(part.column("codes").to_pylist()), "<i4").reshape(len(mine), TABLES, PROBES)
+            task = _Links(_vectors(part.column("v").to_pylist(), kind), col["n"][mine], own, col["t"][mine], col["code"][mine], threshold)
+            starts, sizes = place[first[whole_groups]], size[whole_groups]
+            across = (col["bi"] != col["bj"])[first[whole_groups]]
+            for n in np.unique(sizes[(sizes <= 64) & ~across]).tolist():
+                task.small(starts[(sizes == n) & ~across][:, None] + np.arange(n)[None, :])
+            for at, n, cut in zip(starts.tolist(), sizes.tolist(), across.tolist(), strict=True):
+                group = np.arange(at, at + n)
+                if cut:
+                    blk, bi = col["blk"][mine[group]], col["bi"][mine[at]]
+                    task.cross(group[blk == bi], group[blk != bi], False)
+                elif n > 64:
+                    task.cross(group, group, True)
             some = np.flatnonzero(task.count)
-            nodes.append(col["node"][at[some]]), links.append(task.count[some]), roots.append(col["node"][at[task.labels[some]]])
-        if nodes:
-            yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(links)), pa.array(np.concatenate(roots))], names=["node", "links", "root"])
+            node = col["node"][mine]
+            if len(some):
+                yield pa.record_batch([pa.array(node[some]), pa.array(task.count[some]), pa.array(node[task.labels[some]])], names=["node", "links", "root"])
 
     found = checkpoint(spread.repartition("key", "bi", "bj").mapInArrow(verify, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
