@@ -3,8 +3,8 @@
 Units are normalised (lower case, white space squeezed) and hashed; of all occurrences of a unit in the corpus the
 one of least rank (doc_id, then place) stays, the others go, and spans are offsets in the original text. Two grains:
 whole lines, and sentences, so that a passage is also found where it stands within a longer line. A unit has at
-least `min_words` words; a shorter sentence is looked up together with the sentences after it until that
-many words are reached, and only the short sentence itself is removed.
+least `min_words` words; a shorter sentence is looked up together with the sentences after it, and with those before
+it, until that many words are reached, and only the short sentence itself is removed.
 
 Defined cases: a null or empty text has no units and is kept as it is; rows that repeat a doc_id follow one another
 in the order of their texts, the first ranks first; extra columns are ignored.
@@ -36,12 +36,13 @@ def units(text: str, min_words: int) -> list[tuple[int, int, int]]:
         at += len(line) + 1
     parts = [(m.start(), m.end(), m.group().lower().split()) for m in _sentence.finditer(text) if m.end() > m.start()]
     for k, (start, end, words) in enumerate(parts):
-        ahead = k + 1
-        while len(words) < min_words and ahead < len(parts):
-            words = words + parts[ahead][2]
-            ahead += 1
-        if len(words) >= min_words:
-            found.append((xxhash.xxh3_64_intdigest(" ".join(words), 2), start, end))
+        for step in (1,) if len(words) >= min_words else (1, -1):
+            own, at = words, k + step
+            while len(own) < min_words and 0 <= at < len(parts):
+                own = own + parts[at][2] if step > 0 else parts[at][2] + own
+                at += step
+            if len(own) >= min_words:
+                found.append((xxhash.xxh3_64_intdigest(" ".join(own), 2 if len(words) >= min_words else 3 if step > 0 else 4), start, end))
     return found
 
 
