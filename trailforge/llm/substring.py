@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from trailforge.llm.common import bucket_bounds, in_blocks, mix, pack_ints, pack_sorted, rows_of, shuffle_partitions, unpack_ints, unpack_sorted
 
 GRAM, SIDE = 16, 17  # a minimiser's bytes, and those beside it in the strings that blocks ask for
-PIECE = 1 << 20  # bytes that are hashed at a time
+PIECE = 1 << 18  # bytes that are hashed at a time
+SORTED_AT_ONCE = 40_000  # suffixes in one part of a suffix array
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept binary"
 
 
@@ -50,13 +51,35 @@ def maximal_repeats(lines: list[bytes], length: int) -> list[tuple[int, list[tup
 def _repeat_groups(matrix: np.ndarray, lens: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(size, lines, places) of each maximal repeat in the rows of a zero-filled matrix."""
     width = matrix.shape[1]
-    line = np.repeat(np.arange(len(lens)), np.maximum(0, lens - length + 1))
+    starts = np.maximum(0, lens - length + 1)
+    line = np.repeat(np.arange(len(lens), dtype=np.int32), starts)
     if not len(line):
         return
-    starts = np.maximum(0, lens - length + 1)
-    place = np.arange(len(line)) - np.repeat(np.cumsum(starts) - starts, starts)
+    place = (np.arange(len(line)) - np.repeat(np.cumsum(starts) - starts, starts)).astype(np.int32)
+    padded = np.concatenate([matrix, np.zeros((len(lens), width + 8), np.uint8)], 1)
+    # only windows whose first bytes occur twice can begin a repeat; equal ones stay together in each part that is sorted
+    words = np.ndarray(padded.size - 7, "<u8", padded.data, strides=(1,))
+    base, head = line.astype(np.int64) * padded.shape[1] + place, np.zeros(len(line), np.uint64)
+    cover = sorted({*range(0, length - 7, 8), max(0, length - 8)})
+    for at in cover:
+        word = words[base + at]
+        head = mix(head ^ (word if length >= 8 else word & np.uint64((1 << 8 * length) - 1)))
+    order = np.argsort(head, kind="stable")
+    first = np.flatnonzero(np.r_[True, head[order][1:] != head[order][:-1]])
+    size = np.diff(np.r_[first, len(order)])
+    first, size = first[size > 1], size[size > 1]
+    at = 0
+    while at < len(first):
+        to = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), SORTED_AT_ONCE, "right")))
+        chosen = order[np.repeat(first[at:to] - (np.cumsum(size[at:to]) - size[at:to]), size[at:to]) + np.arange(size[at:to].sum())]
+        yield from _sorted_groups(matrix, padded, lens, length, line[chosen], place[chosen])
+        at = to
+
+
+def _sorted_groups(matrix: np.ndarray, padded: np.ndarray, lens: np.ndarray, length: int, line: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The maximal repeats that begin at the given places, from their part of the suffix array."""
+    width = matrix.shape[1]
     # the suffix array: suffixes of at least `length` bytes in order, by content and then by length
-    padded = np.concatenate([matrix, np.zeros((len(lens), width), np.uint8)], 1)
     suffix = np.lib.stride_tricks.sliding_window_view(padded, width, 1)[line, place]
     left = lens[line] - place
     order = np.argsort(suffix.view(f"S{width}").ravel(), kind="stable")
@@ -184,6 +207,7 @@ def _ranks(ids: list[int | None]) -> np.ndarray:
 
 
 def _table(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.Table:
+    pa.default_memory_pool().release_unused()
     return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=names)
 
 
@@ -192,8 +216,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     covers which also starts in a document with a smaller doc_id; removed has the spans in the original bytes."""
     if not 2 * GRAM + 2 * SIDE >= length >= GRAM + 2 * SIDE - 1:
         raise ValueError(f"length must be from {GRAM + 2 * SIDE - 1} to {2 * GRAM + 2 * SIDE}")
-    buckets = shuffle_partitions(docs.sparkSession)
-    blocks = in_blocks(docs)
+    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    blocks = in_blocks(docs, 2)
     total = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 1
     shift = np.uint64(max(0, 64 - (total.bit_length() + 10)))  # keys so long that few strings meet by chance, as the corpus grows
     lower = bucket_bounds(buckets) >> shift
@@ -290,18 +314,19 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         first = np.flatnonzero(np.r_[True, (name[order][1:] != name[order][:-1]) | (key[order][1:] != key[order][:-1])])
         copies = np.diff(np.r_[first, len(order)])
         one = order[first]  # a distinct segment each
-        seg_least = np.minimum.reduceat(least[order], first)
+        seg_least, seg_most = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
         seg_of = np.empty(len(order), np.int64)
         seg_of[order] = np.repeat(np.arange(len(first)), copies)
         told: list[tuple[np.ndarray, ...]] = []
         # a segment that several documents share is a repeat as a whole
-        told.append((np.arange(len(first)), np.zeros(len(first), np.int64), sizes[one], seg_least))
+        shared = np.flatnonzero(seg_most > seg_least)
+        told.append((shared.astype(np.int32), np.zeros(len(shared), np.uint8), sizes[one][shared].astype(np.uint8), seg_least[shared]))
         # segments of one minimiser stay together in each part that is sorted at once
         starts = np.flatnonzero(np.r_[True, key[one][1:] != key[one][:-1], True])
         at = 0
         while at < len(starts) - 1:
             to = at + 1
-            while to < len(starts) - 1 and starts[to + 1] - starts[at] <= 4000:
+            while to < len(starts) - 1 and starts[to + 1] - starts[at] <= 2000:
                 to += 1
             part = np.arange(starts[at], starts[to])
             at = to
@@ -312,8 +337,19 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             matrix = np.zeros((len(part), width), np.uint8)
             fill = np.arange(width)[None, :] < lens[:, None]
             matrix[fill] = data[np.repeat(begin[one[part]] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
-            group = [(part[line], place, np.full(len(line), size), np.full(len(line), seg_least[part[line]].min())) for size, line, place in _repeat_groups(matrix, lens, length)]
-            told += group
+            # what an earlier document has of each segment; a group's first document need not be told apart from
+            # others before the segment's own, so spans of one segment are joined
+            mark = np.zeros((len(part), width + 1), np.int32)
+            for size, line, place in _repeat_groups(matrix, lens, length):
+                own = seg_least[part[line]]
+                later = own > own.min()
+                np.add.at(mark, (line[later], place[later]), 1)
+                np.add.at(mark, (line[later], place[later] + size), -1)
+            inside = np.cumsum(mark[:, :-1], 1) > 0
+            line, edge = np.nonzero(np.diff(np.pad(inside, ((0, 0), (1, 1))).astype(np.int8), axis=1))
+            if len(line):
+                own = part[line[::2]]
+                told.append((own.astype(np.int32), edge[::2].astype(np.uint8), (edge[1::2] - edge[::2]).astype(np.uint8), seg_least[own] - 1))
         seg, place, size, lowest = (np.concatenate(x) for x in zip(*told, strict=True))
         # to every block that sent the segment and has a document later than the first
         by_seg = np.argsort(seg_of, kind="stable")
