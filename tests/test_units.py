@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trailforge.functions import match, text, transcripts
 from trailforge.operators import credit, etl, filters, graph, metrics, retrieval, sampling, world
+from trailforge.plans import registry
 
 
 def one(spark, **columns):
@@ -134,6 +135,36 @@ def test_quota(spark):
     assert sorted(r["k"] for r in out.collect()) == kept
 
 
+def quota(rows, share):
+    kept, n, g = [], 0, 0
+    for k, f in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, bool(r[1]))):
+        if n == 0 or not f or (g + 1) / (n + 1) <= share:
+            kept.append(k)
+            n, g = n + 1, g + bool(f)
+    return kept
+
+
+@pytest.mark.parametrize("seed,share,flagged", [(1, 0.35, 0.6), (2, 0.35, 0.3), (3, 0.5, 0.9), (4, 0.0, 0.5), (5, 0.2, 1.0), (6, 0.9, 0.95), (7, 0.35, 0.0), (8, 1.0, 0.7)])
+def test_quota_over_ranges(spark, seed, share, flagged):
+    """Ranges take up from one another; keys repeat, some are null, and so are some flags."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *range(300)]), rng.choice([None] * (flagged < 1) + [rng.random() < flagged] * 20)) for _ in range(700)]
+    rows += [(-1, seed % 2 == 1)]
+    out = graph.with_quota(spark.createDataFrame(rows, "k int, geo boolean").repartition(5), "k", "geo", share)
+    assert sorted((r["k"] for r in out.collect()), key=repr) == sorted(quota(rows, share), key=repr)
+
+
+def test_quota_of_no_rows(spark):
+    assert graph.with_quota(spark.createDataFrame([], "k int, geo boolean"), "k", "geo", 0.35).count() == 0
+
+
+def test_quota_judges_every_part(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["p_partkey"], r["p_size"] % 2 == 0) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    got = sorted(r["p_partkey"] for r in registry.queries()["W14_geo_quota"](spark, sf).collect())
+    assert got == quota(rows, 0.35) and max(got) > 400
+
+
 def test_distinguishing(spark):
     edges = spark.createDataFrame([("p", "r", "a"), ("p", "r", "b")], "head string, pid string, tail string")
     own = spark.createDataFrame([("a", "x", "1"), ("b", "x", "1"), ("a", "y", "2")], "head string, pid string, tail string")

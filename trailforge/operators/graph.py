@@ -145,17 +145,41 @@ def hop_types(images: Column) -> Column:
     return F.aggregate(images, start, grow, lambda s: s["types"])
 
 
+def _most_flagged(others: Column, share: float) -> Column:
+    """The largest g with g / (others + g) <= share, by the same division as the rule itself; others is a count, share below 1."""
+    near = F.floor(others * share / (1 - share)).cast("long")
+    fits = lambda g: F.when(g <= 0, F.lit(0).cast("long")).when(g / F.greatest(others + g, F.lit(1)) <= share, g)
+    return F.greatest(*[fits(near + k) for k in (-1, 0, 1, 2)], F.lit(0).cast("long"))
+
+
 def with_quota(rows: DataFrame, order: str, flag: str, share: float) -> DataFrame:
     """Rows admitted one after another, a flagged one only while flagged rows stay within the share; the first always.
 
-    The decision on a row hangs on all before it, so this folds one ordered list; it is meant for final samples, whose number is a
-    parameter of the run, not of the data.
+    Rows without the flag (or with a null one) are all admitted, so before any row their number u is a running count and a flagged
+    row is admitted if the g flagged ones so far satisfy g + 1 <= most(u). As most never falls, g after f flagged rows is f plus the
+    least of 0 and all most(u) - f so far: a running minimum. Rows are dealt to ordered ranges; counts and minima of the ranges go
+    through the driver, three numbers a range, and each range takes up what those before it have left. No task holds more than a range.
     """
-    one = rows.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(flag).alias("f")))).alias("all"))
-    start = F.struct(F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>").alias("kept"), F.lit(0).alias("n"), F.lit(0).alias("g"))
-
-    def admit(s: Column, r: Column) -> Column:
-        ok = (s["n"] == 0) | ~r["f"] | ((s["g"] + 1) / (s["n"] + 1) <= share)
-        return F.struct(F.when(ok, F.array_append(s["kept"], r["o"])).otherwise(s["kept"]).alias("kept"), (s["n"] + ok.cast("int")).alias("n"), (s["g"] + (ok & r["f"]).cast("int")).alias("g"))
-
-    return one.select(F.explode(F.aggregate("all", start, admit, lambda s: s["kept"])).alias(order))
+    if share >= 1:
+        return rows.select(order)
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    typed = rows.select(F.col(order).alias("o"), F.coalesce(F.col(flag), F.lit(False)).alias("f"), F.monotonically_increasing_id().alias("k"))
+    dealt = checkpoint(typed.repartitionByRange(ranges, "o", "f", "k").withColumn("part", F.spark_partition_id()))
+    totals = sorted(dealt.groupBy("part").agg(F.count_if(~F.col("f")).alias("u"), F.count_if("f").alias("n"), F.min(F.struct("o", "f"))["f"].alias("first")).collect(), key=lambda r: r["part"])
+    least = int(bool(totals) and totals[0]["first"])
+    starts, u, n = [], 0, 0
+    for r in totals:
+        starts.append((r["part"], u, n))
+        u, n = u + r["u"], n + r["n"]
+    start = rows.sparkSession.createDataFrame(starts, "part int, u0 long, n0 long")
+    one = Window.partitionBy("part").orderBy("o", "f", "k")
+    to_here, before = one.rowsBetween(Window.unboundedPreceding, Window.currentRow), one.rowsBetween(Window.unboundedPreceding, -1)
+    counted = dealt.join(F.broadcast(start), "part").withColumns({"u": F.col("u0") + F.count_if(~F.col("f")).over(to_here), "n": F.col("n0") + F.count_if("f").over(to_here)})
+    room = F.greatest(_most_flagged(F.col("u"), share), F.lit(least)) - F.col("n")
+    placed = checkpoint(counted.select("part", "o", "f", "k", F.when(F.col("f"), room).alias("room")))
+    lows, low = [], 0
+    for r in sorted(placed.groupBy("part").agg(F.min("room").alias("low")).collect(), key=lambda r: r["part"]):
+        lows.append((r["part"], low))
+        low = min(low, low if r["low"] is None else r["low"])
+    left = placed.join(F.broadcast(rows.sparkSession.createDataFrame(lows, "part int, low long")), "part")
+    return left.withColumn("low", F.least("low", F.min("room").over(before))).where(~F.col("f") | (F.col("room") >= F.col("low"))).select(F.col("o").alias(order))

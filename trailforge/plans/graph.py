@@ -270,7 +270,7 @@ def g06(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("W14_geo_quota")
 def w14(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").where("p_partkey < 400").select("p_partkey", (F.col("p_size") % 2 == 0).alias("geo"))
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 2 == 0).alias("geo"))
     return graph.with_quota(rows, "p_partkey", "geo", 0.35)
 
 
