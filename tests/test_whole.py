@@ -45,3 +45,21 @@ def test_all_due_titles_are_asked(spark, duck):
     due = {1000000 + r["doc_id"] for r in rows(spark, "documents") if r["doc_id"] % 20 == 0 and (r["text"] or "").split("\n")[0].strip()}
     asked = {r["qid"] for r in same_as_sql(spark, duck, "V09_kb_search_due")}
     assert due and due <= asked
+
+
+def test_messages_hold_whole_turns(spark, duck):
+    want = {}
+    for r in sorted(rows(spark, "conversations"), key=lambda r: (r["conv_id"], r["turn"])):
+        want.setdefault(r["conv_id"], []).append(f"{r['role']}:{r['text']}")
+    got = {r["conv_id"]: r["messages"] for r in same_as_sql(spark, duck, "N09_messages_whole")}
+    assert got == {k: "|".join(v) for k, v in want.items()}
+
+
+def test_last_answer_is_whole(spark, duck):
+    got = {(r["conv_id"], r["turn"]): r["answer"] for r in same_as_sql(spark, duck, "X06_last_answer_whole")}
+    assert got == {(r["conv_id"], r["turn"]): r["text"].strip(" ") for r in rows(spark, "conversations")} and max(map(len, got.values())) > 40
+
+
+def test_picked_caption_is_whole(spark, duck):
+    got = {r["doc_id"]: r["caption"] for r in same_as_sql(spark, duck, "F04_language_pick_whole")}
+    assert got == {r["doc_id"]: "short" if r["doc_id"] % 2 else r["text"] for r in rows(spark, "documents")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailforge.operators import etl, metrics, sampling, world
@@ -357,8 +357,18 @@ def n06(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("N09_messages", "SELECT conv_id, string_agg(role || ':' || left(text, 20), '|' ORDER BY turn) AS messages, count(*) AS n FROM conversations GROUP BY conv_id")
 def n09(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"), F.count("*").alias("n"))
-    return g.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), F.left(x["text"], F.lit(20)))), "|").alias("messages"), "n")
+    return _messages(spark, sf, F.left("text", F.lit(20)))
+
+
+def _messages(spark: SparkSession, sf: str, said: Column) -> DataFrame:
+    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", said.alias("text")))).alias("m"), F.count("*").alias("n"))
+    return g.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "|").alias("messages"), "n")
+
+
+@query("N09_messages_whole", "SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS messages, count(*) AS n FROM conversations GROUP BY conv_id")
+def n09_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """N09 with all of each turn's text."""
+    return _messages(spark, sf, F.col("text"))
 
 
 @query("N10_gold_set", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT 'P' || l_partkey)), ',') AS gold FROM lineitem GROUP BY l_orderkey")

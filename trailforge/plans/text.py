@@ -37,6 +37,8 @@ project("X05_normalize_answer", "part", lambda: {"p_partkey": F.col("p_partkey")
         "SELECT p_partkey, " + NORM.format("concat('The ', p_name, ', an  ', p_brand, '!')") + " AS answer FROM part")
 project("X06_last_answer", "conversations", lambda: {"conv_id": F.col("conv_id"), "turn": F.col("turn"), "answer": text.last_answer(F.concat(F.lit("<answer>draft</answer>\n<answer> "), F.left("text", F.lit(40)), F.lit("</answer> done")))},
         "SELECT conv_id, turn, trim(list_last(regexp_extract_all(concat('<answer>draft</answer>', chr(10), '<answer> ', left(text, 40), '</answer> done'), '(?s)<answer>(.*?)</answer>', 1)), ' ') AS answer FROM conversations")
+project("X06_last_answer_whole", "conversations", lambda: {"conv_id": F.col("conv_id"), "turn": F.col("turn"), "answer": text.last_answer(F.concat(F.lit("<answer>draft</answer>\n<answer> "), F.col("text"), F.lit("</answer> done")))},
+        "SELECT conv_id, turn, trim(list_last(regexp_extract_all(concat('<answer>draft</answer>', chr(10), '<answer> ', text, '</answer> done'), '(?s)<answer>(.*?)</answer>', 1)), ' ') AS answer FROM conversations")
 OBS = "concat('ID: Q', {0} % 50, ' see Q', {0} % 7, ' and ID:Q', {0} % 50, CASE WHEN {0} % 5 = 0 THEN ' Invalid call' ELSE '' END)"
 
 
@@ -145,6 +147,8 @@ project("F03_quality_v3", "documents", lambda: {"doc_id": DOC()}, "SELECT doc_id
 LANGS = "['fr', 'en', lang]"
 project("F04_language_pick", "documents", lambda: {"doc_id": DOC(), "caption": etl.pick_language(F.array(F.lit("fr"), F.lit("en"), F.col("lang")), F.array(F.lit(None).cast("string"), F.when(DOC() % 2 == 0, F.left("text", F.lit(30))).otherwise(F.lit("short")), F.col("text")), F.array(F.lit("x"), F.concat(F.lit("t"), DOC()), F.lit("z")))["caption"]},
         "SELECT doc_id, left(text, 30) AS caption FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'short' FROM documents WHERE doc_id % 2 = 1")
+project("F04_language_pick_whole", "documents", lambda: {"doc_id": DOC(), "caption": etl.pick_language(F.array(F.lit("fr"), F.lit("en"), F.col("lang")), F.array(F.lit(None).cast("string"), F.when(DOC() % 2 == 0, F.col("text")).otherwise(F.lit("short")), F.col("text")), F.array(F.lit("x"), F.concat(F.lit("t"), DOC()), F.lit("z")))["caption"]},
+        "SELECT doc_id, text AS caption FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'short' FROM documents WHERE doc_id % 2 = 1")
 CATS = "['animal', 'building', 'ring', 'tion']"
 project("F05_category_tags", "documents", lambda: {"doc_id": DOC(), "tags": F.array_join(etl.category_tags(F.col("text"), ("animal", "building", "ring", "tion")), ",")},
         f"SELECT doc_id, array_to_string(list_filter({CATS}, lambda k: contains(lower(text), k)), ',') AS tags FROM documents")
