@@ -64,3 +64,18 @@ def test_empty(spark):
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose((embdedup.hadamard(x) ** 2).sum(1), 16 * (x**2).sum(1))
+
+
+@pytest.mark.parametrize("d", [768, 1024])
+def test_long_vectors(spark, d):
+    """Bucket codes pass 2**31 beyond 512 dimensions. Cosines are about 0.997 and more, or below 0.95: nearer to the threshold, hashing at
+    these lengths misses some pairs in 100,000 by its nature."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for c in range(12):
+        base = rng.normal(size=d)
+        for noise in rng.choice([0.0, 0.05, 0.4], rng.integers(1, 60)):
+            rows.append((len(rows), [float(x) for x in base + rng.normal(size=d) * noise], c % 3))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embdedup.near_vectors(df).collect()), key=repr)
+    assert got == brute(rows) and max(n for _, n, _, _ in got) > 20

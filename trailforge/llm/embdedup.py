@@ -161,7 +161,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, hot: int = HOT_BUC
                 for t in range(TABLES):
                     for p in range(PROBES):
                         key = mix(mix(own[:, t, p].astype(np.uint64) + np.uint64(t << 40)) ^ salt)
-                        yield pa.record_batch([pa.array(key.view(np.int64)), part.column("node"), part.column("n"), pa.array(np.full(len(key), t, np.int32)), pa.array(own[:, t, p]), part.column("v"), pa.array([r.tobytes() for r in own.astype("<i4").reshape(len(key), -1)], pa.binary())], names=["key", "node", "n", "t", "code", "v", "codes"])
+                        yield pa.record_batch([pa.array(key.view(np.int64)), part.column("node"), part.column("n"), pa.array(np.full(len(key), t, np.int32)), pa.array(own[:, t, p]), part.column("v"), pa.array([r.tobytes() for r in own.astype("<i8").reshape(len(key), -1)], pa.binary())], names=["key", "node", "n", "t", "code", "v", "codes"])
 
     dealt = classes.select("node", "n", "label", "dim", "v").mapInArrow(deal, "key long, node long, n long, t int, code long, v binary, codes binary")
     spread = spread_hot(dealt, "key", "node", hot)
@@ -186,7 +186,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, hot: int = HOT_BUC
             place = np.full(len(lengths), -1)
             place[mine] = np.arange(len(mine))
             part = table.take(pa.array(mine))
-            own = np.frombuffer(b"".join(part.column("codes").to_pylist()), "<i4").reshape(len(mine), TABLES, PROBES)
+            own = np.frombuffer(b"".join(part.column("codes").to_pylist()), "<i8").reshape(len(mine), TABLES, PROBES)
             task = _Links(_vectors(part.column("v").to_pylist(), kind), col["n"][mine], own, col["t"][mine], col["code"][mine], threshold)
             starts, sizes = place[first[whole_groups]], size[whole_groups]
             across = (col["bi"] != col["bj"])[first[whole_groups]]
