@@ -212,6 +212,15 @@ def brute_hits(rows, items, n=13):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("few", [200_000, 3])
+def test_a_row_without_id_is_judged_on_either_path(spark, few):
+    passage = " ".join(f"w{k}" for k in range(20))
+    rows, items = [(None, passage), (None, "clean words"), (1, passage)], [(1, passage)]
+    got = decontam.judge_documents(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=few)
+    out = sorted((tuple(r) for r in got.collect()), key=repr)
+    assert out == brute_hits(rows, items) and sum(r[5] for r in out) == 2
+
+
 @pytest.mark.parametrize("few", [200_000, 3])
 def test_hits_against_all_windows(spark, few):
     rng = random.Random(6)

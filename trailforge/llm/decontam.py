@@ -86,7 +86,8 @@ def phrase_hits(docs: DataFrame, items: DataFrame, n: int = 13, broadcast_rows:
     if few:
         met = postings(own, singles, "words").join(F.broadcast(chosen), "key")
     else:
-        met = postings(own, singles).join(chosen, "key").join(own, ["doc_id", "text_key"])
+        texts = own.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "words")
+        met = postings(own, singles).join(chosen, "key").join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")))
     width = F.when(F.size("item_words") == 1, 1).otherwise(2)
     (before, after), (item_before, item_after) = _around(F.col("words"), F.col("p"), n, width), _around(F.col("item_words"), F.col("q"), n, width)
     runs = met.select("doc_id", "text_key", "item_id", "p", "q", F.size("item_words").alias("size"), width.alias("width"), _run(before, item_before).alias("l"), _run(after, item_after).alias("r"))
