@@ -34,17 +34,26 @@ def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.withColumns(changed).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number __row of each row, fixed by a checkpoint: decisions are on rows, as a doc_id may be null or repeat."""
+    return checkpoint(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def keep_first_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least doc_id of each class stays; of rows that are equal in doc_id and shingles, all of them do."""
-    classes = jaccard.jaccard_join(docs, size=5, threshold=0.8)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    """One row of each class stays: that of least doc_id, a null one last, and then of least hash of its text."""
+    rows = numbered(docs)
+    classes = jaccard.jaccard_join(rows.select(F.col("__row").alias("doc_id"), "text"), size=5, threshold=0.8).select(F.col("doc_id").alias("__row"), F.col("class_id").alias("__class"))
+    doc_id = F.col("doc_id").cast("long")
+    place = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.xxhash64("text").alias("hash"), F.col("__row").alias("row"))
+    first = rows.select("__row", place.alias("__place")).join(classes, "__row").groupBy("__class").agg(F.min("__place")["row"].alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = decontam.judge_documents(docs, table(spark, sf_dir, "benchmark"), n=13)
-    gone = judged.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    judged = decontam.judge_documents(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), n=13)
+    gone = judged.where("contaminated").select(F.col("doc_id").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,17 @@ def test_clashing_columns_and_empty_tables(spark):
     for _, f in corpus_pipeline.STAGES[:-1]:
         assert f(spark, docs, SF).columns == docs.columns
         assert f(spark, docs.where(F.lit(False)), SF).count() == 0
+
+
+def test_decisions_are_on_rows(spark):
+    """Ids repeat and are null: one row of each class stays, and only contaminated rows go."""
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(3)), (3, text(3)), (None, text(1)), (None, text(4)), (None, text(4)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_first_of_class(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(1, text(1)), (2, text(2)), (3, text(3)), (None, text(4)), (None, None)], key=repr)
+    item = max((r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    rows = [(1, item), (1, text(1)), (None, item), (None, text(2)), (2, text(3)), (2, text(3))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted([r for r in rows if r[1] != item], key=repr)
