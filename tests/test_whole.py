@@ -63,3 +63,9 @@ def test_last_answer_is_whole(spark, duck):
 def test_picked_caption_is_whole(spark, duck):
     got = {r["doc_id"]: r["caption"] for r in same_as_sql(spark, duck, "F04_language_pick_whole")}
     assert got == {r["doc_id"]: "short" if r["doc_id"] % 2 else r["text"] for r in rows(spark, "documents")}
+
+
+def test_every_node_has_its_neighbours(spark, duck):
+    found = {(r["qid"], r["pid"], r["other"], r["direction"]) for r in same_as_sql(spark, duck, "G02_neighbours_all")}
+    placed = {(f"C{r['o_custkey']}", "placed", f"O{r['o_orderkey']}") for r in rows(spark, "orders")}
+    assert {(q, p, o) for q, p, o, d in found if p == "placed" and d == "out"} == placed and {q[0] for q, *_ in found} == set("RNCSPO")

@@ -136,6 +136,12 @@ def g02(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbours(edges(spark, sf), relations(spark), nodes(spark, sf).where("qid LIKE 'S1%' OR qid = 'N3'"))
 
 
+@query("G02_neighbours_all", f"WITH {BASE}, b AS (SELECT head AS qid, pid, tail AS other, 'out' AS direction FROM edges UNION ALL SELECT tail, pid, head, 'in' FROM edges) SELECT qid, pid, name, other, direction FROM b JOIN relations USING (pid) WHERE qid IN (SELECT qid FROM nodes)")
+def g02_all(spark: SparkSession, sf: str) -> DataFrame:
+    """G02 of every node."""
+    return graph.neighbours(edges(spark, sf), relations(spark), nodes(spark, sf))
+
+
 @query("J06_siblings", f"WITH {BASE} SELECT a.head AS parent, a.tail AS target, count(*) AS siblings FROM edges a JOIN edges b ON a.head = b.head AND a.pid = b.pid AND a.tail <> b.tail WHERE a.pid = 'contains' GROUP BY ALL")
 def j06(spark: SparkSession, sf: str) -> DataFrame:
     return graph.siblings(edges(spark, sf).where("pid = 'contains'")).groupBy("parent", "target").agg(F.count("*").alias("siblings"))
