@@ -200,6 +200,19 @@ def brute_hits(rows, items, n=13):
         w = words(t)
         for k in range(max(0, len(w) - n) + 1 if w else 0):
             windows[tuple(w[k : k + n])].add(str(i))
+    pairs = lambda w: list(zip(w, w[1:]))
+    count = collections.Counter(x for _, t in rows for x in [*pairs(words(t)), *zip(words(t))])
+    asked = [(i, {*pairs(w)} if len(w) > 1 else {*zip(w)}) for i, w in ((i, words(t)) for i, t in items) if w]
+    rare = [(i, sorted((x for x in own if count[x]), key=lambda x: (count[x], " ".join(x)))[:2], len(own)) for i, own in asked]
+
+    def near(w):
+        at = collections.defaultdict(list)
+        for k, x in enumerate(pairs(w)):
+            at[x].append(k)
+        for k, x in enumerate(zip(w)):
+            at[x].append(k)
+        return len({i for i, own, several in rare if (several == 1 and own and at[own[0]]) or (len(own) == 2 and any(abs(a - b) <= 10 for a in at[own[0]] for b in at[own[1]]))})
+
     out = []
     for i, t in rows:
         w, hit, found = words(t), set(), set()
@@ -208,7 +221,7 @@ def brute_hits(rows, items, n=13):
                 if g := windows.get(tuple(w[k : k + size])):
                     hit |= set(range(k, k + size))
                     found |= g
-        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), near(w)))
     return sorted(out, key=repr)
 
 
@@ -238,10 +251,22 @@ def test_hits_against_all_windows(spark, few):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_hits(rows, items)
 
 
-def test_proximity(spark):
-    docs = frame(spark, [(1, "alpha x x beta"), (2, "beta " + "x " * 30 + "alpha"), (3, "alpha")])
-    items = spark.createDataFrame([(7, "alpha beta")], "item_id long, text string")
-    assert [tuple(r) for r in decontam.proximity_hits(docs, items, slop=5).collect()] == [(1, 7, 0, 3)]
+@pytest.mark.parametrize("few", [200_000, 3])
+def test_proximity(spark, few):
+    """Terms in another order, too far apart, in a document without an id, and items of one term or none."""
+    rows = [(1, "beta two x x alpha one"), (2, "alpha one " + "x " * 30 + "beta two"), (None, "alpha one beta two"), (4, "solo"), (5, None)]
+    items = spark.createDataFrame([(7, "alpha one nowhere beta two"), (8, "solo"), (9, "never seen"), (10, None)], "item_id long, text string")
+    index = decontam.build_index(frame(spark, rows), items, broadcast_rows=few)
+    ids = {r["row"]: r["doc_id"] for r in index.postings.collect()}
+    got = sorted([(ids[r["row"]], r["item_id"], r["start"], r["end"]) for r in decontam.proximity_hits(index, slop=5).collect()], key=repr)
+    assert got == sorted([(1, "7", 0, 4), (None, "7", 0, 2), (4, "8", 0, 0)], key=repr)
+
+
+def test_the_index_can_be_kept(spark, tmp_path):
+    rows, items = [(1, " ".join(f"w{k}" for k in range(20))), (2, "")], [(3, " ".join(f"w{k}" for k in range(2, 18)))]
+    index = decontam.build_index(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), path=str(tmp_path / "index"))
+    assert [tuple(r)[1:] for r in decontam.phrase_hits(index).collect()] == [("3", 2, 18)]
+    assert sorted((r["doc_id"], r["n_words"]) for r in spark.read.parquet(str(tmp_path / "index")).where("p < 0").collect()) == [(1, 20), (2, 0)]
 
 
 # shared pieces

@@ -72,10 +72,29 @@ places AS (
 hititems AS (
   SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS list
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id
-)
+), dt AS (
+  SELECT doc_id, unnest(range(1, len(w))) AS p, w FROM d WHERE len(w) > 1
+), dterms AS (
+  SELECT doc_id, p, w[p] || ' ' || w[p + 1] AS t FROM dt UNION ALL SELECT doc_id, p, w[p] FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, w FROM d)
+), bt AS (
+  SELECT DISTINCT i, item_id, t FROM (
+    SELECT i, item_id, w[q] || ' ' || w[q + 1] AS t FROM (SELECT row_number() OVER () AS i, item_id, w, unnest(range(1, len(w))) AS q FROM b WHERE len(w) > 1)
+    UNION ALL SELECT -row_number() OVER (), item_id, w[1] FROM b WHERE len(w) = 1)
+), f AS (SELECT t, count(*) AS f FROM dterms GROUP BY t),
+rare AS (
+  SELECT i, item_id, t, k, n FROM (
+    SELECT bt.i, bt.item_id, bt.t, f.f, row_number() OVER (PARTITION BY bt.i ORDER BY f.f IS NULL, f.f, bt.t) AS k, count(*) OVER (PARTITION BY bt.i) AS n
+    FROM bt LEFT JOIN f USING (t)) WHERE k <= 2 AND f IS NOT NULL
+), lists AS (SELECT doc_id, i, item_id, k, n, p FROM rare JOIN dterms USING (t)),
+near AS (
+  SELECT doc_id, item_id FROM lists WHERE n = 1
+  UNION
+  SELECT x.doc_id, x.item_id FROM lists x JOIN lists y ON x.doc_id = y.doc_id AND x.i = y.i AND x.k = 1 AND y.k = 2 AND abs(x.p - y.p) <= 10
+), nears AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hitwords USING (doc_id) LEFT JOIN hititems USING (doc_id)
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN hitwords USING (doc_id) LEFT JOIN hititems USING (doc_id) LEFT JOIN nears USING (doc_id)
 """
 
 
