@@ -309,7 +309,7 @@ def test_packed_keys_round_trip():
     keys = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 1000, np.uint64))
     assert (common.unpack_sorted(common.pack_sorted(keys)) == keys).all() and len(common.unpack_sorted(b"")) == 0
     values = np.array([-5, 0, 1 << 40, np.iinfo(np.int64).min])
-    assert (common.unpack_ints(common.pack_ints(values)) == values).all()
+    assert (common.unpack_ints(common.pack_ints(values)) == values).all() and (common.unpack_counts(common.pack_counts(values)) == values).all() and len(common.unpack_counts(common.pack_counts(values[:0]))) == 0
 
 
 @pytest.mark.parametrize("run", [lambda d: lm.score_documents(d), lambda d: linededup.dedup_lines(d), lambda d: unitdedup.dedup_units(d), lambda d: bpe.encode_documents(d, bpe.tokenizer_path()), lambda d: langid.predict_documents(d.withColumn("lang", F.lit("en")), langid.fit(d.withColumn("lang", F.lit("en")))), lambda d: decontam.judge_documents(d, d.select(F.col("doc_id").alias("item_id"), "text"))])

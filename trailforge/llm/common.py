@@ -125,6 +125,15 @@ def unpack_ints(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts byte plane by byte plane, entropy-coded: most are small."""
+    return len(counts).to_bytes(4, "little") + pa.compress(pack_ints(counts), codec="zstd", asbytes=True)
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return unpack_ints(pa.decompress(data[4:], 8 * int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True))
+
+
 def rows_of(table: pa.Table) -> tuple[int, list[int | None], list[bytes]]:
     """Block number, doc_ids and texts (UTF-8, null as empty) of one block, in an order that does not hang on the shuffle's."""
     ids, texts = table.column("doc_id").to_pylist(), table.column("text").cast(pa.large_binary()).to_pylist()
