@@ -42,13 +42,13 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,piece", [(1, 1 << 20), (2, 90), (3, 400)])
-def test_against_every_window(spark, monkeypatch, seed, piece):
-    monkeypatch.setattr(substring, "PIECE", piece)
+@pytest.mark.parametrize("seed,piece,length", [(1, 1 << 20, 50), (2, 90, 50), (3, 400, 50), (4, 300, 49), (5, 500, 90), (6, 700, 150)])
+def test_against_every_window(spark, seed, piece, length):
+    """Texts are cut into pieces on the executors; windows from the shortest on."""
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS block", "'x' AS kept")
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in substring.remove_repeats(docs).collect()]
-    assert sorted(got, key=repr) == brute(rows)
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in substring.remove_repeats(docs, length=length, piece=piece).collect()]
+    assert sorted(got, key=repr) == brute(rows, length)
 
 
 def test_repeated_id_does_not_remove_itself(spark):

@@ -23,19 +23,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The same rows, marked for broadcast if a count proves that they are few; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def block_of(column: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(blocks)).cast("int")
-
-
 def spread_hot(df: DataFrame, key: str, member: str, limit: int) -> DataFrame:
     """Deal rows to groups (key, bi, bj) so that every pair of one key's rows meets in exactly one group.
 
@@ -87,16 +79,29 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 # Documents are dealt to blocks by doc_id; what a block wants to know of the corpus it asks of the buckets that own
 # ranges of 64-bit keys, and the buckets answer block by block. A key that stands in a third of all documents then
-# reaches its bucket once for each block, however often it occurs.
+# reaches its bucket once for each block, however often it occurs. There are as many blocks and buckets as the corpus has
+# bytes for, whatever the number of partitions, and no message is sent without keys in it.
+
+BLOCK_BYTES = 8_000_000
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+
+
+def parts_of(total: int, each: int = BLOCK_BYTES) -> int:
+    return max(1, -(-total // each))
 
 
-def in_blocks(docs: DataFrame, each: int = 1) -> DataFrame:
+def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, doc_id, text), to be grouped by block; plans that group it share one shuffle of the texts.
 
-    each: blocks for each shuffle partition; more of them need less memory at a time.
+    Rows without an id are dealt by their texts, so that no block gets all of them.
     """
-    blocks = each * shuffle_partitions(docs.sparkSession)
-    return docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    return typed.select(F.pmod(place, F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
 
 
 def bucket_bounds(buckets: int) -> np.ndarray:

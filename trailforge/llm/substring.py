@@ -25,13 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from trailforge.llm.common import bucket_bounds, in_blocks, mix, pack_ints, pack_sorted, rows_of, shuffle_partitions, unpack_ints, unpack_sorted
+from trailforge.llm.common import bucket_bounds, in_blocks, mix, pack_ints, pack_sorted, parts_of, rows_of, text_bytes, unpack_ints, unpack_sorted
 
 GRAM, SIDE = 16, 17  # a minimiser's bytes, and those beside it in the strings that blocks ask for
+LONGEST = 32_000  # bytes in a window, so that places within a segment have 16 bits
 PIECE = 1 << 18  # bytes that are hashed at a time
 SORTED_AT_ONCE = 40_000  # suffixes in one part of a suffix array
+SCREENED_AT_ONCE = 200_000  # windows that are hashed at a time
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept binary"
 
 
@@ -52,27 +53,42 @@ def _repeat_groups(matrix: np.ndarray, lens: np.ndarray, length: int) -> Iterato
     """(size, lines, places) of each maximal repeat in the rows of a zero-filled matrix."""
     width = matrix.shape[1]
     starts = np.maximum(0, lens - length + 1)
-    line = np.repeat(np.arange(len(lens), dtype=np.int32), starts)
-    if not len(line):
+    ends = np.cumsum(starts)
+    if not ends[-1]:
         return
-    place = (np.arange(len(line)) - np.repeat(np.cumsum(starts) - starts, starts)).astype(np.int32)
     padded = np.concatenate([matrix, np.zeros((len(lens), width + 8), np.uint8)], 1)
     # only windows whose first bytes occur twice can begin a repeat; equal ones stay together in each part that is sorted
     words = np.ndarray(padded.size - 7, "<u8", padded.data, strides=(1,))
-    base, head = line.astype(np.int64) * padded.shape[1] + place, np.zeros(len(line), np.uint64)
     cover = sorted({*range(0, length - 7, 8), max(0, length - 8)})
-    for at in cover:
-        word = words[base + at]
-        head = mix(head ^ (word if length >= 8 else word & np.uint64((1 << 8 * length) - 1)))
+    head = np.empty(ends[-1], np.uint64)
+
+    def places(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        line = np.searchsorted(ends, window, "right")
+        return line, window - (ends - starts)[line]
+
+    for at in range(0, len(head), SCREENED_AT_ONCE):
+        line, place = places(np.arange(at, min(len(head), at + SCREENED_AT_ONCE)))
+        base, own = line * padded.shape[1] + place, np.zeros(len(line), np.uint64)
+        for k in cover:
+            word = words[base + k]
+            own = mix(own ^ (word if length >= 8 else word & np.uint64((1 << 8 * length) - 1)))
+        head[at : at + len(own)] = own
+    twice = np.sort(head)
+    twice = np.unique(twice[1:][twice[1:] == twice[:-1]])
+    if not len(twice):
+        return
+    window = np.concatenate([at + np.flatnonzero(twice[np.minimum(np.searchsorted(twice, part), len(twice) - 1)] == part) for at, part in ((at, head[at : at + SCREENED_AT_ONCE]) for at in range(0, len(head), SCREENED_AT_ONCE))])
+    head = head[window]
     order = np.argsort(head, kind="stable")
     first = np.flatnonzero(np.r_[True, head[order][1:] != head[order][:-1]])
     size = np.diff(np.r_[first, len(order)])
-    first, size = first[size > 1], size[size > 1]
+    del head, twice
     at = 0
     while at < len(first):
         to = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), SORTED_AT_ONCE, "right")))
         chosen = order[np.repeat(first[at:to] - (np.cumsum(size[at:to]) - size[at:to]), size[at:to]) + np.arange(size[at:to].sum())]
-        yield from _sorted_groups(matrix, padded, lens, length, line[chosen], place[chosen])
+        line, place = places(window[chosen])
+        yield from _sorted_groups(matrix, padded, lens, length, line.astype(np.int32), place.astype(np.int32))
         at = to
 
 
@@ -159,7 +175,7 @@ class Segments:
         piece = np.searchsorted(ends, self.start, "right")
         self.row = np.array([p[0] for p in pieces])[piece]
         self.doc_place = self.start - (ends - sizes)[piece] + np.array([p[1] for p in pieces])[piece]
-        self.key = self.gram[self.at]
+        self.key = mix(self.gram[self.at])  # the least of many hashes is a small number; buckets are ranges of even ones
 
     def sides(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the strings before and after each minimiser, with it, and whether some window holds them."""
@@ -186,9 +202,8 @@ class Segments:
         return size, self.text[index].tobytes()
 
 
-def _batches(texts: list[bytes], length: int, piece: int | None = None) -> Iterator[Segments]:
-    """All windows of all texts, each in one batch of about a piece."""
-    piece = PIECE if piece is None else piece
+def _batches(texts: list[bytes], length: int, piece: int) -> Iterator[Segments]:
+    """All windows of all texts, each in one batch of about `piece` bytes."""
     held, size = [], 0
     for row, text in enumerate(texts):
         for at in range(0, max(1, len(text) - length + 1), piece):
@@ -211,14 +226,15 @@ def _table(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.
     return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, piece: int = PIECE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, removed, kept) of each document without the bytes that a string of `length` bytes
     covers which also starts in a document with a smaller doc_id; removed has the spans in the original bytes."""
-    if not 2 * GRAM + 2 * SIDE >= length >= GRAM + 2 * SIDE - 1:
-        raise ValueError(f"length must be from {GRAM + 2 * SIDE - 1} to {2 * GRAM + 2 * SIDE}")
-    buckets = 2 * shuffle_partitions(docs.sparkSession)
-    blocks = in_blocks(docs, 2)
-    total = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 1
+    if not LONGEST >= length >= GRAM + 2 * SIDE - 1:
+        raise ValueError(f"length must be from {GRAM + 2 * SIDE - 1} to {LONGEST}: shorter windows need not hold a minimiser with its side")
+    small = np.dtype(np.uint8 if 2 * length <= 256 else np.uint16)  # a segment is shorter than two windows
+    total = text_bytes(docs)
+    buckets = parts_of(total)
+    blocks = in_blocks(docs, parts_of(total))
     shift = np.uint64(max(0, 64 - (total.bit_length() + 10)))  # keys so long that few strings meet by chance, as the corpus grows
     lower = bucket_bounds(buckets) >> shift
 
@@ -226,7 +242,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         """Which side strings occur here, and which of them in several documents."""
         block, ids, texts = rows_of(table)
         rank, keys, owner = _ranks(ids), [], []
-        for s in _batches(texts, length):
+        for s in _batches(texts, length, piece):
             if len(s.start):
                 before, after, has_before, has_after = s.sides()
                 own = rank[s.row]
@@ -267,7 +283,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         rank = _ranks(ids)
         hot = np.sort(np.concatenate([unpack_sorted(x) for x in replies.column("hot").to_pylist()]))
         held: list[tuple] = []
-        for s in _batches(texts, length):
+        for s in _batches(texts, length, piece):
             if not len(s.start):
                 continue
             before, after, has_before, has_after = s.sides()
@@ -288,7 +304,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         key, name, least, most, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
         begin = np.cumsum(size) - size
         order = np.lexsort((name, key))
-        first = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
+        first = np.flatnonzero(np.r_[True, (name[order][1:] != name[order][:-1]) | (key[order][1:] != key[order][:-1])])
         least, most, lead = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first), order[first]
         key, name, size, begin = key[lead], name[lead], size[lead], begin[lead]
         cuts, out = [0, *np.searchsorted(key, bucket_bounds(buckets)).tolist(), len(key)], []
@@ -296,7 +312,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             if b > a:
                 n = size[a:b]
                 index = np.repeat(begin[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.append((k, block, pack_sorted(key[a:b]), name[a:b].astype("<u8").tobytes(), pack_ints(least[a:b]), pack_ints(most[a:b]), n.astype(np.uint8).tobytes(), data[index].tobytes()))
+                out.append((k, block, pack_sorted(key[a:b]), name[a:b].astype("<u8").tobytes(), pack_ints(least[a:b]), pack_ints(most[a:b]), n.astype(small).tobytes(), data[index].tobytes()))
         return _table(names, kinds, out)
 
     def scan(table: pa.Table) -> pa.Table:
@@ -304,8 +320,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         def joined(column, read):
             return np.concatenate([read(x) for x in table.column(column).to_pylist()])
 
-        sizes = joined("sizes", lambda x: np.frombuffer(x, np.uint8)).astype(np.int64)
-        counts = [len(x) for x in table.column("sizes").to_pylist()]
+        sizes = joined("sizes", lambda x: np.frombuffer(x, small)).astype(np.int64)
+        counts = [len(x) // small.itemsize for x in table.column("sizes").to_pylist()]
         block = np.repeat(table.column("block").to_numpy(), counts)
         key, name = joined("keys", unpack_sorted), joined("names", lambda x: np.frombuffer(x, "<u8"))
         least, most, data = joined("least", unpack_ints), joined("most", unpack_ints), joined("data", lambda x: np.frombuffer(x, np.uint8))
@@ -320,7 +336,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         told: list[tuple[np.ndarray, ...]] = []
         # a segment that several documents share is a repeat as a whole
         shared = np.flatnonzero(seg_most > seg_least)
-        told.append((shared.astype(np.int32), np.zeros(len(shared), np.uint8), sizes[one][shared].astype(np.uint8), seg_least[shared]))
+        told.append((shared.astype(np.int32), np.zeros(len(shared), small), sizes[one][shared].astype(small), seg_least[shared]))
         # segments of one minimiser stay together in each part that is sorted at once
         starts = np.flatnonzero(np.r_[True, key[one][1:] != key[one][:-1], True])
         at = 0
@@ -349,7 +365,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             line, edge = np.nonzero(np.diff(np.pad(inside, ((0, 0), (1, 1))).astype(np.int8), axis=1))
             if len(line):
                 own = part[line[::2]]
-                told.append((own.astype(np.int32), edge[::2].astype(np.uint8), (edge[1::2] - edge[::2]).astype(np.uint8), seg_least[own] - 1))
+                told.append((own.astype(np.int32), edge[::2].astype(small), (edge[1::2] - edge[::2]).astype(small), seg_least[own] - 1))
         seg, place, size, lowest = (np.concatenate(x) for x in zip(*told, strict=True))
         # to every block that sent the segment and has a document later than the first
         by_seg = np.argsort(seg_of, kind="stable")
@@ -365,8 +381,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
         out = []
         for a, b in zip(head.tolist(), [*head[1:].tolist(), len(owner)]):
-            out.append((int(owner[a]), pack_sorted(name[sent[a:b]]), place[a:b].astype(np.uint8).tobytes(), size[a:b].astype(np.uint8).tobytes(), pack_ints(lowest[a:b])))
-        return _table(["block", "names", "places", "sizes", "least"], [pa.int32(), *[pa.binary()] * 4], out)
+            out.append((int(owner[a]), pack_sorted(name[sent[a:b]]), key[sent[a:b]].astype("<u8").tobytes(), place[a:b].astype(small).tobytes(), size[a:b].astype(small).tobytes(), pack_ints(lowest[a:b])))
+        return _table(["block", "names", "keys", "places", "sizes", "least"], [pa.int32(), *[pa.binary()] * 5], out)
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept"]
@@ -378,11 +394,12 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         gone: dict[int, np.ndarray] = {}  # of each changed document, where spans begin (+1) and end (-1)
         if replies.num_rows:
             name = np.concatenate([unpack_sorted(x) for x in replies.column("names").to_pylist()])
-            place, size = (np.concatenate([np.frombuffer(x, np.uint8) for x in replies.column(c).to_pylist()]).astype(np.int64) for c in ("places", "sizes"))
+            key = np.concatenate([np.frombuffer(x, "<u8") for x in replies.column("keys").to_pylist()])
+            place, size = (np.concatenate([np.frombuffer(x, small) for x in replies.column(c).to_pylist()]).astype(np.int64) for c in ("places", "sizes"))
             least = np.concatenate([unpack_ints(x) for x in replies.column("least").to_pylist()])
             order = np.argsort(name, kind="stable")
-            name, place, size, least = name[order], place[order], size[order], least[order]
-            for s in _batches(texts, length):
+            name, key, place, size, least = name[order], key[order], place[order], size[order], least[order]
+            for s in _batches(texts, length, piece):
                 if not len(s.start):
                     continue
                 own = s.names()
@@ -390,7 +407,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 n = b - a
                 hit = np.repeat(np.arange(len(own)), n)
                 told = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                late = rank[s.row[hit]] > least[told]
+                late = (rank[s.row[hit]] > least[told]) & (s.key[hit] == key[told])
                 hit, told = hit[late], told[late]
                 rows, begin = s.row[hit], s.doc_place[hit] + place[told]
                 end = begin + size[told]
@@ -413,7 +430,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     asked = blocks.groupBy("block").applyInArrow(ask, "bucket int, block int, keys binary, several binary")
     hot = asked.groupBy("bucket").applyInArrow(answer, "block int, hot binary")
     sent = blocks.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(send, "bucket int, block int, keys binary, names binary, least binary, most binary, sizes binary, data binary")
-    repeats = sent.groupBy("bucket").applyInArrow(scan, "block int, names binary, places binary, sizes binary, least binary")
+    repeats = sent.groupBy("bucket").applyInArrow(scan, "block int, names binary, keys binary, places binary, sizes binary, least binary")
     return blocks.groupBy("block").cogroup(repeats.groupBy("block")).applyInArrow(cut, RESULT)
 
 

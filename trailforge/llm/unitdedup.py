@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from trailforge.llm.common import bucket_bounds, in_blocks, pack_ints, pack_sorted, rows_of, shuffle_partitions, unpack_ints, unpack_sorted
+from trailforge.llm.common import bucket_bounds, in_blocks, pack_ints, pack_sorted, parts_of, rows_of, text_bytes, unpack_ints, unpack_sorted
 
 _sentence = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|\n|[.!?]+|$)\s*")
 RESULT = "doc_id long, n_chars long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>, kept string"
@@ -61,8 +61,8 @@ def _block_units(table: pa.Table, min_words: int):
 
 def dedup_units(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """Documents with the repeated units removed, as (doc_id, n_chars, n_removed, n_spans, removed, kept)."""
-    buckets = shuffle_partitions(docs.sparkSession)
-    blocks = in_blocks(docs)
+    buckets = blocks = parts_of(text_bytes(docs))
+    blocks = in_blocks(docs, blocks)
 
     def ask(table: pa.Table) -> pa.Table:
         block, ids, _, row, _, keys, order, first = _block_units(table, min_words)
