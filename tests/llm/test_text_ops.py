@@ -126,14 +126,49 @@ def test_runs_merge_and_anti_join():
 # unit dedup
 
 
+def plain_units(text, least):
+    """What is looked up and what would go, written without the operator: (grain, words, start, end)."""
+    squeezed = lambda x: x.lower().split()
+    out, at = [], 0
+    for line in text.split("\n"):
+        if len(squeezed(line)) >= least:
+            out.append(("line", tuple(squeezed(line)), at, min(len(text), at + len(line) + 1)))
+        at += len(line) + 1
+    # a sentence ends at a new line, at the end, or after a run of . ! ?, and takes the white space that follows
+    cuts, k = [0], 0
+    while k < len(text):
+        if text[k] in ".!?\n":
+            while text[k] != "\n" and k + 1 < len(text) and text[k + 1] in ".!?":
+                k += 1
+            k += 1
+            while k < len(text) and text[k].isspace():
+                k += 1
+            cuts.append(k)
+        else:
+            k += 1
+    cuts = sorted({*cuts, len(text)})
+    own = [(a, b, squeezed(text[a:b])) for a, b in zip(cuts, cuts[1:])]
+    for k, (a, b, words) in enumerate(own):
+        if len(words) >= least:
+            out.append(("sentence", tuple(words), a, b))
+            continue
+        after = before = tuple(words)
+        for _, _, more in own[k + 1 :]:
+            after = after if len(after) >= least else after + tuple(more)
+        for _, _, more in own[:k][::-1]:
+            before = before if len(before) >= least else tuple(more) + before
+        out += [(grain, found, a, b) for grain, found in (("after", after), ("before", before)) if len(found) >= least]
+    return out
+
+
 def brute_units(rows, least):
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, (rows[k][1] or "").encode()))
+    order = sorted(range(len(rows)), key=lambda k: (unitdedup.rank_of(rows[k][0], (rows[k][1] or "").encode()), (rows[k][1] or "").encode()))
     seen, gone = set(), {}
     for k in order:
-        for key, a, b in unitdedup.units(rows[k][1] or "", least):
-            if key in seen:
+        for grain, words, a, b in plain_units(rows[k][1] or "", least):
+            if (grain, words) in seen:
                 gone.setdefault(k, []).append((a, b))
-            seen.add(key)
+            seen.add((grain, words))
     out = []
     for k, (i, t) in enumerate(rows):
         t = t or ""
@@ -154,7 +189,7 @@ def test_units_against_brute_force(spark):
         if i % 3 == 0:
             parts.insert(2, shared[i % 2])
         rows.append((i, rng.choice([" ", "\n"]).join(parts)))
-    rows += ODD + [(40, rows[4][1])]
+    rows += ODD + [(40, rows[4][1]), (None, shared[0]), (None, shared[1] + " More."), (41, "So it is... really?! Yes.  No\t" + shared[2].upper())]
     got = [(r["doc_id"], r["n_chars"], r["n_removed"], r["kept"]) for r in unitdedup.dedup_units(frame(spark, rows)).collect()]
     assert sorted(got, key=repr) == brute_units(rows, 8)
     assert dict((r[0], r[3]) for r in got)[40].strip() == ''
