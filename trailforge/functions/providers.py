@@ -51,6 +51,27 @@ class ScriptedDecision:
         return [self.script.get(p, "submit_report") for p in prompts]
 
 
+class DiceAgent:
+    """Replies by the md5 of a key and a step: calls of tools, one that nobody has, a thought alone, an answer, a failure."""
+
+    def reply(self, key: object, name: str, step: int, messages: list[str]) -> str:
+        drawn = int(hashlib.md5(f"{key}|{step}".encode()).hexdigest()[:8], 16) % 10
+        if drawn == 9:
+            raise RuntimeError("the model did not answer")
+        if drawn == 8:
+            return f"Thought: enough\nFinal Answer: {name}"
+        call = f'search(query="{name}")' if drawn < 4 else 'visit(entity_id="Q1")' if drawn < 6 else 'fly(to="moon")'
+        return "Thought: what now" if drawn == 7 else f"Thought: look\nAction: {call}"
+
+    def force(self, messages: list[str]) -> str:
+        return f"forced {(len(messages) - 1) // 2}"
+
+
+def small_tools() -> dict[str, Callable[[dict], str]]:
+    """Two tools that answer at once."""
+    return {"search": lambda a: f"results for {a.get('query', '')}", "visit": lambda a: f"page of {a.get('entity_id', '')}"}
+
+
 def embed_column(df: DataFrame, column: str, out: str, make: Callable[[], EmbeddingProvider]) -> DataFrame:
     """df with vectors of a text column; one client for each partition."""
 

@@ -24,8 +24,7 @@ def plain_tokens(column: Column | str) -> Column:
 
 def search_tokens(column: Column | str) -> Column:
     """Plain tokens of more than two characters that are no stopwords."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(plain_tokens(column), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+    return F.filter(plain_tokens(column), lambda t: (F.length(t) > 2) & ~t.isin(STOPWORDS))
 
 
 def long_words(column: Column | str) -> Column:

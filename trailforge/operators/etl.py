@@ -54,6 +54,11 @@ def image_path(qid: Column) -> Column:
     return F.concat_ws("/", F.when(F.length(qid) <= 4, qid).otherwise(F.left(qid, F.lit(4))), F.concat(qid, F.lit(".jpg")))
 
 
+def image_folder(qid: str) -> str:
+    """The same rule for one id on the driver."""
+    return f"{qid[:4]}/{qid}.jpg"
+
+
 def repeats_itself(text: Column, n: int, least: float) -> Column:
     """Whether less than this share of the character n-grams is distinct."""
     count = F.length(text) - (n - 1)

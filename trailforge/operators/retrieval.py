@@ -36,18 +36,35 @@ def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.try_divide(F.sum(F.size(tokens)), F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
 
 
+def weighed_postings(docs: DataFrame, tokens: Column, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, df, stats) from one pass over the texts: (doc_id, token, tf, dl), (token, df) and one row (n, avgdl).
+
+    Each document also sends a posting without a token and with tf 0, which carries its length, so that lengths, counts and
+    statistics come from the one exchange that all three plans share. asked (token) limits postings before the shuffle.
+    """
+    spread = docs.select("doc_id", F.size(tokens).alias("dl"), F.explode(F.concat(F.array(F.lit("")), tokens)).alias("token"))
+    if asked is not None:
+        known = asked.select("token").union(asked.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
+        spread = spread.join(bounded(known), "token", "left_semi")
+    one = spread.groupBy("doc_id", "token").agg(F.sum(F.when(F.col("token") != "", 1).otherwise(0)).alias("tf"), F.first("dl").alias("dl"))
+    postings = one.where("tf > 0")
+    stats = one.where("tf = 0").agg(F.count("*").alias("n"), F.try_divide(F.sum("dl"), F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+    return postings, postings.groupBy("token").agg(F.count("*").alias("df")), stats
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens: Column, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Ranked (qid, rank, doc_id, score): idf ln((N - df + .5) / (df + .5) + 1), saturated tf; repeated query tokens count as often
     as they stand in the query; ties by doc_id."""
     asked = queries.select("qid", F.explode(query_tokens).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-    postings = term_frequencies(docs, doc_tokens, asked)
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    lengths = docs.select("doc_id", F.size(doc_tokens).alias("dl"))
-    stats = corpus_stats(docs, doc_tokens)
+    return bm25_of(*weighed_postings(docs, doc_tokens, asked), asked, k, k1, b)
+
+
+def bm25_of(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The same from postings as weighed_postings makes them or as an index holds them; asked (qid, token, qtf)."""
     tf = F.col("tf").cast("double")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("qtf") * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(bounded(asked), "token").join(df, "token").join(lengths, "doc_id").crossJoin(F.broadcast(stats)).groupBy("qid", "doc_id").agg(F.sum(weight).alias("score"))
+    scored = postings.join(bounded(asked), "token").join(df, "token").crossJoin(F.broadcast(stats)).groupBy("qid", "doc_id").agg(F.sum(weight).alias("score"))
     return top_k(scored, k)
 
 
@@ -55,16 +72,14 @@ def okapi(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b:
     """The classic variant on white-space tokens: idf ln(N - df + .5) - ln(df + .5), negative ones raised to a share of
     the mean idf; only positive scores stay, divided by the query's best (V02, T04)."""
     words = lambda c: F.filter(F.split(F.lower(text_or_empty(c)), r"\s+"), lambda t: t != "")
-    postings = term_frequencies(docs, words("text"))
-    stats = F.broadcast(corpus_stats(docs, words("text")))
-    raw = postings.groupBy("token").agg(F.count("*").alias("df")).crossJoin(stats).select("token", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    postings, df, stats = weighed_postings(docs, words("text"))
+    raw = df.crossJoin(F.broadcast(stats)).select("token", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
     idf = raw.crossJoin(F.broadcast(mean)).select("token", "avgdl", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select("qid", F.explode(words("text")).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-    lengths = docs.select("doc_id", F.size(words("text")).alias("dl"))
     tf = F.col("tf").cast("double")
     weight = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(bounded(asked), "token").join(idf, "token").join(lengths, "doc_id").groupBy("qid", "doc_id").agg(F.sum(weight).alias("score")).where("score > 0")
+    scored = postings.join(bounded(asked), "token").join(idf, "token").groupBy("qid", "doc_id").agg(F.sum(weight).alias("score")).where("score > 0")
     scored = scored.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("qid")))
     return top_k(scored, k)
 

@@ -5,22 +5,121 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What is done in each phase, and which action leads where.
-TRANSITIONS = {("FORMULATE", "view"): "SEARCH", ("SEARCH", "click"): "BROWSE", ("BROWSE", "signup"): "SEARCH", ("SEARCH", "purchase"): "DONE", ("BROWSE", "purchase"): "DONE"}
+#: The phases of the research world and what may be done in each; the actions of the shopping world.
 PHASES = {"FORMULATE": ["search"], "SEARCH": ["open_result", "refine_query"], "BROWSE": ["cite_source", "back_to_results"]}
-
-
-def next_state(state: Column, action: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for (s, a), to in TRANSITIONS.items():
-        out = F.coalesce(out, F.when((state == s) & (action == a), to))
-    return F.coalesce(out, state)
-
-
-def fold_states(events: DataFrame) -> DataFrame:
-    """(user_id, state): the state that each user's actions lead to, in order."""
-    acts = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("acts"))
-    return acts.select("user_id", F.aggregate("acts", F.lit("FORMULATE"), lambda s, a: next_state(s, a["event_type"])).alias("state"))
+SHOP_ACTIONS = ("search", "click_product", "buy", "add_cart", "open_modal", "close_modal", "toggle_dropdown", "apply_filter", "back", "zoom")
+SHOP_STATE = "page string, family string, selected int, searched boolean, cart array<int>, modal string, dropdown string, filters map<string,string>, stock map<int,int>, log array<struct<step:int,page:string,action:string,events:array<string>>>"
+RESEARCH_STATE = "phase string, page string, opened int, queries int, cited array<int>, done boolean, total double, log array<struct<step:int,phase:string,option:string,page:string,citations:int,reward:double>>"
+
+
+def episodes(acts: DataFrame, user: str, order: list[str], steps: int = 12) -> DataFrame:
+    """(user, episode, acts): each user's actions in order, cut into episodes of at most `steps`; no array is longer than that."""
+    n = F.row_number().over(Window.partitionBy(user).orderBy(*order)) - 1
+    rest = [c for c in acts.columns if c not in (user, *order)]
+    numbered = acts.select(user, F.floor(n / steps).alias("episode"), (n % steps).cast("int").alias("step"), *rest)
+    return numbered.groupBy(user, "episode").agg(F.sort_array(F.collect_list(F.struct("step", *rest))).alias("acts"))
+
+
+def shop_start(stock: dict[int, int]) -> Column:
+    """The state in which a shopping episode begins: on the search page, nothing chosen, all products in stock."""
+    none = F.lit(None)
+    return F.struct(F.lit("search"), F.lit("search"), none, F.lit(False), F.array(), none, none, F.map_from_arrays(F.array(), F.array()), F.create_map(*[F.lit(x) for kv in stock.items() for x in kv]), F.array()).cast(f"struct<{SHOP_STATE}>")
+
+
+def _put(entries: Column, key: Column, value: Column) -> Column:
+    """A map with one entry set."""
+    return F.map_concat(F.map_filter(entries, lambda k, _: k != key), F.create_map(key, value))
+
+
+def shop_step(s: Column, a: Column) -> Column:
+    """One of ten actions on a shopping state (U01). a: (step, action, product, name, key, value).
+
+    A product can be opened once a search has shown it; only what is in stock is bought; back leads from a product to the
+    results and from there to the search; an action without effect leaves no event.
+    """
+    did = lambda name: a["action"] == name
+    shown = s["searched"] & F.coalesce(F.map_contains_key(s["stock"], F.coalesce(a["product"], F.lit(-1))), F.lit(False))
+    left = F.coalesce(F.try_element_at(s["stock"], F.coalesce(s["selected"], F.lit(-1))), F.lit(0))
+    click, buy, cart = did("click_product") & shown, did("buy") & (left > 0), did("add_cart") & s["selected"].isNotNull()
+    closes = did("toggle_dropdown") & s["dropdown"].eqNullSafe(a["name"])
+    from_detail, from_results = did("back") & (s["family"] == "detail"), did("back") & (s["family"] == "results")
+    page = F.when(did("search") | from_detail, "results").when(click, F.concat(F.lit("detail_"), a["product"])).when(from_results, "search").otherwise(s["page"])
+    family = F.when(did("search") | from_detail, "results").when(click, "detail").when(from_results, "search").otherwise(s["family"])
+    cart_now = F.when(cart, F.array_append(s["cart"], s["selected"])).otherwise(s["cart"])
+    moved = F.concat(F.lit("page_navigated:"), s["page"], F.lit(">"), page)
+    events = F.array_compact(F.array(
+        F.when(did("search") | click | did("back"), moved),
+        F.when(buy, F.concat_ws(":", F.lit("inventory_changed"), s["selected"].cast("string"), left.cast("string"), (left - 1).cast("string"))),
+        F.when(cart, F.concat(F.lit("cart_count_changed:"), F.size(cart_now))),
+        F.when(buy, "toast_shown:success").when(cart, "toast_shown:info"),
+        F.when(did("open_modal"), F.concat(F.lit("modal_opened:"), a["name"])).when(did("close_modal"), "modal_closed"),
+        F.when(closes, F.concat(F.lit("dropdown_collapsed:"), a["name"])).when(did("toggle_dropdown"), F.concat(F.lit("dropdown_expanded:"), a["name"])),
+        F.when(did("apply_filter"), F.concat(F.lit("filter_applied:"), a["key"], F.lit("="), a["value"])),
+    ))
+    return F.struct(
+        page.alias("page"), family.alias("family"), F.when(click, a["product"]).when(~from_detail, s["selected"]).alias("selected"), (s["searched"] | did("search")).alias("searched"), cart_now.alias("cart"),
+        F.when(did("open_modal"), a["name"]).when(~did("close_modal"), s["modal"]).alias("modal"), F.when(did("toggle_dropdown") & ~closes, a["name"]).when(~closes, s["dropdown"]).alias("dropdown"),
+        F.when(did("apply_filter"), _put(s["filters"], a["key"], a["value"])).otherwise(s["filters"]).alias("filters"), F.when(buy, _put(s["stock"], s["selected"], left - 1)).otherwise(s["stock"]).alias("stock"),
+        F.array_append(s["log"], F.struct(a["step"].alias("step"), s["page"].alias("page"), a["action"].alias("action"), events.alias("events"))).alias("log"),
+    ).cast(f"struct<{SHOP_STATE}>")
+
+
+def play_shop(episodes: DataFrame, stock: dict[int, int]) -> DataFrame:
+    """Episodes with the state their actions lead to and a log of pages, actions and events (U01); acts is replaced by state."""
+    return episodes.select(*[c for c in episodes.columns if c != "acts"], F.aggregate("acts", shop_start(stock), shop_step).alias("state"))
+
+
+def research_options(phase: Column, results: Column, citations: Column, picture: Column, least: int = 1) -> Column:
+    """What an agent may choose on a page (U13): every result can be opened, a report needs enough citations."""
+    submit = F.when(citations >= least, F.array(F.lit("submit_report"))).otherwise(F.array().cast("array<string>"))
+    opened = F.when(results > 0, F.transform(F.sequence(F.lit(1), F.greatest(results, F.lit(1))), lambda k: F.concat(F.lit("open_result_"), k))).otherwise(F.array().cast("array<string>"))
+    zoom = F.when(picture, F.array(F.lit("zoom_doc_image"))).otherwise(F.array().cast("array<string>"))
+    browse = F.concat(F.array(F.lit("back_to_results"), F.lit("cite_source")), zoom, submit)
+    return F.when(phase == "FORMULATE", F.array(F.lit("search"))).when(phase == "SEARCH", F.concat(opened, F.array(F.lit("refine_query")), submit)).when(phase == "BROWSE", browse).otherwise(F.array().cast("array<string>"))
+
+
+def research_start() -> Column:
+    return F.struct(F.lit("FORMULATE"), F.lit("formulate"), F.lit(None), F.lit(0), F.array(), F.lit(False), F.lit(0.0), F.array()).cast(f"struct<{RESEARCH_STATE}>")
+
+
+def research_step(s: Column, step: Column, option: Column, gold: Column, least: int = 1) -> Column:
+    """One chosen option on a research state, with its reward (U10, U13). gold: the position of the wanted document among the
+    results, null if it is not there. A null option, or one after the report, changes nothing."""
+    on = option.isNotNull() & ~s["done"]
+    did = lambda name: on & F.coalesce(option == name, F.lit(False))
+    opens = on & F.coalesce(option.startswith("open_result_"), F.lit(False))
+    result = F.when(opens, F.regexp_extract(option, r"(\d+)$", 1).try_cast("int"))
+    looks = did("search") | did("refine_query")
+    cites = did("cite_source") & s["opened"].isNotNull()
+    cited = F.when(cites, F.array_append(s["cited"], s["opened"])).otherwise(s["cited"])
+    found = F.coalesce(F.array_contains(s["cited"], gold), F.lit(False))
+    reward = F.when(did("search"), 0.05 + F.when(gold.isNotNull(), 0.1).otherwise(0.0)).when(did("cite_source"), F.when(s["opened"].eqNullSafe(gold) & cites, 0.3).otherwise(0.05)).when(did("refine_query"), 0.03)
+    reward = reward.when(opens, F.when(result.eqNullSafe(gold), 0.2).otherwise(0.0)).when(did("submit_report"), F.when(found, 2.0).otherwise(0.0) - F.when(F.size(s["cited"]) < least, 1.0).otherwise(0.0)).otherwise(0.0)
+    reward = F.greatest(F.lit(-2.0), F.least(F.lit(3.0), reward - 0.02))
+    phase = F.when(looks | did("back_to_results"), "SEARCH").when(opens, "BROWSE").when(did("submit_report"), "SYNTHESIZE").otherwise(s["phase"])
+    page = F.when(looks | did("back_to_results"), "results").when(opens, F.concat(F.lit("document_"), result)).when(did("submit_report"), "report_submitted").otherwise(s["page"])
+    entry = F.struct(step.alias("step"), s["phase"].alias("phase"), option.alias("option"), page.alias("page"), F.size(cited).alias("citations"), reward.alias("reward"))
+    return F.struct(
+        phase.alias("phase"), page.alias("page"), F.when(opens, result).when(~(looks | did("back_to_results")), s["opened"]).alias("opened"), (s["queries"] + looks.cast("int")).alias("queries"), cited.alias("cited"),
+        (s["done"] | did("submit_report")).alias("done"), (s["total"] + F.when(on, reward).otherwise(0.0)).alias("total"), F.when(on, F.array_append(s["log"], entry)).otherwise(s["log"]).alias("log"),
+    ).cast(f"struct<{RESEARCH_STATE}>")
+
+
+def mismatches(phase: Column, page: Column, opened: Column, citations: Column, results: Column, submitted: Column, hashed: Column, event: Column, claim: Column) -> Column:
+    """What a claimed change and the state it led to do not agree on (F23), by seven rules in their order. event: its type;
+    claim: (results, document, citation, page, hash), null where the event does not say."""
+    is_ = lambda name: F.coalesce(event == name, F.lit(False))
+    pages = F.when(phase == "FORMULATE", page == "formulate").when(phase == "SEARCH", page == "results").when(phase == "SYNTHESIZE", page == "report_submitted").otherwise(True)
+    rules = (
+        ("result_count", is_("results_returned") & ~F.coalesce(claim["results"], F.lit(0)).eqNullSafe(results)),
+        ("document_open", is_("document_opened") & ~claim["document"].eqNullSafe(opened)),
+        ("citation_id", is_("evidence_collected") & F.coalesce(claim["citation"] > citations, F.lit(False)) & (claim["citation"] != 0)),
+        ("page_nav", is_("page_navigated") & (F.coalesce(claim["page"], F.lit("")) != "") & (claim["page"] != page)),
+        ("report_submitted", is_("report_submitted") & ~submitted),
+        ("phase_page", ~pages | ((phase == "BROWSE") & ~page.startswith("document_"))),
+        ("state_hash", (F.coalesce(claim["hash"], F.lit("")) != "") & (claim["hash"] != hashed)),
+    )
+    return F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules]))
 
 
 def available_actions(phase: Column, citations: Column, least: Column) -> Column:

@@ -230,14 +230,6 @@ def v14(spark: SparkSession, sf: str) -> DataFrame:
     return steps(spark, sf).select("traj", "step", F.round(C.shopping_reward(_mapped(SHOP), k % 7 != 0, k % 2 == 0, k > 30), 6).alias("reward"))
 
 
-@query("V15_aligned_reward", f"WITH {BASE}, n AS (SELECT traj, step, action, retrieved, lead(action) OVER (PARTITION BY traj ORDER BY step) AS gt, lead(retrieved) OVER (PARTITION BY traj ORDER BY step) AS gk FROM steps) SELECT traj, step, round(greatest(-1.5::DOUBLE, least(2.0::DOUBLE, CASE WHEN action = gt THEN 1.0 ELSE -0.5 END + CASE WHEN retrieved = gk THEN 0.5 ELSE 0.0 END - 0.02)), 6) AS reward FROM n WHERE gt IS NOT NULL")
-def v15(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("traj").orderBy("step")
-    n = steps(spark, sf).select("traj", "step", "action", "retrieved", F.lead("action").over(w).alias("gt"), F.lead("retrieved").over(w).alias("gk")).where("gt IS NOT NULL")
-    raw = F.when(F.col("action") == F.col("gt"), 1.0).otherwise(-0.5) + F.when(F.col("retrieved") == F.col("gk"), 0.5).otherwise(0.0) - 0.02
-    return n.select("traj", "step", F.round(F.greatest(F.lit(-1.5), F.least(F.lit(2.0), raw)), 6).alias("reward"))
-
-
 @query("V16_completion_reward", f"WITH {BASE} SELECT traj, step, CASE WHEN retrieved % 11 = 0 THEN -1.0 WHEN action = 'error' THEN -1.2 WHEN retrieved % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM steps")
 def v16(spark: SparkSession, sf: str) -> DataFrame:
     """Unreadable -1, not allowed -1.2, equal to the reference action its reward, else 0."""

@@ -111,11 +111,6 @@ def a20(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("combo")).agg(F.round(d, 6).alias("difficulty"))
 
 
-@query("A21_controller_metrics", f"WITH {credit.BASE} SELECT action, count(*) AS n, round(avg((step > 0)::INT), 6) AS retry_rate, round(avg(value), 6) AS mean_gain FROM steps GROUP BY action")
-def a21(spark: SparkSession, sf: str) -> DataFrame:
-    return credit.steps(spark, sf).groupBy("action").agg(F.count("*").alias("n"), F.round(F.avg((F.col("step") > 0).cast("int")), 6).alias("retry_rate"), F.round(F.avg("value"), 6).alias("mean_gain"))
-
-
 @query("A22_library_stats", "SELECT p_type AS type, count(*) AS n, round(avg(p_size / 50.0::DOUBLE), 6) AS mean_quality, count(DISTINCT p_brand) AS pages FROM part GROUP BY ALL")
 def a22(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").groupBy(F.col("p_type").alias("type")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("p_size") / 50), 6).alias("mean_quality"), F.count_distinct("p_brand").alias("pages"))
@@ -314,12 +309,6 @@ def f24(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").where("p_type = 'ECONOMY' AND p_size >= 20").join(F.broadcast(excluded), "p_brand", "left_anti").orderBy(F.desc("p_size"), "p_partkey").limit(40).select("p_partkey")
 
 
-@query("U01_fsm_fold", """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), a AS (SELECT user_id, list(event_type ORDER BY i) AS acts FROM e GROUP BY user_id)
-SELECT user_id, list_reduce(list_concat(['FORMULATE'], acts), lambda s, x: CASE WHEN s = 'FORMULATE' AND x = 'view' THEN 'SEARCH' WHEN s = 'SEARCH' AND x = 'click' THEN 'BROWSE' WHEN s = 'BROWSE' AND x = 'signup' THEN 'SEARCH' WHEN s IN ('SEARCH', 'BROWSE') AND x = 'purchase' THEN 'DONE' ELSE s END) AS state FROM a""")
-def u01(spark: SparkSession, sf: str) -> DataFrame:
-    return world.fold_states(table(spark, sf, "events"))
-
-
 @query("U02_available_actions", "SELECT event_type, CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'open_result,refine_query,submit_report' WHEN 'signup' THEN 'cite_source,back_to_results,submit_report' ELSE 'submit_report' END AS actions FROM (SELECT DISTINCT event_type FROM events)")
 def u02(spark: SparkSession, sf: str) -> DataFrame:
     phase = F.element_at(F.create_map(*[F.lit(x) for kv in {"view": "FORMULATE", "click": "SEARCH", "signup": "BROWSE", "purchase": "DONE", "error": "DONE"}.items() for x in kv]), F.col("event_type"))
@@ -331,18 +320,6 @@ def u03(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.sparse(spark, sf, 6).join(retrieval._arts(spark, sf), "doc_id").select("qid", F.col("rank").alias("result_id"), "title", F.left("content", F.lit(60)).alias("snippet"))
 
 
-@query("U10_replay_rewards", f"WITH {credit.BASE}, s AS (SELECT traj, sum({credit.REWARD}) AS total, count(*) AS n FROM steps GROUP BY traj) SELECT traj, {credit._sql('total')}, n FROM s")
-def u10(spark: SparkSession, sf: str) -> DataFrame:
-    a = F.col("action")
-    return credit._r(credit.steps(spark, sf).groupBy("traj").agg(F.sum(F.when(a == "view", 0.1).when(a == "click", 0.2).when(a == "error", -0.5).otherwise(0.0)).alias("total"), F.count("*").alias("n")), "total")
-
-
-@query("U12_kb_lookup", "SELECT concat('Q', doc_id) AS qid, string_split(text, chr(10))[1] AS title FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
-def u12(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
-    return table(spark, sf, "documents").join(wanted, "doc_id", "left_semi").select(F.concat(F.lit("Q"), "doc_id").alias("qid"), F.substring_index("text", "\n", 1).alias("title"))
-
-
 @query("N02_rollout_json", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 100 AS num_tokens FROM events")
 def n02(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.lit(100).alias("num_tokens"))

@@ -13,23 +13,11 @@ from trailforge.plans.registry import query
 from trailforge.session import table
 
 
-@query("S01_articles", "SELECT doc_id, left(coalesce(text, ''), 500) AS summary FROM documents WHERE coalesce(text, '') <> '' AND doc_id % 3 <> 0")
-def s01(spark: SparkSession, sf: str) -> DataFrame:
-    """Articles with an id and a picture, summary cut to 500."""
-    return retrieval._arts(spark, sf).where("content <> '' AND has_image").select("doc_id", "summary")
-
-
 @query("S09_column_scan", "SELECT doc_id, lang FROM documents")
 def s09(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", "lang")
 
 
-@query("S17_lookup", "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)")
-def s17(spark: SparkSession, sf: str) -> DataFrame:
-    ids = table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"))
-    return table(spark, sf, "embeddings").select("vec_id", "label").join(ids, "vec_id", "left_semi")
-
-
 @query("J09_postings_probe", f"WITH {retrieval.BM25} SELECT qid, count(*) AS postings, sum(tf)::BIGINT AS tf FROM post JOIN q USING (token) GROUP BY qid")
 def j09(spark: SparkSession, sf: str) -> DataFrame:
     from trailforge.functions.text import search_tokens
@@ -68,46 +56,6 @@ def t03(spark: SparkSession, sf: str) -> DataFrame:
     return dense(*retrieval._vectors(spark, sf), k=1).select("qid", "doc_id")
 
 
-@query("U04_retry_controller", f"""WITH {retrieval.BM25}, {retrieval.VEC}, c AS (SELECT qid, 'strict' AS strategy, 0 AS pos, count(*) FILTER (WHERE score > 60) AS n FROM bmr WHERE rank <= 5 GROUP BY qid UNION ALL SELECT qid, 'relaxed', 1, count(*) FILTER (WHERE score > 30) FROM bmr WHERE rank <= 10 GROUP BY qid UNION ALL SELECT qid, 'sparse', 2, count(*) FROM bmr WHERE rank <= 10 GROUP BY qid)
-SELECT qid, arg_min(strategy, CASE WHEN n >= 3 THEN pos ELSE 10 + pos END) AS strategy FROM c GROUP BY qid""")
-def u04(spark: SparkSession, sf: str) -> DataFrame:
-    """The first strategy with three results or more, else the first of all."""
-    ten = retrieval.sparse(spark, sf, 10)
-    s, r = F.col("score"), F.col("rank")
-    n = ten.groupBy("qid").agg(F.count_if((r <= 5) & (s > 60)).alias("strict"), F.count_if(s > 30).alias("relaxed"), F.count("*").alias("sparse"))
-    return n.select("qid", F.coalesce(*[F.when(F.col(k) >= 3, F.lit(k)) for k in ("strict", "relaxed", "sparse")], F.lit("strict")).alias("strategy"))
-
-
-@query("U11_page_assembly", "SELECT p_brand, concat('<section>', p_brand, '</section>', (SELECT concat('<div>', arg_min(p_name, ((('0x' || left(md5(p_partkey::VARCHAR), 8))::UBIGINT) * 100000 + p_partkey)), '</div>') FROM part i WHERE i.p_brand = o.p_brand)) AS html FROM part o GROUP BY p_brand")
-def u11(spark: SparkSession, sf: str) -> DataFrame:
-    """One component for each page slot, picked by hash."""
-    pick = table(spark, sf, "part").groupBy("p_brand").agg(F.min(F.struct(etl.hash_number(F.col("p_partkey")).alias("h"), "p_partkey", "p_name")).alias("c"))
-    return pick.select("p_brand", F.concat(F.lit("<section>"), "p_brand", F.lit("</section><div>"), "c.p_name", F.lit("</div>")).alias("html"))
-
-
-@query("U13_episode_log", """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
-SELECT user_id, i AS step, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY i) AS before, event_type <> 'error' AS valid FROM e WHERE i <= 8""")
-def u13(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").select("user_id", "event_type", F.row_number().over(w).alias("step"), F.lag("event_type").over(w).alias("before"))
-    return e.where("step <= 8").withColumn("valid", F.col("event_type") != "error")
-
-
-@query("F20_missing_files", "SELECT page_id FROM pages WHERE page_id % 4 <> 0")
-def f20(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows whose file the manifest has."""
-    p = table(spark, sf, "pages").select("page_id")
-    return p.join(p.where("page_id % 4 <> 0"), "page_id", "left_semi")
-
-
-@query("F23_state_diff", "SELECT event_id, concat_ws(',', CASE WHEN event_type = 'purchase' AND value < 5 THEN 'no_data_change' END, CASE WHEN event_type = 'view' AND event_id % 9 = 0 THEN 'phase' END) AS mismatches FROM events")
-def f23(spark: SparkSession, sf: str) -> DataFrame:
-    from trailforge.operators.filters import errors
-
-    checks = errors(("no_data_change", (F.col("event_type") == "purchase") & (F.col("value") < 5)), ("phase", (F.col("event_type") == "view") & (F.col("event_id") % 9 == 0)))
-    return table(spark, sf, "events").select("event_id", F.array_join(checks, ",").alias("mismatches"))
-
-
 @query("F17_model_probe", "SELECT p_partkey FROM part WHERE NOT contains(lower(p_name), 'ring')")
 def f17(spark: SparkSession, sf: str) -> DataFrame:
     """A stand-in model answers; whoever it answers rightly is let go, a failure passes."""
@@ -146,12 +94,6 @@ def n13(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.filter(order, lambda s: (s == "submit") | (F.length(s) <= 2 + F.col("p_size") % 5)), ">").alias("script"))
 
 
-@query("N14_template_trajectory", "SELECT p_partkey, CASE WHEN p_size <= 15 THEN 'search>open>submit' WHEN p_size <= 35 THEN 'search>open>cite>submit' ELSE 'search>open>zoom>cite>back>submit' END AS gt FROM part")
-def n14(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("p_size")
-    return table(spark, sf, "part").select("p_partkey", F.when(s <= 15, "search>open>submit").when(s <= 35, "search>open>cite>submit").otherwise("search>open>zoom>cite>back>submit").alias("gt"))
-
-
 @query("N15_task_conversion", "SELECT concat('visual_', p_partkey) AS task_id, array_to_string(list_transform(string_split(p_name, ' '), lambda s: concat('look:', s)), ',') AS steps FROM part")
 def n15(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.concat(F.lit("visual_"), "p_partkey").alias("task_id"), F.array_join(F.transform(F.split("p_name", " "), lambda s: F.concat(F.lit("look:"), s)), ",").alias("steps"))
@@ -171,19 +113,6 @@ def g08(spark: SparkSession, sf: str) -> DataFrame:
     return etl.first_of(walks.select(F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("end"), "walk", "hops"), ["start", "end"], "walk").orderBy("walk").limit(500)
 
 
-@query("U05_react_loop", "SELECT user_id, least(count(*), 6) AS turns, CASE WHEN count(*) > 6 THEN 'forced' ELSE 'answered' END AS ending FROM events GROUP BY user_id")
-def u05(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns of a budgeted loop; beyond the budget an answer is forced."""
-    n = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    return n.select("user_id", F.least("n", F.lit(6)).alias("turns"), F.when(F.col("n") > 6, "forced").otherwise("answered").alias("ending"))
-
-
-@query("U06_termination", "SELECT conv_id, CASE WHEN bool_or(length(text) < 20) THEN 'answer' WHEN count(*) >= 8 THEN 'max_turns' ELSE 'stopped' END AS reason, count(*) AS turns FROM conversations GROUP BY conv_id")
-def u06(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.bool_or(F.length("text") < 20).alias("short"), F.count("*").alias("turns"))
-    return g.select("conv_id", F.when(F.col("short"), "answer").when(F.col("turns") >= 8, "max_turns").otherwise("stopped").alias("reason"), "turns")
-
-
 @query("U07_samples", "SELECT p_partkey, k AS sampling_index, concat('<answer>', list_extract(string_split(p_name, ' '), -1), ' ', k, '</answer>') AS reply FROM part, range(4) r(k)")
 def u07(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each question and sample."""
@@ -192,12 +121,6 @@ def u07(spark: SparkSession, sf: str) -> DataFrame:
     return providers.complete_column(asked, "prompt", "reply", providers.EchoChat).select("p_partkey", "sampling_index", "reply")
 
 
-@query("U08_tool_dispatch", "SELECT CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'visit' ELSE 'unknown' END AS tool, count(*) AS n FROM events GROUP BY ALL")
-def u08(spark: SparkSession, sf: str) -> DataFrame:
-    tool = F.when(F.col("event_type") == "view", "search").when(F.col("event_type") == "click", "visit").otherwise("unknown")
-    return table(spark, sf, "events").groupBy(tool.alias("tool")).agg(F.count("*").alias("n"))
-
-
 @query("U09_scripted_agent", "SELECT event_type, CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'open_result' ELSE 'submit_report' END AS action FROM (SELECT DISTINCT event_type FROM events)")
 def u09(spark: SparkSession, sf: str) -> DataFrame:
     script = {"view": "search", "click": "open_result"}
@@ -205,21 +128,6 @@ def u09(spark: SparkSession, sf: str) -> DataFrame:
     return providers.complete_column(states, "event_type", "action", lambda: providers.ScriptedDecision(script))
 
 
-@query("K02_sft_lines", "SELECT conv_id, to_json({'conv_id': conv_id, 'n': count(*)}) AS line FROM conversations GROUP BY conv_id")
-def k02(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    return g.select("conv_id", F.to_json(F.struct("conv_id", "n")).alias("line"))
-
-
-@query("K08_index_probe", f"WITH {retrieval.BM25} SELECT token, count(*) AS df FROM post WHERE token LIKE 'tion%' GROUP BY token")
-def k08(spark: SparkSession, sf: str) -> DataFrame:
-    from trailforge.functions.text import search_tokens
-    from trailforge.operators.retrieval import term_frequencies
-
-    arts = retrieval._arts(spark, sf).select("doc_id", F.concat_ws(" ", "title", "summary").alias("t"))
-    return term_frequencies(arts, search_tokens("t")).where(F.col("token").startswith("tion")).groupBy("token").agg(F.count("*").alias("df"))
-
-
 @query("G03_shortcuts", "SELECT count(*) AS n FROM (SELECT DISTINCT c_custkey, c_nationkey FROM customer)")
 def g03b(spark: SparkSession, sf: str) -> DataFrame:
     """Customers from which their nation is one hop away."""

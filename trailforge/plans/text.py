@@ -142,7 +142,6 @@ project("M06_list_match", "part", lambda: {"p_partkey": F.col("p_partkey"), "em"
 
 # corpus cleaning: documents stand for captions and articles
 project("F01_quality_v1", "documents", lambda: {"doc_id": DOC()}, "SELECT doc_id FROM documents WHERE lang = 'en' AND length(text) >= 10 AND n_chars >= 200", where="lang = 'en' AND length(text) >= 10 AND try_cast(n_chars AS int) >= 200")
-project("F02_quality_v2", "documents", lambda: {"doc_id": DOC()}, "SELECT doc_id FROM documents WHERE lang = 'en' AND source <> '' AND (text <> '' OR source <> '') AND n_chars >= 200 AND doc_id % 3 <> 0", where="lang = 'en' AND source <> '' AND (text <> '' OR source <> '') AND n_chars >= 200 AND doc_id % 3 <> 0")
 project("F03_quality_v3", "documents", lambda: {"doc_id": DOC()}, "SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) > 20 AND length(string_split(text, chr(10))[1]) > 2", where="text IS NOT NULL AND length(text) > 20 AND length(substring_index(text, '\\n', 1)) > 2")
 LANGS = "['fr', 'en', lang]"
 project("F04_language_pick", "documents", lambda: {"doc_id": DOC(), "caption": etl.pick_language(F.array(F.lit("fr"), F.lit("en"), F.col("lang")), F.array(F.lit(None).cast("string"), F.when(DOC() % 2 == 0, F.left("text", F.lit(30))).otherwise(F.lit("short")), F.col("text")), F.array(F.lit("x"), F.concat(F.lit("t"), DOC()), F.lit("z")))["caption"]},
@@ -197,12 +196,6 @@ def x12b(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").groupBy(text.page_family(F.col("url"), F.col("html")).alias("family")).agg(F.count("*").alias("n"))
 
 
-@query("S13_title_index", "SELECT title, max(doc_id) AS doc_id FROM (SELECT doc_id, lower(trim(string_split(text, chr(10))[1])) AS title FROM documents) GROUP BY title")
-def s13(spark: SparkSession, sf: str) -> DataFrame:
-    """The last document of a title wins."""
-    return table(spark, sf, "documents").groupBy(F.lower(F.trim(F.substring_index("text", "\n", 1))).alias("title")).agg(F.max("doc_id").alias("doc_id"))
-
-
 @query("W12_per_type_cap", "SELECT p_type, p_partkey FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS n FROM (SELECT min(p_partkey) AS p_partkey, any_value(p_type) AS p_type FROM part GROUP BY p_type, p_size // 20)) WHERE n <= 3")
 def w12(spark: SparkSession, sf: str) -> DataFrame:
     """One part of each type and place on a grid of 20, then the first three of each type."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,18 +45,32 @@ def views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | list[str] =
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trailforge-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            warnings.warn("spark.checkpoint.dir is not set: a folder of this machine is used, which executors elsewhere do not see", stacklevel=2)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="trailforge-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, unless they find it on the path that they share with the driver."""
     root, context = repo_root(), spark.sparkContext
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root or getattr(context, "_trailforge_shipped", False):
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_trailforge_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="trailforge-")
     context.addPyFile(shutil.make_archive(os.path.join(folder, "trailforge"), "zip", root, "trailforge"))

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from trailforge.operators.etl import pick_language
 
+#: Fixed value: characters of an article that its summary keeps.
+SUMMARY = 500
 ARTICLE = "wikidata_id string, wikipedia_title string, wikipedia_content string, wikipedia_image_url string, wikipedia_summary string"
 WIT = (
     "language page_url image_url page_title section_title hierarchical_section_title caption_reference_description caption_attribution_description "

@@ -11,6 +11,12 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def json_arrays(df: DataFrame, path: str, rows: int = 10_000) -> None:
+    """JSON arrays of at most `rows` objects, one to a line (K01); no task holds more than one array's rows at a time."""
+    numbered = df.select(F.struct(*df.columns).alias("r"), F.floor(F.monotonically_increasing_id() / rows).alias("k"))
+    numbered.groupBy("k").agg(F.to_json(F.collect_list("r")).alias("value")).select("value").write.mode("overwrite").text(path)
+
+
 def episodes(df: DataFrame, path: str) -> None:
     """Episode lines with action and parameters as one JSON string."""
     rest = [c for c in df.columns if c not in ("action", "params")]

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailforge.operators.world import TRANSITIONS
-
+#: Which event leads from which phase to which; others leave the phase as it is.
+TRANSITIONS = {("FORMULATE", "view"): "SEARCH", ("SEARCH", "click"): "BROWSE", ("BROWSE", "signup"): "SEARCH", ("SEARCH", "purchase"): "DONE", ("BROWSE", "purchase"): "DONE"}
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
