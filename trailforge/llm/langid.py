@@ -26,9 +26,10 @@ WINDOW = 256
 FILTERS = 10  # of each width
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
-#: Bounds of the sample that the network learns from: windows of each language, and languages.
+#: Bounds of the sample that the network learns from: windows of each language, and of all languages together. Every
+#: labelled language is learned, however many there are; with more than 200 of them each has fewer windows.
 WINDOWS_PER_LANGUAGE = 2500
-LANGUAGES = 200
+WINDOWS_IN_ALL = 500_000
 
 _ascii_letter = re.compile(rb"[A-Za-z]")
 
@@ -161,13 +162,15 @@ def fit(docs: DataFrame, per_language: int = WINDOWS_PER_LANGUAGE, seed: int = 1
     whatever the size of the table; each window stands at a hashed place of its text.
     """
     own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
     if not counts:
         return Network([], [np.zeros((w, 256, FILTERS)) for w in WIDTHS], np.zeros(3 * FILTERS), np.zeros((3 * FILTERS, 0)), np.zeros(0))
+    per_language = max(1, min(per_language, WINDOWS_IN_ALL // len(counts)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20))
-    rate = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1 << 20, (per_language << 20) // n + 1)))]), F.col("lang"))
+    rates = docs.sparkSession.createDataFrame([(k, min(1 << 20, (per_language << 20) // n + 1)) for k, n in sorted(counts.items())], "lang string, rate long")
     place = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.char_length("text") - WINDOW)).cast("int")
-    sample = own.where(F.col("lang").isin(*counts) & (draw < rate) & F.col("text").isNotNull()).select("lang", F.substring("text", place + 1, F.lit(WINDOW)).alias("w"), F.xxhash64("doc_id", F.lit(seed + 2)).alias("o"))
+    drawn = own.withColumn("draw", draw).join(F.broadcast(rates), "lang").where((F.col("draw") < F.col("rate")) & F.col("text").isNotNull())
+    sample = drawn.select("lang", F.substring("text", place + 1, F.lit(WINDOW)).alias("w"), F.xxhash64("doc_id", F.lit(seed + 2)).alias("o"))
     rows = sorted((r["o"], r["lang"], r["w"].encode()[:WINDOW]) for r in sample.orderBy("o", "lang", "w").limit(2 * per_language * len(counts)).collect())
     rows = [r for r in rows if has_letter(r[2])]
     languages = sorted({r[1] for r in rows})
