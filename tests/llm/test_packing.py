@@ -51,6 +51,19 @@ def test_round_trip(spark):
     assert [x for _, x in parts[4]] == [whole("short")] * 2 and parts[None][0][1] == whole("no id") and set(parts) == {1, 4, None}
 
 
+def test_rows_do_not_hang_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = packing.pack_documents(docs.repartition(n), tokenizer_path(), length=256, shard_tokens=20_000).collect()
+            seen.append(sorted((r["shard"], r["row"], bytes(r["input_ids"]), tuple(map(tuple, r["segments"]))) for r in out))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len({s[0] for s in seen[0]}) > 2
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, tokenizer_path()).count() == 0

@@ -62,6 +62,11 @@ class Vocabulary:
             self.joined[self.ids[a], self.ids[b]] = k
             if whole not in self.rank:
                 self.rank[whole], self.parts[whole] = k, (self.ids[a], self.ids[b])
+        count = max(self.ids.values()) + 1  # the same by token, for the pair test
+        self.ranks, self.lefts, self.rights = [-1] * count, [-1] * count, [-1] * count
+        for token, (a, b) in self.parts.items():
+            self.ranks[token], self.lefts[token], self.rights[token] = self.rank[token], a, b
+        self.meets = {a << BITS | b: k for (a, b), k in self.joined.items()}
         self.usable = {t: i for t, i in self.ids.items() if t != END and self._stands(i)}
 
     def _stands(self, token: int) -> bool:
@@ -77,20 +82,22 @@ class Vocabulary:
         The last merge on either side is taken back, the right one first if both are of one rank; the tokens that
         then touch must have no merge of their own that would have come earlier.
         """
-        rank, parts, joined = self.rank, self.parts, self.joined
+        ranks, lefts, rights, meets = self.ranks, self.lefts, self.rights, self.meets
         while True:
-            meet = joined.get((a, b))
+            meet = meets.get(a << BITS | b)
             if meet is not None and meet < limit:
                 return False
-            left, right = rank.get(a, -1), rank.get(b, -1)
-            if left < 0 and right < 0:
-                return True
+            left, right = ranks[a], ranks[b]
             if left > right:
-                limit = min(limit, left)
-                a = parts[a][1]
+                if left < limit:
+                    limit = left
+                a = rights[a]
+            elif right < 0:
+                return True
             else:
-                limit = min(limit, right + 1)
-                b = parts[b][0]
+                if right < limit:
+                    limit = right + 1
+                b = lefts[b]
 
 
 class Encoder:
@@ -114,23 +121,23 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
 
     def encode_word(self, word: str) -> list[int]:
-        text = "".join(map(self.letters.__getitem__, word.encode())) + self.end
-        last, pairs = [-1] * (len(text) + 1), self.pairs
+        plain = word.isascii() and word.isprintable()
+        text = (word if plain else "".join(map(self.letters.__getitem__, word.encode()))) + self.end
+        last, pairs = [-1] * len(text), self.pairs  # by the place at which a prefix ends
         for end, found in self.automaton.iter(text):
-            end += 1
             if last[end] < 0:
-                token = found & MASK
                 start = end - (found >> BITS)
-                if not start:
-                    last[end] = token
+                if start < 0:
+                    last[end] = found & MASK
                 elif (before := last[start]) >= 0:
-                    key = before << BITS | token
-                    if key not in pairs:
-                        pairs[key] = self.vocabulary.fits(before, token)
-                    if pairs[key]:
-                        last[end] = token
-        ids, at = [], len(text)
-        while at:
+                    key = before << BITS | found & MASK
+                    fit = pairs.get(key)
+                    if fit is None:
+                        fit = pairs[key] = self.vocabulary.fits(before, found & MASK)
+                    if fit:
+                        last[end] = found & MASK
+        ids, at = [], len(text) - 1
+        while at >= 0:
             ids.append(token := last[at])
             at -= self.size[token]
         return ids[::-1]

@@ -1,7 +1,8 @@
 """Packing of token ids into fixed rows, best fit in decreasing order.
 
-Documents are encoded where they are read and dealt to shards by a hash of their id; a shard has about the texts of one
-shuffle partition, so the number of shards follows the corpus and a shard's work is bounded. In a shard each document
+Documents are encoded where they are read, and the ids are kept by a checkpoint. They are dealt to shards by a hash of id
+and tokens; there is a shard for every SHARD_TOKENS of the corpus, so a shard's work is bounded and the result follows
+from the documents alone, not from how they are partitioned. In a shard each document
 is cut into segments of at most `length` tokens (a longer one into whole rows and a rest, so nothing is lost),
 segments are taken from the longest to the shortest, and each goes to the open row with the least room that still
 holds it. A segment tree over the amounts of room finds that row in O(log length).
@@ -24,8 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailforge.llm.bpe import broadcast_vocabulary, encoder_of
-from trailforge.llm.common import block_of, shuffle_partitions
+from trailforge.llm.common import checkpoint
 
+#: Tokens of the corpus for each shard.
+SHARD_TOKENS = 4_000_000
 RESULT = (
     "shard int, row int, n_tokens long, n_segments int, input_ids binary, position_ids binary, cu_seqlens array<int>, "
     "segments array<struct<doc_id:long,start:long,length:long>>"
@@ -84,19 +87,17 @@ def pack(sizes: list[int], length: int) -> list[list[tuple[int, int, int]]]:
     return rows
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, pad_id: int = 49407) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, pad_id: int = 49407, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The packed id matrix of all documents, one row of it per row (RESULT)."""
-    spark = docs.sparkSession
-    shards = shuffle_partitions(spark)
-    shared = broadcast_vocabulary(spark, tokenizer)
+    shared = broadcast_vocabulary(docs.sparkSession, tokenizer)
     wide = max(shared.value[1].shown) > 0xFFFF
     kind = np.dtype("<u4" if wide else "<u2")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared)
         for batch in batches:
-            ids = [np.frombuffer(encoder.encode(t.as_py()), "<u4").astype(kind).tobytes() for t in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+            ids = [np.frombuffer(encoder.encode(t.as_py()), "<u4").astype(kind).tobytes() for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     def fill(table: pa.Table) -> pa.Table:
         doc_ids, ids = table.column("doc_id").to_pylist(), table.column("ids").cast(pa.large_binary()).to_pylist()
@@ -114,8 +115,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, pad_id:
         names = ["shard", "row", "n_tokens", "n_segments", "input_ids", "position_ids", "cu_seqlens", "segments"]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 8, kinds, strict=True)], names=names)
 
-    dealt = docs.select(block_of("doc_id", shards).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return dealt.mapInArrow(encode, "shard int, doc_id long, ids binary").groupBy("shard").applyInArrow(fill, RESULT)
+    encoded = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary"))
+    tokens = (encoded.agg(F.sum(F.octet_length("ids")).alias("n")).first()["n"] or 0) // kind.itemsize
+    shard = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(max(1, -(-tokens // shard_tokens)))).cast("int")
+    return encoded.select(shard.alias("shard"), "doc_id", "ids").groupBy("shard").applyInArrow(fill, RESULT)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
