@@ -11,7 +11,7 @@ from trailforge.plans import registry
 from trailforge.session import TABLES
 
 SF = "/root/testdata/sf0.001"
-SOME = "bm25_eval V01_bm25 V04_dense_topk V08_hybrid_rrf V09_kb_search A01_degrees G03_bfs J07_distinguishing F15_ordered_rules W03_latest_anchor W05_fatal_mask V19_gated_loss A13_report W09_context_budget X05_normalize_answer X12_page_facts M03_answer_score D14_quota_pools U01_fsm_fold V21_contrast".split()
+SOME = "bm25_eval V01_bm25 V04_dense_topk V08_hybrid_rrf V09_kb_search A01_degrees G03_bfs J07_distinguishing F15_ordered_rules W03_latest_anchor W05_fatal_mask V19_gated_loss A13_report W09_context_budget X05_normalize_answer X12_page_facts M03_answer_score D14_quota_pools U01_fsm_fold U10_replay_rewards N01_parse_steps X13_rewrite_query X20_question_template K01_json_arrays S15_benchmark_shapes V21_contrast".split()
 NAMES = sorted(registry.oracle_sql()) if os.environ.get("TRAILFORGE_ALL") else SOME
 
 

@@ -195,13 +195,15 @@ def test_language_pick(spark):
 
 
 def test_transcripts(spark):
-    steps = transcripts.steps_of("<action>a</action><observation>b</observation><action>c</action><action>d</action>")
-    assert [(s["action"], s["observation"]) for s in steps] == [("a", "b"), ("c", None), ("d", None)]
+    steps = transcripts.steps_of("<tool_call>a</tool_call><observation>b Q7 Q7</observation><search>c</search>```json\nd```x<results>e</results>")
+    assert [(s["action"], s["observation"], s["ids"]) for s in steps] == [("a", "b Q7 Q7", ["Q7"]), ("d", "e", [])]
+    assert [(s["action"], s["observation"], s["end"]) for s in transcripts.steps_of("no blocks")] == [("", "", 9)]
+    assert [(s["action"], s["observation"]) for s in transcripts.steps_of("<result>first</result><tool_call>a</tool_call>")] == [("a", "first")]
     assert transcripts.first_object('x {bad} {"a": {"b": "}"}} {"c": 1}') == '{"a": {"b": "}"}}' and transcripts.first_object("{") is None
     assert transcripts.tool_call('search(query="a \\"b\\"", k=3)') == ("search", '{"k": "3", "query": "a \\"b\\""}')
     assert transcripts.tool_call("nothing") == (None, "{}")
-    df = spark.createDataFrame([("<action>a</action>",), (None,)], "t string")
-    assert [len(r["s"]) for r in df.select(transcripts.parse_steps("t").alias("s")).collect()] == [1, 0]
+    df = spark.createDataFrame([("<tool_call>a</tool_call>",), (None,)], "t string")
+    assert [[x["action"] for x in r["s"]] for r in df.select(transcripts.parse_steps("t").alias("s")).collect()] == [["a"], [""]]
 
 
 def test_search_shapes(spark):
@@ -209,6 +211,8 @@ def test_search_shapes(spark):
     assert goal("搜索商品，找到与「old mill」相关的产品并购买")["c"] == "搜索文档，找到关于「old mill」的相关文档并引用证据"
     assert goal("搜索商品，找到与「old mill」相关的产品并购买")["q"] == "old mill"
     assert goal("buy the cheapest mill")["q"] == "buy the cheapest mill"
+    assert goal("find the 'old mill'")["q"] == "old mill" and goal("Find and buy a mill, related to 'ab'.")["q"] == "a mill, 'ab"
+    assert goal("浏览搜索结果，识别展示了水车的商品并购买")["q"] == "水车的商品" and goal("并购买")["q"] == "并购买"
 
 
 def test_grep(spark):

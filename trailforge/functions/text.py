@@ -138,15 +138,24 @@ def without_tags(column: Column | str) -> Column:
 
 
 #: Page families by words in the address, first match wins, then by what the page holds.
-PAGE_FAMILIES = (("search", "/search|[?&]q="), ("cart", "/cart|/checkout|/basket"), ("product", "/product|/item|/dp/"), ("listing", "/category|/list|/browse"), ("article", "/wiki|/article|/blog|/news"))
+PAGE_FAMILIES = (
+    ("form", "login|register|signup|form|checkout"),
+    ("search", "search|query|q="),
+    ("results", "result|list|browse|trending"),
+    ("detail", "detail|product|item|article|wiki/"),
+    ("ranking", "rank|top|chart|leaderboard|tiobe|index"),
+)
+SEARCH_INPUT = '<input[^>]*(type="search"|name="[^"]*search|placeholder="[^"]*(搜索|Search))'
+LIST_ITEM = r'<(li|article)\b|<\w+[^>]*\bclass="([^"]*\s)?(card|item|result)[\s"]'
+MODAL = r'role="dialog"|class="([^"]*\s)?(modal|popup|overlay)[\s"]'
 
 
 def page_family(url: Column, html: Column) -> Column:
-    """Ordered rules on the address, then hints in the page."""
-    out = None
-    for name, pattern in PAGE_FAMILIES:
-        out = F.when(url.rlike(pattern), name) if out is None else out.when(url.rlike(pattern), name)
-    return out.when(F.contains(html, F.lit("<form")), "form").when(F.contains(html, F.lit("<article")), "article").otherwise("other")
+    """Ordered rules on the address; else a search input, more than twenty list items, a modal with fewer than five, or a detail page."""
+    low, items = F.lower(url), F.regexp_count(html, F.lit(LIST_ITEM))
+    by_address = F.coalesce(*[F.when(low.rlike(pattern), name) for name, pattern in PAGE_FAMILIES])
+    by_content = F.when(html.rlike(SEARCH_INPUT), "search").when(items > 20, "results").when(html.rlike(MODAL) & (items < 5), "modal").otherwise("detail")
+    return F.coalesce(by_address, by_content)
 
 
 #: Shapes of goals and what they become, most special first, then single words.
@@ -173,17 +182,122 @@ def clean_goal(column: Column) -> Column:
     return F.coalesce(*[F.when(c != column, c) for c in changed], words)
 
 
-QUOTED = ("「([^」]+)」", '"([^"]+)"', "“([^”]+)”", "'([^']+)'")
-#: A goal that decides by price stays as it is; other goals lose the words of the task.
-DECISIONS = "cheapest|compare.*price|比较价格|最低价|lowest price|最便宜"
-TASK_WORDS = r"(?i)\b(search for|find|look for|the product|products?|and buy( it)?|most related to|related to|please)\b|搜索商品|搜索|找到与|最相关的|相关的|商品|产品|并购买|购买"
+#: Spans that carry a goal's meaning; signs of a goal that decides by price; the wrapping words of tasks.
+QUOTED = ("「([^」]+)」", '"([^"]+)"', "'([^']+)'")
+DECISIONS = ("最便宜", "cheapest", "compare.*price", "比较价格", "最低价", "lowest price")
+WRAPPING_ZH = (
+    "搜索商品[，,]?", "找到与?", "最?相关的商品并购买", "相关的产品并购买", "相关的产品", "并购买", "放大查看每个商品的图片进行视觉调研[，,]?", "放大查看[^，,。]*?[，,]", "浏览搜索结果[，,]?",
+    "识别展示了?", "的商品并购买", "搜索并购买最便宜的", "比较价格后购买最便宜的", "查看各商品图片[，,]?", "找到展示了?", "进行视觉调研[，,]?", "视觉调研[，,]?",
+)
+WRAPPING_EN = ("search for and buy", "search and buy", "find and buy", "browse.*?and buy the", "look for", "purchase the", "buy the", "find the", "related to", "associated with")
+EDGES = "，,。.\u3000 \\t\\n「」\"'"
 
 
 def rewrite_query(column: Column) -> Column:
     """A retrieval query from a goal: a quoted span of more than three characters, else the goal itself if it decides
-    by price, else the goal without task words, unless fewer than four characters are left (X13)."""
+    by price, else the goal without wrapping words, unless fewer than four characters are left (X13)."""
     goal = F.trim(column)
     quoted = [F.trim(F.regexp_extract(goal, p, 1)) for p in QUOTED]
-    bare = F.regexp_replace(F.regexp_replace(goal, TASK_WORDS, ""), r"^[，,。.\s「」\"']+|[，,。.\s「」\"']+$", "")
-    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
-    return F.coalesce(*[F.when(F.length(q) > 3, q) for q in quoted], F.when(F.lower(goal).rlike(DECISIONS), goal), F.when(F.length(bare) >= 4, bare), goal)
+    bare = goal
+    for pattern in WRAPPING_ZH:
+        bare = F.regexp_replace(bare, pattern, "")
+    for pattern in WRAPPING_EN:
+        bare = F.regexp_replace(bare, f"(?i){pattern}", "")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, f"^[{EDGES}]+|[{EDGES}]+$", ""), r"\s+", " "))
+    decides = goal.rlike("(?i)" + "|".join(DECISIONS))
+    return F.coalesce(*[F.when(F.length(q) > 3, q) for q in quoted], F.when(decides, goal), F.when(F.length(bare) >= 4, bare), goal)
+
+
+#: Question shapes, clauses for a constraint by its direction, hints by domain, and vague words for relations.
+QUESTIONS = (
+    "Identify the subject in the image. Through a series of connections — some involving {hint} — trace the chain of associations to its end. What is the final entity you reach? {constraint}",
+    "Starting from the entity shown in the image, follow a multi-step trail of relationships. The path passes through domains related to {hint}, among others. Where does this investigation ultimately lead? {constraint}",
+    "Look at the image. The subject is connected, through several degrees of separation, to a specific entity. The trail crosses into the domain of {hint} along the way. What entity do you arrive at? {constraint}",
+    "The entity depicted in the image is the starting point of a research chain. Following its associations across multiple steps — including connections in the area of {hint} — what do you ultimately find? {constraint}",
+    "Examine the image and identify the subject. A sequence of factual connections links it to a particular entity. At least one step involves {hint}. What is that entity? {constraint}",
+)
+CLAUSES = {
+    "out": ("The answer is the one that {entity} {relation}.", "You are looking for the one that {entity} {relation}.", "Hint: {entity} {relation} the answer."),
+    "in": ("The answer is the one that {relation} {entity}.", "You are looking for the one that {relation} {entity}.", "Hint: the answer {relation} {entity}."),
+}
+HINTS = {
+    "PERSON": ("biographical details", "personal history", "someone's life and career", "individual backgrounds"),
+    "WORK": ("creative works", "artistic productions", "media and entertainment", "cultural output"),
+    "ORG": ("institutional connections", "organizational ties", "corporate and institutional networks"),
+    "GEO": ("geographic associations", "places and territories", "spatial relationships"),
+}
+OTHER_HINT, OTHER_RELATION = "various associations", "is connected to"
+VAGUE = {
+    "educated at": "has an educational connection to",
+    "member of sports team": "has a team affiliation with",
+    "place of birth": "has origins connected to",
+    "place of death": "has a historical connection to",
+    "country": "is geographically tied to",
+    "director": "has a creative connection to",
+    "performer": "has a performance connection to",
+    "record label": "has a label association with",
+    "cast member": "features in the same production as",
+    "founded by": "has a founding connection to",
+    "headquarters location": "is based near",
+    "located in the administrative territorial entity": "falls within the same administrative area as",
+    "follows": "is the predecessor of",
+    "followed by": "comes before",
+    "twinned administrative body": "is paired with",
+    "contains administrative territorial entity": "administratively encompasses",
+    "part of": "belongs to the same collection as",
+    "award received": "shares an honor with",
+    "employer": "has a professional connection to",
+    "owned by": "shares ownership ties with",
+    "shares border with": "is geographically adjacent to",
+    "participant of": "participated alongside",
+    "member of political party": "shares political ties with",
+    "capital": "serves as the seat of",
+    "country of citizenship": "holds citizenship connections to",
+    "notable work": "is known for work connected to",
+    "sibling": "has a familial connection to",
+    "has part": "structurally contains",
+    "ethnic group": "has cultural ties to",
+}
+
+
+def _one_of(values: tuple[str, ...], draw: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), (draw % len(values)).cast("int"))
+
+
+def question_text(domain: Column, entity: Column, relation: Column, direction: Column, draws: tuple[Column, Column, Column]) -> Column:
+    """A question that hides its path (X20): one of the shapes with a hint at a domain and a clause about the answer; three drawn
+    numbers pick shape, hint and clause. A null entity leaves the clause out."""
+    shape, hint_draw, clause_draw = draws
+    hint = F.coalesce(*[F.when(domain == k, _one_of(v, hint_draw)) for k, v in HINTS.items()], F.lit(OTHER_HINT))
+    vague = F.coalesce(*[F.when(relation == k, v) for k, v in VAGUE.items()], F.lit(OTHER_RELATION))
+    clause = F.when(direction == "out", _one_of(CLAUSES["out"], clause_draw)).otherwise(_one_of(CLAUSES["in"], clause_draw))
+    clause = F.coalesce(F.replace(F.replace(clause, F.lit("{entity}"), entity), F.lit("{relation}"), vague), F.lit(""))
+    filled = F.replace(F.replace(_one_of(QUESTIONS, shape), F.lit("{hint}"), hint), F.lit("{constraint}"), clause)
+    return F.trim(F.regexp_replace(filled, r"\s+", " "))
+
+
+#: What a rewritten question begins with if it does not speak of an image, and words that give a type away.
+IMAGE_LEAD = "Based on what is shown in the image: "
+TYPE_WORDS = ("the person", "the building", "the film", "the movie", "the city", "the country", "the singer", "the actor", "the band", "the player", "the athlete")
+
+
+def sane_rewrite(first: Column, second: Column, answer: Column) -> Column:
+    """A rewritten question that does not give the answer away, the second try if the first does, null if both do."""
+    bare = lambda c: F.btrim(F.btrim(F.trim(c), F.lit('"')), F.lit("'"))
+    leaks = lambda c: F.contains(F.lower(c), F.lower(answer))
+    one, two = bare(first), bare(second)
+    said = F.when(~leaks(one), one).when(~leaks(two), two)
+    said = F.when(F.contains(F.lower(said), F.lit("image")), said).otherwise(F.concat(F.lit(IMAGE_LEAD), said))
+    pairs = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(w.title()).alias("t")) for w in TYPE_WORDS])
+    neutral = lambda q, x: F.when(F.contains(F.lower(q), x["w"]), F.replace(F.replace(q, x["w"], F.lit("the subject")), x["t"], F.lit("The subject"))).otherwise(q)
+    return F.aggregate(pairs, said, neutral)
+
+
+def caption_parts(reply: Column, fallback: int = 200) -> Column:
+    """(subject, description) from the last lines that are so labelled; without either, the reply's first characters describe."""
+    lines = F.transform(F.split(reply, "\n"), lambda x: F.trim(x))
+    labelled = lambda label: F.try_element_at(F.filter(lines, lambda x: F.upper(x).startswith(f"{label}:")), F.lit(-1))
+    value = lambda label: F.coalesce(F.trim(F.regexp_replace(labelled(label), f"(?i)^{label}:\\s*", "")), F.lit(""))
+    subject, description = value("SUBJECT"), value("DESCRIPTION")
+    none = (subject == "") & (description == "")
+    return F.struct(subject.alias("subject"), F.when(none, F.left(reply, F.lit(fallback))).otherwise(description).alias("description"))

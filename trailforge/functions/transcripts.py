@@ -9,24 +9,30 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_block = re.compile(r"<(think|tool_call|action|tool_response|observation|answer)>(.*?)</\1>", re.S)
+#: What marks an action and what an observation, as elements or fenced blocks.
+_action = re.compile(r"<(?:search|tool_call)>(.*?)</(?:search|tool_call)>|```(?:tool_call|json)\n(.*?)```", re.S)
+_observation = re.compile(r"<(?:observation|information|tool_response|results?)>(.*?)</(?:observation|information|tool_response|results?)>|```(?:observation|output|result)\n(.*?)```", re.S)
+_entity = re.compile(r"Q\d+")
 _pair = re.compile(r"(\w+)\s*=\s*(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[^,\s)]+)")
 _call = re.compile(r"(\w+)\s*\(([^()]*)\)")
-ACTION, OBSERVATION = {"tool_call", "action", "answer"}, {"tool_response", "observation"}
 
 
 def steps_of(text: str) -> list[dict]:
-    """Ordered action and observation blocks; a new step begins with an action that follows a whole step."""
-    out: list[dict] = []
-    for m in _block.finditer(text or ""):
-        kind, body = m.group(1), m.group(2).strip()
-        if kind in ACTION:
-            out.append({"step": len(out), "action": body, "observation": None, "start": m.start()})
-        elif kind in OBSERVATION:
-            if not out or out[-1]["observation"] is not None:
-                out.append({"step": len(out), "action": None, "observation": body, "start": m.start()})
-            else:
-                out[-1]["observation"] = body
+    """Steps of a transcript (N01): an action begins a new one if the step before has both an action and an observation; within a
+    step the last action and the last observation count. A transcript without blocks is one step without either."""
+    text = text or ""
+    blocks = [(m.start(), m.end(), "action", m) for m in _action.finditer(text)] + [(m.start(), m.end(), "observation", m) for m in _observation.finditer(text)]
+    out = [{"step": 0, "action": "", "observation": "", "ids": [], "start": 0, "end": 0}]
+    for start, end, kind, m in sorted(blocks, key=lambda b: b[0]):
+        step, body = out[-1], next(g for g in m.groups() if g is not None)
+        if kind == "action" and step["action"] and step["observation"]:
+            out.append(step := {"step": len(out), "action": "", "observation": "", "ids": [], "start": start, "end": 0})
+        step[kind] = body
+        if kind == "action" and len(out) == 1 and not step["start"]:
+            step["start"] = start
+        if kind == "observation":
+            step["ids"], step["end"] = sorted(set(_entity.findall(body))), end
+    out[-1]["end"] = out[-1]["end"] or len(text)
     return out
 
 
@@ -79,7 +85,7 @@ def tool_call(text: str) -> tuple[str | None, str]:
 
 
 def parse_steps(column: Column | str) -> Column:
-    @F.pandas_udf("array<struct<step:int,action:string,observation:string,start:int>>")
+    @F.pandas_udf("array<struct<step:int,action:string,observation:string,ids:array<string>,start:int,end:int>>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(steps_of)
 

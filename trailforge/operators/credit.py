@@ -48,6 +48,17 @@ def mixed_advantage(steps: DataFrame, episode: DataFrame, hop: DataFrame, alpha:
     return joined.withColumn("final", alpha * F.col("episode") + (1 - alpha) * F.coalesce("hop", F.lit(0.0)))
 
 
+def token_advantage(steps: DataFrame, trajectories: DataFrame, hits: DataFrame, anchored: Column, alpha: float = 0.5) -> DataFrame:
+    """(traj, step, adv): the variant without a fatal mask (V18). Groups whose deviation is below EPS are skipped, one at EPS is not; only
+    trajectories that `anchored` holds for take part in groups, the others have the episode's advantage alone."""
+    w = Window.partitionBy("question", "pos")
+    joined = hits.where(anchored).join(trajectories.select("question", "traj", "outcome"), ["question", "traj"])
+    marked = joined.withColumns({"members": F.count("*").over(w), "mean": F.avg("outcome").over(w), "std": F.coalesce(F.stddev_samp("outcome").over(w), F.lit(0.0))})
+    anchors = marked.where((F.col("members") >= 2) & (F.col("std") >= EPS)).select("traj", "pos", "hit", ((F.col("outcome") - F.col("mean")) / (F.col("std") + EPS)).alias("adv"))
+    mixed = mixed_advantage(steps, episode_advantage(trajectories), hop_advantage(steps, anchors), alpha)
+    return mixed.select("traj", "step", F.when(anchored, F.col("final")).otherwise(F.col("episode")).alias("adv"))
+
+
 def fatal_starts(steps: DataFrame, run: int = 3) -> DataFrame:
     """(traj, fatal): where the first run of at least `run` errors in a row begins (W04), by gaps and islands."""
     w = Window.partitionBy("traj").orderBy("step")

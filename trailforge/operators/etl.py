@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Question shapes; a hash of the id picks one.
-QUESTION_TEMPLATES = ("What is the brand of {name}?", "Which entity made by {brand} is shown?", "Name the maker of {name} from {brand}.")
-
-
 def hash_number(key: Column) -> Column:
     """The first 32 bits of the md5 of a key, as a number that every engine agrees on."""
     return F.conv(F.left(F.md5(key.cast("string").cast("binary")), F.lit(8)), 16, 10).cast("long")
@@ -18,9 +14,17 @@ def hash_bucket(key: Column, n: int) -> Column:
     return hash_number(key) % n
 
 
-def question(name: Column, brand: Column, key: Column) -> Column:
-    shape = F.element_at(F.array(*map(F.lit, QUESTION_TEMPLATES)), (hash_bucket(key, len(QUESTION_TEMPLATES)) + 1).cast("int"))
-    return F.replace(F.replace(shape, F.lit("{name}"), name), F.lit("{brand}"), brand)
+def remap_paths(paths: DataFrame, present: DataFrame, column: str, prefixes: tuple[str, ...], markers: tuple[str, ...], root: str) -> DataFrame:
+    """paths with `resolved` (X24): the path if it is present, else what follows a prefix or a marker under the root if that is present,
+    tried in this order, else the path. present (path) lists what is there; candidates meet it in one join."""
+    raw, norm = F.col(column), F.replace(F.col(column), F.lit("\\"), F.lit("/"))
+    under = lambda rest: F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(rest, F.lit("/")))
+    tries = [raw] + [F.when(norm.startswith(p), under(F.substr(norm, F.lit(len(p) + 1)))) for p in prefixes]
+    tries += [F.when(F.contains(norm, F.lit(m)), under(F.substr(norm, F.instr(norm, m) + len(m)))) for m in markers]
+    spread = paths.select(column).distinct().select(column, F.posexplode(F.array(*tries)).alias("__k", "__path")).where("__path IS NOT NULL")
+    there = present.select(F.col("path").alias("__path")).distinct()
+    found = spread.join(there, "__path", "left_semi").groupBy(column).agg(F.min_by("__path", "__k").alias("resolved"))
+    return paths.join(found, column, "left").withColumn("resolved", F.coalesce("resolved", column))
 
 
 def pick_language(languages: Column, captions: Column, titles: Column, wanted: str = "en") -> Column:

@@ -49,3 +49,13 @@ def rejections(judged: DataFrame) -> DataFrame:
 def errors(*checks: tuple[str, Column]) -> Column:
     """The names of all checks that hold, in order."""
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks]))
+
+
+def research_contract(goal: Column, facts: Column, max_steps: Column, citations: Column) -> Column:
+    """What a research task lacks."""
+    return errors(("goal", goal == ""), ("primary_facts", facts == 0), ("max_steps", max_steps < 3), ("min_citations", citations < 1))
+
+
+def visual_contract(goal: Column, depth: Column, gaps: Column, zooms: Column, steps: Column, zoom_steps: Column) -> Column:
+    """What does not fit together in a visual task (F22): depth, gaps, zoom budget and its trajectory's steps."""
+    return errors(("goal", goal == ""), ("dag_depth", depth < 1), ("visual_gaps", gaps < 0), ("zoom_budget", zooms > gaps), ("trajectory_length", steps < depth), ("zoom_steps", zoom_steps < zooms))

@@ -52,18 +52,25 @@ def siblings(edges: DataFrame) -> DataFrame:
     return edges.join(other, ["head", "pid"]).where(F.col("tail") != F.col("sibling")).select(F.col("head").alias("parent"), "pid", F.col("tail").alias("target"), "sibling")
 
 
-def distinguishing(edges: DataFrame, properties: DataFrame, keep: int = 5) -> DataFrame:
-    """(target, pid, value): properties of a target that none of its siblings has, at most `keep` by relation and value.
+def distinguishing(edges: DataFrame, properties: DataFrame, inward: DataFrame | None = None, keep: int = 5, enough: int = 3) -> DataFrame:
+    """(parent, via, target, direction, pid, value): properties of a target that none of its siblings has, at most `keep` by relation and
+    value (J07). inward (head, pid, tail) are edges into targets; they are looked at where fewer than `enough` are found.
 
     Siblings are not paired: a property that is counted once among all targets of a parent is one no sibling has.
     """
     groups = edges.select(F.col("head").alias("parent"), F.col("pid").alias("via"), F.col("tail").alias("target")).distinct()
-    held = groups.join(properties.select(F.col("head").alias("target"), "pid", F.col("tail").alias("value")).distinct(), "target")
-    shared = held.groupBy("parent", "via", "pid", "value").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1")
     companions = groups.groupBy("parent", "via").agg(F.count("*").alias("size")).where("size > 1")
-    own = shared.join(companions, ["parent", "via"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("parent", "via", "target").orderBy("pid", "value"))
-    return own.withColumn("r", rank).where(F.col("r") <= keep).select("parent", "via", "target", "pid", "value")
+    sides = properties.select(F.col("head").alias("target"), F.lit("out").alias("direction"), "pid", F.col("tail").alias("value"))
+    if inward is not None:
+        sides = sides.union(inward.select(F.col("tail").alias("target"), F.lit("in").alias("direction"), "pid", F.col("head").alias("value")))
+    held = groups.join(sides.distinct(), "target")
+    one = held.groupBy("parent", "via", "direction", "pid", "value").agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1")
+    own = one.join(companions, ["parent", "via"], "left_semi")
+    of_target = Window.partitionBy("parent", "via", "target")
+    rank = F.row_number().over(of_target.orderBy(F.desc("direction"), "pid", "value"))  # out before in
+    outward = F.count_if(F.col("direction") == "out").over(of_target)
+    ranked = own.withColumns({"r": rank, "outward": outward}).where((F.col("r") <= keep) & ((F.col("direction") == "out") | (F.col("outward") < enough)))
+    return ranked.select("parent", "via", "target", "direction", "pid", "value")
 
 
 def reachable_within(samples: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -94,9 +101,10 @@ def paths(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return walks
 
 
-def edge_weight(one_to_one: Column, in_first: Column, tier: Column, domain_uses: Column, out_edges: Column) -> Column:
-    """How likely a walk takes an edge (G05): a base by type, times tier, domain reuse and fan-out; a dead end is 0.1."""
-    base = F.when(one_to_one & in_first, 10.0).when(one_to_one, 5.0).when(in_first, 1.0).otherwise(3.0)
+def edge_weight(one_to_one: Column, branching: Column, tier: Column, domain_uses: Column, out_edges: Column) -> Column:
+    """How likely a walk takes an edge (G05): a base by whether the hop is to branch and the relation can, times tier, domain reuse
+    and fan-out; a dead end is 0.1."""
+    base = F.when(branching & ~one_to_one, 10.0).when(branching, 1.0).when(one_to_one, 5.0).otherwise(3.0)
     w = base * F.when(tier == "interesting", 5.0).when(tier == "boring", 0.2).otherwise(1.0) * F.when(domain_uses >= 2, 0.1).otherwise(1.0)
     w = F.when(out_edges == 0, 0.1).when(out_edges >= 3, w * 2.0).when(out_edges == 1, w * 0.5).otherwise(w)
     return F.greatest(w, F.lit(0.01))
@@ -113,8 +121,10 @@ def weighted_pick(rows: DataFrame, group: list[str], key: Column, weight: Column
 def walk(starts: DataFrame, edges: DataFrame, hops: int, seed: str = "s") -> DataFrame:
     """One weighted walk from each start (G04): per hop a join, the constraints, the weights, one pick; a walk without candidates stops.
 
-    edges: (head, pid, tail, domain, is_1to1, tier, out_edges), out_edges being the fan-out of the tail.
+    One hop of each walk, drawn by a hash, is to branch. edges: (head, pid, tail, domain, is_1to1, tier, out_edges), out_edges
+    being the fan-out of the tail.
     """
+    branch = hash_number(F.concat_ws("|", F.lit(seed), "walk", F.lit("branch"))) % max(1, hops - 2) + 1
     state = starts.select(F.col("qid").alias("walk"), F.array("qid").alias("path"), F.array().cast("array<string>").alias("pids"), F.array().cast("array<string>").alias("domains"), F.col("qid").alias("node"))
     done = None
     step = edges.select(F.col("head").alias("node"), "pid", F.col("tail").alias("next"), "domain", "is_1to1", "tier", "out_edges")
@@ -122,7 +132,7 @@ def walk(starts: DataFrame, edges: DataFrame, hops: int, seed: str = "s") -> Dat
         last = F.try_element_at("domains", F.lit(-1))
         cand = state.join(step, "node").where(~F.array_contains("path", F.col("next")) & (F.size(F.filter("pids", lambda p: p == F.col("pid"))) < 2) & (last.isNull() | (last != F.col("domain"))))
         uses = F.size(F.filter("domains", lambda d: d == F.col("domain")))
-        weight = edge_weight(F.col("is_1to1"), F.lit(hop == 0), F.col("tier"), uses, F.col("out_edges"))
+        weight = edge_weight(F.col("is_1to1"), branch == hop, F.col("tier"), uses, F.col("out_edges"))
         cand = cand.select("walk", "path", "pids", "domains", "pid", "next", "domain", weight.alias("weight"))
         picked = weighted_pick(cand, ["walk"], F.concat_ws("|", F.lit(seed), "walk", F.lit(str(hop)), "pid", "next"), F.col("weight"))
         picked = checkpoint(picked)
@@ -145,6 +155,34 @@ def hop_types(images: Column) -> Column:
     return F.aggregate(images, start, grow, lambda s: s["types"])
 
 
+def upgraded_types(types: Column, images: Column, least: int = 2) -> Column:
+    """Hop types with K hops made P, from the second on, where the node has an image and the hop before is K, until `least` are P."""
+    start = F.struct(F.array().cast("array<string>").alias("types"), F.size(F.filter(types, lambda t: t == "P")).alias("p"))
+
+    def grow(s: Column, hop: Column) -> Column:
+        up = (hop["t"] == "K") & (F.size(s["types"]) > 0) & hop["im"] & F.coalesce(F.try_element_at(s["types"], F.lit(-1)) == "K", F.lit(False)) & (s["p"] < least)
+        return F.struct(F.array_append(s["types"], F.when(up, "P").otherwise(hop["t"])).alias("types"), (s["p"] + up.cast("int")).alias("p"))
+
+    hops = F.zip_with(types, images, lambda t, im: F.struct(t.alias("t"), F.coalesce(im, F.lit(False)).alias("im")))
+    return F.aggregate(hops, start, grow, lambda s: s["types"])
+
+
+def accepted(walks: DataFrame, nodes: DataFrame, confirmed: DataFrame, least_hops: int = 3) -> DataFrame:
+    """Walks that make a question (G07): long enough, an answer with a confirming edge that is not boring, two P hops or more (with
+    upgrades), three domains or more, at most two of GEO, and a title that can be asked for. nodes: (qid, title, has_image);
+    confirmed: (head, tail) with the edges that may confirm."""
+    info = nodes.select(F.col("qid").alias("node"), "title", "has_image")
+    hops = walks.where(F.col("hops") >= least_hops).select("walk", F.posexplode(F.slice("path", 2, F.size("path") - 1)).alias("pos", "node")).join(info, "node")
+    seen = hops.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("pos", "has_image"))).alias("h"), F.max_by("title", "pos").alias("answer"))
+    images = F.transform("h", lambda x: x["has_image"])
+    rows = walks.join(seen, "walk").withColumn("types", upgraded_types(hop_types(images), images)).withColumn("answer_qid", F.element_at("path", -1))
+    constraint = rows.join(confirmed.select(F.col("head").alias("answer_qid"), F.col("tail").alias("constraint")), "answer_qid").where(~F.array_contains("path", F.col("constraint"))).groupBy("walk").agg(F.min("constraint").alias("constraint"))
+    title = F.lower("answer")
+    fair = (F.length("answer") >= 2) & ~title.rlike("( language| province| region| county| district| prefecture)$")
+    several = (F.size(F.filter("types", lambda t: t == "P")) >= 2) & (F.size(F.array_distinct("domains")) >= 3) & (F.size(F.filter("domains", lambda d: d == "GEO")) <= 2)
+    return rows.where(fair & several).join(constraint, "walk").select("walk", "path", "pids", "domains", "hops", "types", "answer", "constraint")
+
+
 def _most_flagged(others: Column, share: float) -> Column:
     """The largest g with g / (others + g) <= share, by the same division as the rule itself; others is a count, share below 1."""
     near = F.floor(others * share / (1 - share)).cast("long")

@@ -52,3 +52,35 @@ def failure_bucket(success: Column, malformed: Column, in_candidates: Column, op
         F.when(success, "Success").when(malformed, "FormatOrActionError").when(~in_candidates, "GTNotInCandidates").when(~opened, "NeverOpenedGT")
         .when(~cited, "OpenedGTButNeverCited").when(~submitted, "CitedButNotSubmitted").when(coverage < 0.5, "SubmittedWithLowCoverage").otherwise("NeedsManualReview")
     )
+
+
+def shopping_failure(success: Column, malformed: Column, in_candidates: Column, clicked: Column, bought: Column, zoomed: Column) -> Column:
+    """The first thing that went wrong in the shopping world."""
+    return (
+        F.when(success, "Success").when(malformed, "FormatOrActionError").when(~in_candidates, "NeverClickedGT_NotInCandidates").when(~clicked, "NeverClickedGT")
+        .when(bought, "ClickedGTButFinalWrong").when(~zoomed, "PossibleNeedsZoomOrCrop").otherwise("NeedsManualReview_AfterZoom")
+    )
+
+
+def root_cause(best: DataFrame) -> DataFrame:
+    """One row (total, lost, top6, top20, top50, mid, cause) from the ranks of wanted documents, 101 for one that is not found."""
+    rank = F.col("rank")
+    s = best.agg(F.count("*").alias("total"), F.count_if(rank > 100).alias("lost"), *[F.count_if(rank <= k).alias(f"top{k}") for k in (6, 20, 50)], F.median(rank).alias("mid"))
+    total, found = F.col("total"), F.col("total") - F.col("lost")
+    mismatch = (F.col("lost") >= F.greatest(F.lit(1), F.floor(total * 0.4))) | (found <= total * 0.5) | (F.col("mid") > 50)
+    cut = (F.col("top50") - F.col("top6") >= F.greatest(F.lit(2), F.floor(total * 0.2))) | ((F.col("top20") > F.col("top6")) & (F.col("top50") >= total * 0.7))
+    return s.withColumn("cause", F.when(total == 0, "no_samples").when(mismatch, "mismatch").when(cut, "top_k_cut").otherwise("mismatch_likely"))
+
+
+def treatment_report(rows: DataFrame, arm: str, parts: dict[str, str]) -> DataFrame:
+    """Arms 0 and 1 side by side, over all and by each of parts (label, column), in one pass (A15). rows: (success, reward, steps)."""
+    columns, out = list(parts.values()), []
+    for name, value in (("base", 0), ("treat", 1)):
+        own = lambda c: F.when(F.col(arm) == value, c)  # noqa: B023, E731
+        reward = own(F.col("reward"))
+        out += [F.count(reward).alias(f"{name}_n"), F.avg(own(F.col("success").cast("int"))).alias(f"{name}_success"), F.avg(reward).alias(f"{name}_mean"), F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias(f"{name}_std"), F.min(reward).alias(f"{name}_min"), F.max(reward).alias(f"{name}_max"), F.avg(own(F.col("steps"))).alias(f"{name}_steps")]
+    g = rows.groupingSets([*([c] for c in columns), []], *columns).agg(*out, *[F.grouping(c).alias(f"__{c}") for c in columns])
+    label = F.coalesce(*[F.when(F.col(f"__{c}") == 0, F.concat(F.lit(f"{k}:"), c)) for k, c in parts.items()], F.lit("all"))
+    rounded = [F.round(f"{a}_{m}", 6).alias(f"{a}_{m}") for a in ("base", "treat") for m in ("success", "mean", "std")]
+    deltas = [F.round(F.col("treat_mean") - F.col("base_mean"), 6).alias("delta"), F.round(F.col("treat_steps") - F.col("base_steps"), 6).alias("steps_delta")]
+    return g.where("base_n > 0 AND treat_n > 0").select(label.alias("part"), "base_n", "treat_n", *rounded, "base_min", "treat_min", "base_max", "treat_max", *deltas)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailforge.functions.text import text_or_empty
+from trailforge.session import checkpoint
 
 #: A table is broadcast only if a count shows it to be at most this long.
 BROADCAST_ROWS = 200_000
@@ -134,6 +135,18 @@ def hybrid(dense_rows: DataFrame, sparse_rows: DataFrame, k: int = 10) -> DataFr
     return fused.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def candidates(lists: tuple[DataFrame, DataFrame], k: int, fanout: dict[str, int]) -> DataFrame:
+    """(path, qid, doc_id): what each path asks of the dense and the sparse list for k results (T06); engine takes both, vector_store
+    the dense one, the others the sparse one."""
+    out = None
+    for path, factor in fanout.items():
+        for side, rows in zip(("dense", "sparse"), lists, strict=True):
+            if path == "engine" or (side == "dense") == (path == "vector_store"):
+                own = rows.where(F.col("rank") <= k * factor).select(F.lit(path).alias("path"), "qid", "doc_id")
+                out = own if out is None else out.union(own)
+    return out.distinct()
+
+
 def max_merge(lists: DataFrame, k: int) -> DataFrame:
     """The best score of each document over all lists."""
     return top_k(lists.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), k)
@@ -151,14 +164,14 @@ def post_filter(ranked: DataFrame, arts: DataFrame, has_image: bool | None = Non
 
 def title_search(arts: DataFrame, queries: DataFrame, tokens, k: int = 5, exact_score: float = 1.0) -> DataFrame:
     """Three points for each query word in the title and one for each in the first 500 characters; a query that equals a
-    title gives that one row with score 1 (V09). Tokens meet in an equi-join, not in a cross product."""
-    asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("token"))
+    title gives that one row with score 1 (V09) and is not scored by words. Tokens meet in an equi-join, not in a cross product."""
+    exact = arts.select("doc_id", F.lower(F.trim("title")).alias("t")).join(bounded(queries.select("qid", F.lower(F.trim("text")).alias("t"))), "t").groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
+    exact = checkpoint(exact.select("qid", F.lit(1).alias("rank"), "doc_id", F.lit(exact_score).alias("score")))
+    asked = queries.join(bounded(exact.select("qid")), "qid", "left_anti").select("qid", F.explode(tokens(F.col("text"))).alias("token"))
     title = arts.select("doc_id", F.explode(tokens(F.col("title"))).alias("token"), F.lit(3.0).alias("points"))
     body = arts.select("doc_id", F.explode(tokens(F.left("content", F.lit(500)))).alias("token"), F.lit(1.0).alias("points"))
     scored = title.unionByName(body).join(bounded(asked), "token").groupBy("qid", "doc_id").agg(F.sum("points").alias("score"))
-    exact = arts.select("doc_id", F.lower(F.trim("title")).alias("t")).join(bounded(queries.select("qid", F.lower(F.trim("text")).alias("t"))), "t").groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
-    exact = exact.select("qid", F.lit(1).alias("rank"), "doc_id", F.lit(exact_score).alias("score"))
-    return exact.unionByName(top_k(scored.join(exact.select("qid"), "qid", "left_anti"), k))
+    return exact.unionByName(top_k(scored, k))
 
 
 def boost(ranked: DataFrame, gold: DataFrame, factor: float, k: int) -> DataFrame:

@@ -192,6 +192,15 @@ def blend(a: Column, b: Column, share: float) -> Column:
     return F.format_string("#%02x%02x%02x", *mixed)
 
 
+def blend_styles(x: Column, y: Column, share: float, strategy: Column) -> Column:
+    """Two styles (primary, density, radius, navbar) in one (V23): all mixed, the first's colours on the second's layout, or the reverse."""
+    by = lambda mixed, colors, layout: F.when(strategy == "balanced", mixed).when(strategy == "color_from_1", colors).otherwise(layout)
+    return F.struct(
+        by(blend(x["primary"], y["primary"], share), x["primary"], y["primary"]).alias("primary"), by((x if share > 0.5 else y)["density"], y["density"], x["density"]).alias("density"),
+        by(x["radius"] * share + y["radius"] * (1 - share), y["radius"], x["radius"]).alias("radius"), by(x["navbar"] | y["navbar"], y["navbar"], x["navbar"]).alias("navbar"),
+    )
+
+
 def component_score(w: Column, h: Column, text: Column, children: Column, html: Column, classes: Column) -> Column:
     """Points for size, text, children, markup and classes, at most 1."""
     points = F.when((w > 100) & (w < 1300) & (h > 30) & (h < 800), 0.3).when((w > 50) & (h > 20), 0.1).otherwise(0.0)

@@ -124,11 +124,6 @@ def w06(spark: SparkSession, sf: str) -> DataFrame:
     return C.token_offsets(steps(spark, sf)).select("traj", "step", "start", "end")
 
 
-@query("V18_token_advantage", f"WITH {BASE}, o AS ({OFFSETS.format('steps')}) SELECT traj, step, start, \"end\", {_sql('final')} FROM o JOIN final USING (traj, step)")
-def v18(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(C.token_offsets(final(spark, sf)).select("traj", "step", "start", "end", "final"), "final")
-
-
 TOKENS = """tok AS (SELECT question, traj, -value / 100 AS logp, -value / 110 AS logp_old, -value / 105 AS logp_ref, final AS adv, CASE WHEN is_error THEN 0.0::DOUBLE ELSE 1 END AS mask FROM final),
 l AS (SELECT *, exp(logp - logp_old) AS ratio, CASE WHEN adv > 0 THEN 1.0::DOUBLE ELSE 1.05 END AS tau FROM tok),
 g AS (SELECT *, -4 / tau / (1 + exp(-tau * (ratio - 1))) * adv AS loss FROM l)"""
@@ -228,10 +223,3 @@ SELECT traj, step, round(CASE WHEN NOT valid THEN -0.85 ELSE -0.05 + CASE a WHEN
 def v14(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("retrieved")
     return steps(spark, sf).select("traj", "step", F.round(C.shopping_reward(_mapped(SHOP), k % 7 != 0, k % 2 == 0, k > 30), 6).alias("reward"))
-
-
-@query("V16_completion_reward", f"WITH {BASE} SELECT traj, step, CASE WHEN retrieved % 11 = 0 THEN -1.0 WHEN action = 'error' THEN -1.2 WHEN retrieved % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM steps")
-def v16(spark: SparkSession, sf: str) -> DataFrame:
-    """Unreadable -1, not allowed -1.2, equal to the reference action its reward, else 0."""
-    k = F.col("retrieved")
-    return steps(spark, sf).select("traj", "step", F.when(k % 11 == 0, -1.0).when(F.col("action") == "error", -1.2).when(k % 2 == 0, 1.0).otherwise(0.0).alias("reward"))

@@ -45,12 +45,6 @@ def a11(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.rank_histogram(best(spark, sf))
 
 
-@query("A12_root_cause", f"WITH {BEST}, s AS (SELECT avg(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0 END) AS top, avg(CASE WHEN rank IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS lost FROM best) SELECT CASE WHEN lost > 0.5 THEN 'not_indexed' WHEN top > 0.5 THEN 'healthy' ELSE 'ranking' END AS cause FROM s")
-def a12(spark: SparkSession, sf: str) -> DataFrame:
-    s = best(spark, sf).agg(F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("top"), F.avg(F.when(F.col("rank").isNull(), 1.0).otherwise(0.0)).alias("lost"))
-    return s.select(F.when(F.col("lost") > 0.5, "not_indexed").when(F.col("top") > 0.5, "healthy").otherwise("ranking").alias("cause"))
-
-
 CASES = "cases AS (SELECT lang, quality = 1 AS success, toxic, n_chars, d.doc_id FROM labels JOIN documents d USING (doc_id))"
 
 
@@ -67,25 +61,6 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.report(cases(spark, sf), "lang", success=F.avg(F.col("success").cast("int")), steps=F.avg("n_chars"))
 
 
-@query("A14_report_v1", f"WITH {CASES} SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS level, CASE WHEN grouping(toxic) = 1 THEN -1 ELSE toxic END AS toxic, count(*) AS n, count(*) FILTER (WHERE success) AS ok FROM cases GROUP BY CUBE (lang, toxic)")
-def a14(spark: SparkSession, sf: str) -> DataFrame:
-    g = cases(spark, sf).cube("lang", "toxic").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"), F.grouping("lang").alias("gl"), F.grouping("toxic").alias("gt"))
-    return g.select(F.when(F.col("gl") == 1, "all").otherwise(F.col("lang")).alias("level"), F.when(F.col("gt") == 1, -1).otherwise(F.col("toxic")).alias("toxic"), "n", "ok")
-
-
-@query("A15_treatment_delta", f"WITH {CASES}, s AS (SELECT lang, toxic, avg(n_chars) AS mean, stddev_samp(n_chars) AS std, min(n_chars) AS lo, max(n_chars) AS hi FROM cases GROUP BY ALL) SELECT b.lang, round(b.mean, 6) AS base_mean, round(t.mean, 6) AS treat_mean, round(t.mean - b.mean, 6) AS delta, round(coalesce(b.std, 0), 6) AS base_std, b.lo, b.hi FROM s b JOIN s t ON t.lang = b.lang AND b.toxic = 0 AND t.toxic = 1")
-def a15(spark: SparkSession, sf: str) -> DataFrame:
-    c, x = cases(spark, sf), F.col("n_chars")
-    base, treat = F.when(F.col("toxic") == 0, x), F.when(F.col("toxic") == 1, x)
-    g = c.groupBy("lang").agg(F.avg(base).alias("b"), F.avg(treat).alias("t"), F.stddev_samp(base).alias("s"), F.min(base).alias("lo"), F.max(base).alias("hi")).where("b IS NOT NULL AND t IS NOT NULL")
-    return g.select("lang", F.round("b", 6).alias("base_mean"), F.round("t", 6).alias("treat_mean"), F.round(F.col("t") - F.col("b"), 6).alias("delta"), F.round(F.coalesce("s", F.lit(0.0)), 6).alias("base_std"), "lo", "hi")
-
-
-@query("A16_accuracy", f"WITH {CASES} SELECT round(avg(success::INT), 6) AS em, round(avg((success OR toxic = 1)::INT), 6) AS sub, round(avg(n_chars), 6) AS turns FROM cases")
-def a16(spark: SparkSession, sf: str) -> DataFrame:
-    return cases(spark, sf).agg(F.round(F.avg(F.col("success").cast("int")), 6).alias("em"), F.round(F.avg((F.col("success") | (F.col("toxic") == 1)).cast("int")), 6).alias("sub"), F.round(F.avg("n_chars"), 6).alias("turns"))
-
-
 @query("A17_coverage", "WITH f AS (SELECT l_orderkey AS t, count(DISTINCT l_partkey) FILTER (WHERE l_quantity > 25) AS facts, count(DISTINCT l_partkey) FILTER (WHERE l_quantity > 25 AND l_returnflag = 'A') AS covered FROM lineitem GROUP BY ALL) SELECT t, round(CASE WHEN facts = 0 THEN 1.0::DOUBLE ELSE covered::DOUBLE / facts END, 6) AS coverage FROM f")
 def a17(spark: SparkSession, sf: str) -> DataFrame:
     """Covered primary facts by primary facts, 1 where there are none."""
@@ -105,17 +80,6 @@ def a19(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").agg(F.count("*").alias("n"), F.count_if(ok).alias("solvable"), F.round(F.avg(F.when(ok, F.col("p_retailprice"))), 6).alias("mean_steps"))
 
 
-@query("A20_combo_difficulty", "WITH s AS (SELECT l_orderkey AS combo, count(*) AS n, sum(l_quantity / 100) AS w, count(*) FILTER (WHERE l_linenumber > 1) AS pre FROM lineitem GROUP BY ALL) SELECT combo, round(0.5::DOUBLE * n + w + 0.3::DOUBLE * pre, 6) AS difficulty FROM s")
-def a20(spark: SparkSession, sf: str) -> DataFrame:
-    d = 0.5 * F.count("*") + F.sum(F.col("l_quantity") / 100) + 0.3 * F.count_if(F.col("l_linenumber") > 1)
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("combo")).agg(F.round(d, 6).alias("difficulty"))
-
-
-@query("A22_library_stats", "SELECT p_type AS type, count(*) AS n, round(avg(p_size / 50.0::DOUBLE), 6) AS mean_quality, count(DISTINCT p_brand) AS pages FROM part GROUP BY ALL")
-def a22(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").groupBy(F.col("p_type").alias("type")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("p_size") / 50), 6).alias("mean_quality"), F.count_distinct("p_brand").alias("pages"))
-
-
 @query("A23_rollout_summary", f"WITH {credit.BASE}, t AS (SELECT traj, bool_or(is_error) AS failed, count(*) AS n FROM steps GROUP BY traj) SELECT count(*) AS total, count(*) FILTER (WHERE NOT failed) AS completed, round(avg(n) FILTER (WHERE NOT failed), 6) AS mean_steps FROM t")
 def a23(spark: SparkSession, sf: str) -> DataFrame:
     t = credit.steps(spark, sf).groupBy("traj").agg(F.bool_or("is_error").alias("failed"), F.count("*").alias("n"))
@@ -228,11 +192,6 @@ def t04(spark: SparkSession, sf: str) -> DataFrame:
     return s.orderBy(F.desc("s"), "p_partkey").limit(30).crossJoin(F.broadcast(top)).select("p_partkey", (F.col("s") / F.col("m")).alias("score"))
 
 
-@query("T06_fanout", f"WITH {retrieval.BM25} SELECT qid, count(*) AS n FROM bmr WHERE rank <= 20 GROUP BY qid")
-def t06(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.sparse(spark, sf, 20).groupBy("qid").agg(F.count("*").alias("n"))
-
-
 @query("J14_style_state", "SELECT p_brand, event_type, count(*) AS n FROM (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT event_type FROM events) GROUP BY ALL")
 def j14(spark: SparkSession, sf: str) -> DataFrame:
     """Every style in every state; both sides are small dimensions."""
@@ -271,25 +230,6 @@ def v21(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.round(world.contrast(color("p_name"), color("p_brand")), 6).alias("contrast"))
 
 
-@query("V22_style_score", "WITH s AS (SELECT p_partkey, (greatest(a, b) + 0.05) / (least(a, b) + 0.05) AS c, p_size FROM (SELECT p_partkey, p_size, " + world.LUMINANCE_SQL.format(c="md5(p_name)") + " AS a, " + world.LUMINANCE_SQL.format(c="md5(p_brand)") + """ AS b FROM part))
-SELECT p_partkey, round(CASE WHEN c >= 7 THEN 0.4 WHEN c >= 4.5 THEN 0.3 WHEN c >= 3 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN c >= 4.5 THEN 0.2 WHEN c >= 3 THEN 0.1 ELSE 0 END + 0.2 + CASE WHEN p_size BETWEEN 6 AND 24 THEN 0.1 ELSE 0 END, 6) AS readability FROM s""")
-def v22(spark: SparkSession, sf: str) -> DataFrame:
-    color = lambda c: F.concat(F.lit("#"), F.left(F.md5(F.col(c).cast("binary")), F.lit(6)))
-    c = world.contrast(color("p_name"), color("p_brand"))
-    return table(spark, sf, "part").select("p_partkey", F.round(world.readability(c, c, F.lit("Inter"), F.col("p_size"), F.lit(0.0)), 6).alias("readability"))
-
-
-@query("F25_style_gate", "SELECT p_partkey FROM part WHERE p_brand NOT LIKE 'Brand#1%' AND p_size / 50.0 >= 0.5")
-def f25(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").where(~F.col("p_brand").startswith("Brand#1") & (F.col("p_size") / 50 >= 0.5)).select("p_partkey")
-
-
-@query("V23_style_blend", "SELECT p_partkey, printf('#%02x%02x%02x', " + ", ".join(f"floor(0.3::DOUBLE * ('0x' || substring(md5(p_name), {k}, 2))::UBIGINT + 0.7::DOUBLE * ('0x' || substring(md5(p_brand), {k}, 2))::UBIGINT)::BIGINT" for k in (1, 3, 5)) + ") AS color FROM part")
-def v23(spark: SparkSession, sf: str) -> DataFrame:
-    color = lambda c: F.concat(F.lit("#"), F.left(F.md5(F.col(c).cast("binary")), F.lit(6)))
-    return table(spark, sf, "part").select("p_partkey", world.blend(color("p_name"), color("p_brand"), 0.3).alias("color"))
-
-
 @query("V24_component_score", """SELECT page_id, round(CASE WHEN w > 100 AND w < 1300 THEN 0.3 WHEN w > 50 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN t > 5 THEN 0.2 ELSE 0 END + CASE WHEN k BETWEEN 2 AND 20 THEN 0.2 WHEN k > 0 THEN 0.1 ELSE 0 END + CASE WHEN h > 200 AND h < 5000 THEN 0.2 WHEN h > 50 THEN 0.1 ELSE 0 END, 6) AS score
 FROM (SELECT page_id, (page_id * 37) % 1500 AS w, length(url) AS t, len(regexp_extract_all(html, '<p')) AS k, length(html) AS h FROM pages)""")
 def v24(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,11 +260,6 @@ def u03(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.sparse(spark, sf, 6).join(retrieval._arts(spark, sf), "doc_id").select("qid", F.col("rank").alias("result_id"), "title", F.left("content", F.lit(60)).alias("snippet"))
 
 
-@query("N02_rollout_json", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 100 AS num_tokens FROM events")
-def n02(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.lit(100).alias("num_tokens"))
-
-
 @query("N06_json_salvage", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def n06(spark: SparkSession, sf: str) -> DataFrame:
     """From the first brace to the last, whatever stands around."""
@@ -332,22 +267,6 @@ def n06(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.get_json_object(F.regexp_extract(noisy, r"(?s)(\{.*\})", 1), "$.k").alias("k"))
 
 
-@query("N09_messages", "SELECT conv_id, string_agg(role || ':' || left(text, 20), '|' ORDER BY turn) AS messages, count(*) AS n FROM conversations GROUP BY conv_id")
-def n09(spark: SparkSession, sf: str) -> DataFrame:
-    return _messages(spark, sf, F.left("text", F.lit(20)))
-
-
-def _messages(spark: SparkSession, sf: str, said: Column) -> DataFrame:
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", said.alias("text")))).alias("m"), F.count("*").alias("n"))
-    return g.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "|").alias("messages"), "n")
-
-
-@query("N09_messages_whole", "SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS messages, count(*) AS n FROM conversations GROUP BY conv_id")
-def n09_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """N09 with all of each turn's text."""
-    return _messages(spark, sf, F.col("text"))
-
-
 @query("N10_gold_set", "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT 'P' || l_partkey)), ',') AS gold FROM lineitem GROUP BY l_orderkey")
 def n10(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set(F.concat(F.lit("P"), "l_partkey"))), ",").alias("gold"))
@@ -360,14 +279,6 @@ def d04(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("l_orderkey", F.array_join(F.array_distinct(F.array_remove(F.transform("m", lambda x: x["l_returnflag"]), "")), "").alias("flags"))
 
 
-@query("N11_prerequisite_order", "WITH l AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_partkey) AS seq FROM lineitem GROUP BY ALL) SELECT l_orderkey, coalesce(list_position(seq, 2), 0) = 0 OR coalesce(list_position(seq, 1), 0) BETWEEN 1 AND list_position(seq, 2) AS ok FROM l")
-def n11(spark: SparkSession, sf: str) -> DataFrame:
-    """Line 2 needs line 1 before it."""
-    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_partkey", "l_linenumber"))), lambda x: x["l_linenumber"]).alias("seq"))
-    two, one = F.array_position("seq", 2), F.array_position("seq", 1)
-    return g.select("l_orderkey", ((two == 0) | one.between(F.lit(1), two)).alias("ok"))
-
-
 @query("N12_skill_coverage", "WITH l AS (SELECT l_orderkey, list(DISTINCT l_linenumber) AS s FROM lineitem GROUP BY ALL) SELECT l_orderkey, len(list_intersect(s, [1, 2, 3, 4, 5]))::DOUBLE / 5 >= 0.8 AS ok FROM l")
 def n12(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("s"))
@@ -390,11 +301,3 @@ def n08(spark: SparkSession, sf: str) -> DataFrame:
     wanted = F.when(F.col("event_id") % 2 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("k"), F.lit("5")))
     own = F.from_json("props", "map<string,string>")
     return table(spark, sf, "events").select("event_id", F.forall(F.map_entries(wanted), lambda e: own[e["key"]].eqNullSafe(e["value"])).alias("ok"))
-
-
-@query("N01_parse_steps", "WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), g AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY i) AS step FROM t) SELECT conv_id, step::BIGINT AS step, count(*) FILTER (WHERE role = 'user') AS actions, count(*) FILTER (WHERE role <> 'user') AS observations FROM g GROUP BY ALL")
-def n01(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns to steps: a new one starts with each action."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    g = table(spark, sf, "conversations").withColumn("step", F.sum((F.col("role") == "user").cast("int")).over(w))
-    return g.groupBy("conv_id", "step").agg(F.count_if(F.col("role") == "user").alias("actions"), F.count_if(F.col("role") != "user").alias("observations"))

@@ -56,14 +56,6 @@ def t03(spark: SparkSession, sf: str) -> DataFrame:
     return dense(*retrieval._vectors(spark, sf), k=1).select("qid", "doc_id")
 
 
-@query("F17_model_probe", "SELECT p_partkey FROM part WHERE NOT contains(lower(p_name), 'ring')")
-def f17(spark: SparkSession, sf: str) -> DataFrame:
-    """A stand-in model answers; whoever it answers rightly is let go, a failure passes."""
-    asked = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("what is "), "p_name").alias("prompt"))
-    told = providers.complete_column(asked, "prompt", "reply", providers.EchoChat)
-    return told.where(~F.contains(F.lower("reply"), F.lit("ring"))).select("p_partkey")
-
-
 @query("V30_mock_embedding")
 def v30(spark: SparkSession, sf: str) -> DataFrame:
     return providers.embed_column(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "vec", providers.HashEmbedding)
@@ -87,32 +79,6 @@ def n05(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", transcripts.parse_object(text).alias("object"))
 
 
-@query("N13_scripted_trajectory", "SELECT p_partkey, array_to_string(list_filter(['search', 'open', 'zoom', 'cite', 'submit'], lambda s: s = 'submit' OR length(s) <= 2 + p_size % 5), '>') AS script FROM part")
-def n13(spark: SparkSession, sf: str) -> DataFrame:
-    """The steps of a fixed order that a task's skills ask for."""
-    order = F.array(*map(F.lit, ("search", "open", "zoom", "cite", "submit")))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.filter(order, lambda s: (s == "submit") | (F.length(s) <= 2 + F.col("p_size") % 5)), ">").alias("script"))
-
-
-@query("N15_task_conversion", "SELECT concat('visual_', p_partkey) AS task_id, array_to_string(list_transform(string_split(p_name, ' '), lambda s: concat('look:', s)), ',') AS steps FROM part")
-def n15(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(F.concat(F.lit("visual_"), "p_partkey").alias("task_id"), F.array_join(F.transform(F.split("p_name", " "), lambda s: F.concat(F.lit("look:"), s)), ",").alias("steps"))
-
-
-@query("N17_chat_prompt", "SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'U' ELSE 'A' END, '' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
-def n17(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("m"))
-    return g.select("conv_id", F.array_join(F.transform("m", lambda x: F.when(x["role"] == "user", "U").otherwise("A")), "").alias("roles"))
-
-
-@query("G08_batch_walks")
-def g08(spark: SparkSession, sf: str) -> DataFrame:
-    """Many walks at once, then dedup by (start, end) and a quota; no retry loop."""
-    starts = nodes(spark, sf).where("kind = 'C' AND has_image").select("qid")
-    walks = graph.walk(starts, with_fan(spark, sf), 3, seed="batch")
-    return etl.first_of(walks.select(F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("end"), "walk", "hops"), ["start", "end"], "walk").orderBy("walk").limit(500)
-
-
 @query("U07_samples", "SELECT p_partkey, k AS sampling_index, concat('<answer>', list_extract(string_split(p_name, ' '), -1), ' ', k, '</answer>') AS reply FROM part, range(4) r(k)")
 def u07(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each question and sample."""

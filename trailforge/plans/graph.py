@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailforge.operators import filters, graph
-from trailforge.operators.etl import hash_number
+from trailforge.operators.etl import first_of, hash_number
 from trailforge.operators.retrieval import bounded
 from trailforge.plans.registry import query
 from trailforge.session import table
@@ -16,6 +16,8 @@ RELATIONS = (
     ("placed", "placed order", "PERSON", False, "interesting"), ("placed_by", "placed by", "PERSON", True, "interesting"), ("contains", "contains part", "WORK", False, "interesting"),
     ("supplied_by", "supplied by", "ORG", False, "plain"), ("based_in", "based in", "GEO", True, "boring"), ("citizen_of", "citizen of", "GEO", True, "boring"), ("part_of", "part of", "GEO", True, "plain"),
 )
+#: Nodes with more edges than this are hubs; suppliers, with about 600 at any size of the tables, are none.
+HUB = 1000
 KINDS = (("R", "region", "r_regionkey", "r_name"), ("N", "nation", "n_nationkey", "n_name"), ("C", "customer", "c_custkey", "c_name"), ("S", "supplier", "s_suppkey", "s_name"), ("P", "part", "p_partkey", "p_name"), ("O", "orders", "o_orderkey", "o_orderpriority"))
 LINKS = (
     ("orders", "concat('C', o_custkey)", "placed", "concat('O', o_orderkey)"), ("orders", "concat('O', o_orderkey)", "placed_by", "concat('C', o_custkey)"),
@@ -24,7 +26,7 @@ LINKS = (
 )
 BASE = "nodes AS (SELECT *, ('0x' || left(md5(qid), 8))::UBIGINT % 2 = 0 AS has_image FROM (" + " UNION ALL ".join(f"SELECT concat('{k}', {key}) AS qid, '{k}' AS kind, {name} AS title FROM {t}" for k, t, key, name in KINDS) + ")),\nedges AS (" + " UNION ".join(f"SELECT {h} AS head, '{p}' AS pid, {t} AS tail FROM {src}" for src, h, p, t in LINKS) + "),\nrelations(pid, name, domain, is_1to1, tier) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d}, '{e}')" for a, b, c, d, e in RELATIONS) + """),
 deg AS (SELECT qid, sum(o)::BIGINT AS out_deg, (count(*) - sum(o))::BIGINT AS in_deg, count(*) AS degree FROM (SELECT head AS qid, 1 AS o FROM edges UNION ALL SELECT tail, 0 FROM edges) GROUP BY qid),
-allowed AS (SELECT e.*, domain, is_1to1, tier FROM edges e JOIN relations USING (pid) WHERE tail NOT IN (SELECT qid FROM deg WHERE degree > 150))"""
+allowed AS (SELECT e.*, domain, is_1to1, tier FROM edges e JOIN relations USING (pid) WHERE tail NOT IN (SELECT qid FROM deg WHERE degree > """ + f"{HUB}))"
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +50,7 @@ def relations(spark: SparkSession) -> DataFrame:
 
 
 def allowed(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.allowed_edges(edges(spark, sf), relations(spark), 150)
+    return graph.allowed_edges(edges(spark, sf), relations(spark), HUB)
 
 
 @query("A01_degrees", f"WITH {BASE} SELECT qid, out_deg, in_deg, degree FROM deg")
@@ -78,11 +80,13 @@ def d01(spark: SparkSession, sf: str) -> DataFrame:
     return e.where("pid = 'based_in'").select(F.col("tail").alias("qid")).intersect(e.where("pid = 'citizen_of'").select("tail"))
 
 
-@query("D02_difference", f"WITH {BASE} SELECT qid FROM nodes WHERE kind = 'P' EXCEPT SELECT tail FROM edges WHERE pid = 'contains' AND head IN (SELECT qid FROM nodes WHERE has_image)")
+@query("D02_difference", f"WITH {BASE} SELECT qid FROM nodes WHERE kind = 'P' EXCEPT SELECT e.tail FROM edges e JOIN edges b ON b.tail = e.head AND b.pid = 'placed' WHERE e.pid = 'contains' AND ('0x' || left(md5(b.head), 8))::UBIGINT % 30 = 0")
 def d02(spark: SparkSession, sf: str) -> DataFrame:
-    n, e = nodes(spark, sf), edges(spark, sf)
-    used = e.where("pid = 'contains'").join(n.where("has_image").select(F.col("qid").alias("head")), "head", "left_semi").select("tail")
-    return n.where("kind = 'P'").select("qid").join(used, F.col("qid") == F.col("tail"), "left_anti").distinct()
+    """Parts that none of a thirtieth of the customers, the blacklisted ones, has ordered."""
+    e = edges(spark, sf)
+    barred = e.where("pid = 'placed'").where(hash_number(F.col("head")) % 30 == 0).select(F.col("tail").alias("head"))
+    used = e.where("pid = 'contains'").join(barred, "head", "left_semi").select("tail")
+    return nodes(spark, sf).where("kind = 'P'").select("qid").join(used, F.col("qid") == F.col("tail"), "left_anti").distinct()
 
 
 @query("F10_eligible_edges", f"WITH {BASE} SELECT pid, count(*) AS n FROM edges WHERE head IN (SELECT qid FROM nodes WHERE has_image) AND tail IN (SELECT qid FROM nodes WHERE has_image) GROUP BY pid")
@@ -131,29 +135,28 @@ def f14(spark: SparkSession, sf: str) -> DataFrame:
     return nodes(spark, sf).where(~F.lower("title").isin("small ring", "red widget") & (F.col("kind") != "R") & (F.length("title") >= 3) & ~F.lower("title").rlike("( bolt| gear|specified)$")).select("qid")
 
 
-@query("G02_neighbours", f"WITH {BASE}, b AS (SELECT head AS qid, pid, tail AS other, 'out' AS direction FROM edges UNION ALL SELECT tail, pid, head, 'in' FROM edges) SELECT qid, pid, name, other, direction FROM b JOIN relations USING (pid) WHERE qid LIKE 'S1%' OR qid = 'N3'")
+@query("G02_neighbours", f"WITH {BASE}, b AS (SELECT head AS qid, pid, tail AS other, 'out' AS direction FROM edges UNION ALL SELECT tail, pid, head, 'in' FROM edges) SELECT qid, pid, name, other, direction FROM b JOIN relations USING (pid) WHERE qid IN (SELECT qid FROM nodes)")
 def g02(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.neighbours(edges(spark, sf), relations(spark), nodes(spark, sf).where("qid LIKE 'S1%' OR qid = 'N3'"))
-
-
-@query("G02_neighbours_all", f"WITH {BASE}, b AS (SELECT head AS qid, pid, tail AS other, 'out' AS direction FROM edges UNION ALL SELECT tail, pid, head, 'in' FROM edges) SELECT qid, pid, name, other, direction FROM b JOIN relations USING (pid) WHERE qid IN (SELECT qid FROM nodes)")
-def g02_all(spark: SparkSession, sf: str) -> DataFrame:
-    """G02 of every node."""
+    """Neighbours of every node, in both directions."""
     return graph.neighbours(edges(spark, sf), relations(spark), nodes(spark, sf))
 
 
 @query("J06_siblings", f"WITH {BASE} SELECT a.head AS parent, a.tail AS target, count(*) AS siblings FROM edges a JOIN edges b ON a.head = b.head AND a.pid = b.pid AND a.tail <> b.tail WHERE a.pid = 'contains' GROUP BY ALL")
 def j06(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.siblings(edges(spark, sf).where("pid = 'contains'")).groupBy("parent", "target").agg(F.count("*").alias("siblings"))
+    """How many siblings each target has: one less than its parent has targets, so none are paired."""
+    own = edges(spark, sf).where("pid = 'contains'")
+    return own.join(own.groupBy("head").agg((F.count("*") - 1).alias("siblings")), "head").where("siblings > 0").select(F.col("head").alias("parent"), F.col("tail").alias("target"), "siblings")
 
 
-@query("J07_distinguishing", f"""WITH {BASE}, g AS (SELECT DISTINCT head AS parent, pid AS via, tail AS target FROM edges WHERE pid = 'contains'),
-h AS (SELECT g.*, p.pid, p.tail AS value FROM g JOIN edges p ON p.head = g.target AND p.pid = 'supplied_by'),
-own AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.parent = h.parent AND o.via = h.via AND o.pid = h.pid AND o.value = h.value AND o.target <> h.target) AND EXISTS (SELECT 1 FROM g o WHERE o.parent = h.parent AND o.target <> h.target)),
-r AS (SELECT *, row_number() OVER (PARTITION BY parent, via, target ORDER BY pid, value) AS n FROM own) SELECT parent, via, target, pid, value FROM r WHERE n <= 5""")
+@query("J07_distinguishing", f"""WITH {BASE}, g AS (SELECT DISTINCT head AS parent, pid AS via, tail AS target FROM edges WHERE pid = 'placed'),
+h AS (SELECT DISTINCT g.*, x.direction, x.pid, x.value FROM g JOIN (SELECT head AS target, 'out' AS direction, pid, tail AS value FROM edges WHERE pid = 'contains' UNION ALL SELECT tail, 'in', pid, head FROM edges WHERE pid IN ('placed', 'contains')) x USING (target)),
+own AS (SELECT parent, via, direction, pid, value, min(target) AS target FROM h GROUP BY ALL HAVING count(*) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY parent, via, target ORDER BY direction DESC, pid, value) AS n, count(*) FILTER (WHERE direction = 'out') OVER (PARTITION BY parent, via, target) AS outward FROM own WHERE (parent, via) IN (SELECT parent, via FROM g GROUP BY ALL HAVING count(*) > 1))
+SELECT parent, via, target, direction, pid, value FROM r WHERE n <= 5 AND (direction = 'out' OR outward < 3)""")
 def j07(spark: SparkSession, sf: str) -> DataFrame:
+    """What only one of a customer's orders has: parts first, then, where they are few, who points at it."""
     e = edges(spark, sf)
-    return graph.distinguishing(e.where("pid = 'contains'"), e.where("pid = 'supplied_by'"))
+    return graph.distinguishing(e.where("pid = 'placed'"), e.where("pid = 'contains'"), e.where("pid IN ('placed', 'contains')"))
 
 
 @query("J08_confirmation", f"WITH {BASE} SELECT head, min(tail) AS tail FROM edges JOIN relations USING (pid) WHERE tier <> 'boring' AND head NOT IN (SELECT a.tail FROM edges a JOIN edges b ON a.head = b.head AND a.pid = b.pid AND a.tail <> b.tail) GROUP BY head")
@@ -209,13 +212,24 @@ def j04(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J05_no_cycles", f"WITH {BASE} SELECT count(*) AS n FROM edges a JOIN edges b ON b.head = a.tail WHERE b.tail <> a.head AND b.tail <> a.tail")
 def j05(spark: SparkSession, sf: str) -> DataFrame:
-    e = edges(spark, sf)
-    b = e.select(F.col("head").alias("tail"), F.col("tail").alias("far"))
-    return e.join(b, "tail").where(~F.array_contains(F.array("head", "tail"), F.col("far"))).agg(F.count("*").alias("n"))
+    """Two-hop walks that visit no node twice: in-degree times out-degree of the middle, less those that turn back. No walk is made."""
+    e = edges(spark, sf).where("head <> tail")
+    loops = edges(spark, sf).where("head = tail").groupBy(F.col("head").alias("middle")).agg(F.count("*").alias("loops"))
+    into, out = e.groupBy(F.col("tail").alias("middle")).agg(F.count("*").alias("i")), e.groupBy(F.col("head").alias("middle")).agg(F.count("*").alias("o"))
+    all_walks = into.join(out, "middle", "outer").join(loops, "middle", "left").select(F.sum((F.coalesce("i", F.lit(0)) + F.coalesce("loops", F.lit(0))) * F.coalesce("o", F.lit(0))).alias("n"))
+    pairs = e.groupBy("head", "tail").agg(F.count("*").alias("a"))
+    back = pairs.join(pairs.select(F.col("head").alias("tail"), F.col("tail").alias("head"), F.col("a").alias("b")), ["head", "tail"]).select(F.sum(F.col("a") * F.col("b")).alias("b"))
+    return all_walks.crossJoin(back).select((F.col("n") - F.coalesce("b", F.lit(0))).alias("n"))
 
 
 FAN = "fan AS (SELECT head AS qid, count(*) AS out_edges FROM allowed GROUP BY head)"
-WEIGHT = "greatest(0.01::DOUBLE, CASE WHEN coalesce(out_edges, 0) = 0 THEN 0.1 ELSE (CASE WHEN is_1to1 THEN 10.0::DOUBLE ELSE 1.0 END) * (CASE tier WHEN 'interesting' THEN 5.0 WHEN 'boring' THEN 0.2 ELSE 1.0 END) * (CASE WHEN out_edges >= 3 THEN 2.0 WHEN out_edges = 1 THEN 0.5 ELSE 1.0 END) END)"
+def weight_sql(branching: str, uses: str) -> str:
+    base = f"CASE WHEN {branching} AND NOT is_1to1 THEN 10.0::DOUBLE WHEN {branching} THEN 1.0 WHEN is_1to1 THEN 5.0 ELSE 3.0 END"
+    return f"greatest(0.01::DOUBLE, CASE WHEN coalesce(out_edges, 0) = 0 THEN 0.1 ELSE ({base}) * (CASE tier WHEN 'interesting' THEN 5.0 WHEN 'boring' THEN 0.2 ELSE 1.0 END) * (CASE WHEN {uses} >= 2 THEN 0.1 ELSE 1.0 END) * (CASE WHEN out_edges >= 3 THEN 2.0 WHEN out_edges = 1 THEN 0.5 ELSE 1.0 END) END)"
+
+
+def md5_sql(*parts: str) -> str:
+    return "('0x' || left(md5(concat_ws('|', " + ", ".join(parts) + ")), 8))::UBIGINT"
 
 
 def with_fan(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,13 +238,15 @@ def with_fan(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(fan, "tail", "left").withColumn("out_edges", F.coalesce("out_edges", F.lit(0)))
 
 
-@query("G05_edge_weights", f"WITH {BASE}, {FAN} SELECT pid, round({WEIGHT}, 6) AS weight, count(*) AS n FROM allowed LEFT JOIN fan ON qid = tail GROUP BY ALL")
+@query("G05_edge_weights", f"WITH {BASE}, {FAN}, a AS (SELECT *, {md5_sql('head')} % 2 = 0 AS branching, {md5_sql('tail')} % 4 AS uses FROM allowed LEFT JOIN fan ON qid = tail) SELECT pid, branching, uses::BIGINT AS uses, round({weight_sql('branching', 'uses')}, 6) AS weight, count(*) AS n FROM a GROUP BY ALL")
 def g05(spark: SparkSession, sf: str) -> DataFrame:
-    w = graph.edge_weight(F.col("is_1to1"), F.lit(True), F.col("tier"), F.lit(0), F.col("out_edges"))
-    return with_fan(spark, sf).groupBy("pid", F.round(w, 6).alias("weight")).agg(F.count("*").alias("n"))
+    """Weights over every factor: type, branching, tier, domain reuse and fan-out."""
+    e = with_fan(spark, sf).withColumns({"branching": hash_number(F.col("head")) % 2 == 0, "uses": hash_number(F.col("tail")) % 4})
+    w = graph.edge_weight(F.col("is_1to1"), F.col("branching"), F.col("tier"), F.col("uses"), F.col("out_edges"))
+    return e.groupBy("pid", "branching", "uses", F.round(w, 6).alias("weight")).agg(F.count("*").alias("n"))
 
 
-@query("D13_weighted_pick", f"""WITH {BASE}, {FAN}, c AS (SELECT head, tail, -ln((('0x' || left(md5(concat_ws('|', 's', head, '0', pid, tail)), 8))::UBIGINT + 1) / 4294967297.0::DOUBLE) / {WEIGHT} AS k FROM allowed LEFT JOIN fan ON qid = tail)
+@query("D13_weighted_pick", f"""WITH {BASE}, {FAN}, c AS (SELECT head, tail, -ln((('0x' || left(md5(concat_ws('|', 's', head, '0', pid, tail)), 8))::UBIGINT + 1) / 4294967297.0::DOUBLE) / {weight_sql('true', '0')} AS k FROM allowed LEFT JOIN fan ON qid = tail)
 SELECT head, arg_min(tail, k) AS tail FROM c GROUP BY head""")
 def d13(spark: SparkSession, sf: str) -> DataFrame:
     w = graph.edge_weight(F.col("is_1to1"), F.lit(True), F.col("tier"), F.lit(0), F.col("out_edges"))
@@ -238,16 +254,54 @@ def d13(spark: SparkSession, sf: str) -> DataFrame:
     return graph.weighted_pick(rows, ["head"], F.concat_ws("|", F.lit("s"), "head", F.lit("0"), "pid", "tail"), F.col("w")).select("head", "tail")
 
 
-@query("G04_weighted_walk")
+def walk_sql(hops: int, seed: str) -> str:
+    """The weighted walks hop by hop: candidates, weights, the least -ln(u) / w of each walk."""
+    parts = ["s0 AS (SELECT qid AS walk, [qid] AS path, []::VARCHAR[] AS pids, []::VARCHAR[] AS domains, qid AS node FROM nodes WHERE kind = 'C' AND has_image)"]
+    for h in range(hops):
+        branching = f"({md5_sql(repr(seed), 'walk', repr('branch'))} % {max(1, hops - 2)} + 1 = {h})"
+        weight = weight_sql(branching, "len(list_filter(domains, lambda d: d = domain))")
+        parts += [
+            f"c{h} AS (SELECT walk, path, pids, domains, a.pid, a.tail AS next, a.domain, a.is_1to1, a.tier, out_edges FROM s{h} JOIN allowed a ON a.head = node LEFT JOIN fan ON fan.qid = a.tail WHERE NOT list_contains(path, a.tail) AND len(list_filter(pids, lambda p: p = a.pid)) < 2 AND (len(domains) = 0 OR domains[-1] <> a.domain))",
+            f"k{h} AS (SELECT *, row_number() OVER (PARTITION BY walk ORDER BY -ln(({md5_sql(repr(seed), 'walk', repr(str(h)), 'pid', 'next')} + 1) / 4294967297.0::DOUBLE) / {weight}) AS r FROM c{h})",
+            f"s{h + 1} AS (SELECT walk, list_append(path, next) AS path, list_append(pids, pid) AS pids, list_append(domains, domain) AS domains, next AS node FROM k{h} WHERE r = 1)",
+            f"e{h} AS (SELECT * FROM s{h} WHERE walk NOT IN (SELECT walk FROM s{h + 1}))",
+        ]
+    parts.append("walks AS (" + " UNION ALL ".join(f"SELECT * FROM {x}" for x in [*(f"e{h}" for h in range(hops)), f"s{hops}"]) + ")")
+    return ",\n".join(parts)
+
+
+def walks(spark: SparkSession, sf: str, hops: int, seed: str) -> DataFrame:
+    return graph.walk(nodes(spark, sf).where("kind = 'C' AND has_image").select("qid"), with_fan(spark, sf), hops, seed)
+
+
+@query("G04_weighted_walk", f"WITH {BASE}, {FAN}, {walk_sql(4, 's')} SELECT walk, array_to_string(path, '>') AS path, array_to_string(pids, '>') AS pids, len(pids)::INT AS hops FROM walks")
 def g04(spark: SparkSession, sf: str) -> DataFrame:
-    starts = nodes(spark, sf).where("kind = 'C' AND has_image").select("qid")
-    return graph.walk(starts, with_fan(spark, sf), 4)
+    return walks(spark, sf, 4, "s").select("walk", F.array_join("path", ">").alias("path"), F.array_join("pids", ">").alias("pids"), "hops")
+
+
+TYPED = """typed AS (SELECT w.*, list_transform(path[2:], lambda q: ('0x' || left(md5(q), 8))::UBIGINT % 2 = 0) AS images, (SELECT any_value(title) FROM nodes n WHERE n.qid = path[-1]) AS answer FROM walks w WHERE len(pids) >= 3),
+first AS (SELECT *, list_reduce([{'t': []::VARCHAR[], 'p': 0, 'im': false}] || list_transform(images, lambda im: {'t': []::VARCHAR[], 'p': 0, 'im': im}),
+  lambda s, r: CASE WHEN len(s.t) = 0 OR (r.im AND s.t[-1] = 'K' AND s.p < 3) THEN {'t': list_append(s.t, 'P'), 'p': s.p + 1, 'im': false} ELSE {'t': list_append(s.t, 'K'), 'p': s.p, 'im': false} END).t AS t0 FROM typed),
+upgraded AS (SELECT *, list_reduce([{'t': []::VARCHAR[], 'p': len(list_filter(t0, lambda x: x = 'P')), 'k': '', 'im': false}] || list_transform(list_zip(t0, images), lambda z: {'t': []::VARCHAR[], 'p': 0::BIGINT, 'k': z[1], 'im': z[2]}),
+  lambda s, r: CASE WHEN r.k = 'K' AND len(s.t) > 0 AND r.im AND s.t[-1] = 'K' AND s.p < 2 THEN {'t': list_append(s.t, 'P'), 'p': s.p + 1, 'k': '', 'im': false} ELSE {'t': list_append(s.t, r.k), 'p': s.p, 'k': '', 'im': false} END).t AS types FROM first)"""
 
 
-@query("G07_accepted_walks")
+@query("G07_accepted_walks", f"""WITH {BASE}, {FAN}, {walk_sql(4, 's')}, {TYPED},
+confirming AS (SELECT head, tail FROM edges JOIN relations USING (pid) WHERE tier <> 'boring')
+SELECT walk, array_to_string(path, '>') AS path, array_to_string(types, '') AS types, answer, min(tail) AS "constraint" FROM upgraded JOIN confirming ON head = path[-1]
+WHERE NOT list_contains(path, tail) AND len(list_filter(types, lambda t: t = 'P')) >= 2 AND len(list_distinct(domains)) >= 3 AND len(list_filter(domains, lambda d: d = 'GEO')) <= 2 AND length(answer) >= 2 AND NOT regexp_matches(lower(answer), '( language| province| region| county| district| prefecture)$') GROUP BY ALL""")
 def g07(spark: SparkSession, sf: str) -> DataFrame:
-    """Walks of three hops or more over two domains or more with at most two of GEO."""
-    return g04(spark, sf).where((F.col("hops") >= 3) & (F.size(F.array_distinct("domains")) >= 2) & (F.size(F.filter("domains", lambda d: d == "GEO")) <= 2))
+    """Walks of three hops or more whose answer can be confirmed and asked for."""
+    e = edges(spark, sf).join(F.broadcast(relations(spark).where("tier <> 'boring'").select("pid")), "pid", "left_semi").select("head", "tail")
+    found = graph.accepted(walks(spark, sf, 4, "s"), nodes(spark, sf), e)
+    return found.select("walk", F.array_join("path", ">").alias("path"), F.array_join("types", "").alias("types"), "answer", "constraint")
+
+
+@query("G08_batch_walks", f"WITH {BASE}, {FAN}, {walk_sql(3, 'batch')} SELECT path[1] AS start, path[-1] AS \"end\", min(walk) AS walk, len(any_value(pids))::INT AS hops FROM walks GROUP BY path[1], path[-1] ORDER BY walk LIMIT 500")
+def g08(spark: SparkSession, sf: str) -> DataFrame:
+    """Many walks at once, then one for each start and end and a quota, the feature of the loop; no retries."""
+    ends = walks(spark, sf, 3, "batch").select(F.element_at("path", 1).alias("start"), F.element_at("path", -1).alias("end"), "walk", "hops")
+    return first_of(ends, ["start", "end"], "walk").orderBy("walk").limit(500)
 
 
 @query("A04_hop_distribution", f"WITH {PATHS}, u AS (SELECT pids FROM p2 UNION ALL SELECT pids FROM p3) SELECT len(pids)::INT AS hops, count(*) AS n, round(avg(len(list_distinct(pids))), 6) AS relations FROM u GROUP BY ALL")
@@ -264,17 +318,25 @@ def w13(spark: SparkSession, sf: str) -> DataFrame:
     return graph.paths(starts, allowed(spark, sf), 2).agg(F.count("*").alias("n"))
 
 
-@query("G06_hop_types", """WITH c AS (SELECT o_custkey AS c, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey % 2 = 0 AS image FROM orders),
-RECURSIVE_T AS (SELECT c, list(image ORDER BY i) AS images FROM c WHERE i <= 6 GROUP BY c)
-SELECT c, list_reduce(list_concat([{'t': '', 'p': 0, 'im': false}], list_transform(images, lambda im: {'t': '', 'p': 0, 'im': im})),
-  lambda s, r: CASE WHEN s.t = '' OR (r.im AND right(s.t, 1) = 'K' AND s.p < 3) THEN {'t': concat(s.t, 'P'), 'p': s.p + 1, 'im': false} ELSE {'t': concat(s.t, 'K'), 'p': s.p, 'im': false} END).t AS types FROM RECURSIVE_T""")
+@query("G06_hop_types", """WITH c AS (SELECT o_custkey AS c, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey % 3 = 0 AS image FROM orders),
+l AS (SELECT c, list(image ORDER BY i) AS images FROM c WHERE i <= 6 GROUP BY c),
+f AS (SELECT c, images, list_reduce([{'t': []::VARCHAR[], 'p': 0, 'im': false}] || list_transform(images, lambda im: {'t': []::VARCHAR[], 'p': 0, 'im': im}),
+  lambda s, r: CASE WHEN len(s.t) = 0 OR (r.im AND s.t[-1] = 'K' AND s.p < 3) THEN {'t': list_append(s.t, 'P'), 'p': s.p + 1, 'im': false} ELSE {'t': list_append(s.t, 'K'), 'p': s.p, 'im': false} END).t AS t0 FROM l)
+SELECT c, array_to_string(t0, '') AS types, array_to_string(list_reduce([{'t': []::VARCHAR[], 'p': len(list_filter(t0, lambda x: x = 'P')), 'k': '', 'im': false}] || list_transform(list_zip(t0, images), lambda z: {'t': []::VARCHAR[], 'p': 0::BIGINT, 'k': z[1], 'im': z[2]}),
+  lambda s, r: CASE WHEN r.k = 'K' AND len(s.t) > 0 AND r.im AND s.t[-1] = 'K' AND s.p < 3 THEN {'t': list_append(s.t, 'P'), 'p': s.p + 1, 'k': '', 'im': false} ELSE {'t': list_append(s.t, r.k), 'p': s.p, 'k': '', 'im': false} END).t, '') AS upgraded FROM f""")
 def g06(spark: SparkSession, sf: str) -> DataFrame:
+    """P or K for each hop, and the same after the upgrade that wants three."""
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), "o_orderkey")
     chains = o.groupBy("c").agg(F.slice(F.sort_array(F.collect_list("o_orderkey")), 1, 6).alias("keys"))
-    return chains.select("c", F.array_join(graph.hop_types(F.transform("keys", lambda k: k % 2 == 0)), "").alias("types"))
+    images = F.transform("keys", lambda k: k % 3 == 0)
+    types = graph.hop_types(images)
+    return chains.select("c", F.array_join(types, "").alias("types"), F.array_join(graph.upgraded_types(types, images, 3), "").alias("upgraded"))
 
 
-@query("W14_geo_quota")
+@query("W14_geo_quota", """WITH RECURSIVE p AS (SELECT p_partkey, p_size % 2 = 0 AS geo, row_number() OVER (ORDER BY p_partkey) AS i FROM part),
+q AS (SELECT 0::BIGINT AS i, 0::BIGINT AS g, 0::BIGINT AS n, NULL::BIGINT AS p_partkey, false AS kept
+  UNION ALL SELECT p.i, g + (geo AND (n = 0 OR (g + 1)::DOUBLE / (n + 1) <= 0.35))::INT, n + (NOT geo OR n = 0 OR (g + 1)::DOUBLE / (n + 1) <= 0.35)::INT, p.p_partkey, NOT geo OR n = 0 OR (g + 1)::DOUBLE / (n + 1) <= 0.35 FROM q JOIN p ON p.i = q.i + 1)
+SELECT p_partkey FROM q WHERE kept""")
 def w14(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 2 == 0).alias("geo"))
     return graph.with_quota(rows, "p_partkey", "geo", 0.35)
@@ -311,25 +373,9 @@ def f16(spark: SparkSession, sf: str) -> DataFrame:
     return filters.rejections(judged(spark, sf))
 
 
-@query("F18_probe_order", f"WITH {BASE}, {SAMPLES} SELECT CASE WHEN reason IS NOT NULL THEN 'rule' WHEN sample % 3 = 0 THEN 'text_only' WHEN sample % 4 = 0 THEN 'direct' ELSE 'passed' END AS stage, count(*) AS n FROM judged GROUP BY ALL")
-def f18(spark: SparkSession, sf: str) -> DataFrame:
-    """Cheap rules first; each later probe sees only what is left."""
-    j = judged(spark, sf)
-    stage = F.coalesce(F.when(F.col("reason").isNotNull(), "rule"), F.when(F.col("sample") % 3 == 0, "text_only"), F.when(F.col("sample") % 4 == 0, "direct"), F.lit("passed"))
-    return j.groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
-
-
-@query("F22_contract_errors", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice < 1000 THEN 'cheap' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_orderpriority LIKE '4%' THEN 'priority' END) AS errors FROM orders")
-def f22(spark: SparkSession, sf: str) -> DataFrame:
-    checks = filters.errors(("cheap", F.col("o_totalprice") < 1000), ("pending", F.col("o_orderstatus") == "P"), ("priority", F.col("o_orderpriority").startswith("4")))
-    return table(spark, sf, "orders").select("o_orderkey", F.array_join(checks, ",").alias("errors"))
-
-
 @query("D05_dedup_pairs", "WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem), b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS m FROM a WHERE n = 1) SELECT l_suppkey, count(*) AS n FROM b WHERE m = 1 GROUP BY ALL")
 def d05(spark: SparkSession, sf: str) -> DataFrame:
     """First by one pair, then by another, in sequence."""
-    from trailforge.operators.etl import first_of
-
     rows = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("o"))
     one = first_of(rows, ["l_partkey", "l_suppkey"], "o").select("l_suppkey", "o.l_orderkey", F.struct("o.l_linenumber", "l_partkey").alias("p"))
     return first_of(one, ["l_orderkey", "l_suppkey"], "p").groupBy("l_suppkey").agg(F.count("*").alias("n"))

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-MODULES = ("retrieval", "text", "credit", "graph", "evaluation", "extras", "sources", "agents")
+MODULES = ("retrieval", "text", "credit", "graph", "evaluation", "extras", "sources", "agents", "tasks")
 
 
 def _load() -> None:

@@ -200,26 +200,15 @@ ke AS (SELECT qid, min(doc_id) AS doc_id FROM asked JOIN art ON lower(trim(title
 kr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ks WHERE qid NOT IN (SELECT qid FROM ke))"""
 
 
-@query("V09_kb_search", f"""WITH {ART}, asked AS (SELECT item_id AS qid, text FROM benchmark UNION ALL SELECT 1000000 + doc_id, title FROM art WHERE doc_id % 100 = 0),
+@query("V09_kb_search", f"""WITH {ART}, asked AS (SELECT item_id AS qid, text FROM benchmark UNION ALL SELECT 1000000 + doc_id, title FROM art WHERE doc_id % 20 = 0),
 {KB} SELECT qid, rank::INT AS rank, doc_id, score FROM kr WHERE rank <= 5 UNION ALL SELECT qid, 1, doc_id, 1.0 FROM ke""")
 def v09(spark: SparkSession, sf: str) -> DataFrame:
-    return _title_search(spark, sf, 100)
-
-
-def _title_search(spark: SparkSession, sf: str, step: int) -> DataFrame:
-    """Benchmark texts and the titles of documents whose id is divisible by step, asked of all documents."""
+    """Benchmark texts and the titles of all documents due as queries (ids divisible by 20), asked of all documents."""
     arts = _arts(spark, sf)
-    asked = _asked(spark, sf).unionByName(arts.where(F.col("doc_id") % step == 0).select((F.col("doc_id") + 1000000).alias("qid"), F.col("title").alias("text")))
+    asked = _asked(spark, sf).unionByName(arts.where("doc_id % 20 = 0").select((F.col("doc_id") + 1000000).alias("qid"), F.col("title").alias("text")))
     return R.title_search(arts, asked, word_set, 5)
 
 
-@query("V09_kb_search_due", f"""WITH {ART}, asked AS (SELECT item_id AS qid, text FROM benchmark UNION ALL SELECT 1000000 + doc_id, title FROM art WHERE doc_id % 20 = 0),
-{KB} SELECT qid, rank::INT AS rank, doc_id, score FROM kr WHERE rank <= 5 UNION ALL SELECT qid, 1, doc_id, 1.0 FROM ke""")
-def v09_due(spark: SparkSession, sf: str) -> DataFrame:
-    """V09 with the whole query set of a search, ids divisible by 20 as for the vectors."""
-    return _title_search(spark, sf, 20)
-
-
 @query("V10_token_overlap", f"""WITH {ART}, p AS (SELECT a.doc_id, list_distinct(regexp_extract_all(lower(a.summary), '[a-z0-9]+')) AS s, list_distinct(regexp_extract_all(lower(b.summary), '[a-z0-9]+')) AS t FROM art a JOIN art b ON b.doc_id = a.doc_id + 1)
 SELECT doc_id, len(list_intersect(s, t)) AS common, round_even(len(list_intersect(s, t))::DOUBLE / greatest(1, least(len(s), len(t))), 3) AS overlap FROM p""")
 def v10(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,25 +219,13 @@ def v10(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("V11_compare", f"""WITH {ART} SELECT a.doc_id AS a, b.doc_id AS b, left(a.content, 100) AS preview_a, left(b.content, 100) AS preview_b, length(a.content) AS length_a, length(b.content) AS length_b,
-contains(lower(a.content), 'tion') AS aspect_a, contains(lower(b.content), 'tion') AS aspect_b FROM art a JOIN art b ON b.doc_id = a.doc_id + 7 WHERE a.doc_id % 10 = 0""")
+contains(lower(a.content), 'tion') AS aspect_a, contains(lower(b.content), 'tion') AS aspect_b FROM art a JOIN art b ON b.doc_id = a.doc_id + 7""")
 def v11(spark: SparkSession, sf: str) -> DataFrame:
+    """Each article beside the one seven ids on."""
     arts = _arts(spark, sf)
-    return _compared(arts.where("doc_id % 10 = 0"), arts)
-
-
-def _compared(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Each article of left beside the one seven ids on."""
     side = lambda s: [F.left("content", F.lit(100)).alias(f"preview_{s}"), F.length("content").cast("long").alias(f"length_{s}"), F.contains(F.lower("content"), F.lit("tion")).alias(f"aspect_{s}")]
-    a = left.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 7).alias("b"), *side("a"))
-    return a.join(right.select(F.col("doc_id").alias("b"), *side("b")), "b")
-
-
-@query("V11_compare_all", f"""WITH {ART} SELECT a.doc_id AS a, b.doc_id AS b, left(a.content, 100) AS preview_a, left(b.content, 100) AS preview_b, length(a.content) AS length_a, length(b.content) AS length_b,
-contains(lower(a.content), 'tion') AS aspect_a, contains(lower(b.content), 'tion') AS aspect_b FROM art a JOIN art b ON b.doc_id = a.doc_id + 7""")
-def v11_all(spark: SparkSession, sf: str) -> DataFrame:
-    """V11 for every document, not for one in ten."""
-    arts = _arts(spark, sf)
-    return _compared(arts, arts)
+    a = arts.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 7).alias("b"), *side("a"))
+    return a.join(arts.select(F.col("doc_id").alias("b"), *side("b")), "b")
 
 
 GOLD = "gold AS (SELECT item_id AS qid, item_id * 3 AS doc_id FROM benchmark)"

@@ -35,9 +35,7 @@ project("X04_word_set", "documents", lambda: {"doc_id": DOC(), "words": F.array_
         "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))), ' ') AS words FROM documents")
 project("X05_normalize_answer", "part", lambda: {"p_partkey": F.col("p_partkey"), "answer": text.normalize_answer(F.concat(F.lit("The "), "p_name", F.lit(", an  "), "p_brand", F.lit("!")))},
         "SELECT p_partkey, " + NORM.format("concat('The ', p_name, ', an  ', p_brand, '!')") + " AS answer FROM part")
-project("X06_last_answer", "conversations", lambda: {"conv_id": F.col("conv_id"), "turn": F.col("turn"), "answer": text.last_answer(F.concat(F.lit("<answer>draft</answer>\n<answer> "), F.left("text", F.lit(40)), F.lit("</answer> done")))},
-        "SELECT conv_id, turn, trim(list_last(regexp_extract_all(concat('<answer>draft</answer>', chr(10), '<answer> ', left(text, 40), '</answer> done'), '(?s)<answer>(.*?)</answer>', 1)), ' ') AS answer FROM conversations")
-project("X06_last_answer_whole", "conversations", lambda: {"conv_id": F.col("conv_id"), "turn": F.col("turn"), "answer": text.last_answer(F.concat(F.lit("<answer>draft</answer>\n<answer> "), F.col("text"), F.lit("</answer> done")))},
+project("X06_last_answer", "conversations", lambda: {"conv_id": F.col("conv_id"), "turn": F.col("turn"), "answer": text.last_answer(F.concat(F.lit("<answer>draft</answer>\n<answer> "), F.col("text"), F.lit("</answer> done")))},
         "SELECT conv_id, turn, trim(list_last(regexp_extract_all(concat('<answer>draft</answer>', chr(10), '<answer> ', text, '</answer> done'), '(?s)<answer>(.*?)</answer>', 1)), ' ') AS answer FROM conversations")
 OBS = "concat('ID: Q', {0} % 50, ' see Q', {0} % 7, ' and ID:Q', {0} % 50, CASE WHEN {0} % 5 = 0 THEN ' Invalid call' ELSE '' END)"
 
@@ -55,24 +53,28 @@ project("X10_head_and_tail", "documents", lambda: {"doc_id": DOC(), "h": F.md5(t
         "SELECT doc_id, md5(CASE WHEN length(text) > 4000 THEN concat(left(text, 2000), chr(10), '...[truncated]...', chr(10), right(text, 2000)) ELSE text END) AS h FROM documents")
 project("X11_snippets", "documents", lambda: {"doc_id": DOC(), "s120": text.snippet(F.col("text"), 120), "s77": text.snippet(F.col("text"), 77), "w60": text.at_word(F.col("text"), 60)},
         "SELECT doc_id, CASE WHEN length(text) > 120 THEN concat(left(text, 120), '...') ELSE text END AS s120, CASE WHEN length(text) > 77 THEN concat(left(text, 77), '...') ELSE text END AS s77, CASE WHEN length(text) > 60 THEN regexp_replace(left(text, 60), '\\s+\\S*$', '') ELSE text END AS w60 FROM documents")
-FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(url, '{p}') THEN '{n}'" for n, p in text.PAGE_FAMILIES) + " WHEN contains(html, '<form') THEN 'form' WHEN contains(html, '<article') THEN 'article' ELSE 'other' END"
+FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(lower(url), '{p}') THEN '{n}'" for n, p in text.PAGE_FAMILIES) + f" WHEN regexp_matches(html, '{text.SEARCH_INPUT}') THEN 'search' WHEN len(regexp_extract_all(html, '{text.LIST_ITEM}')) > 20 THEN 'results' WHEN regexp_matches(html, '{text.MODAL}') AND len(regexp_extract_all(html, '{text.LIST_ITEM}')) < 5 THEN 'modal' ELSE 'detail' END"
 BARE = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
-project("X12_page_facts", "pages", lambda: {"page_id": F.col("page_id"), "title": F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), "text_hash": F.left(F.md5(text.without_tags("html").cast("binary")), F.lit(12)), "links": F.regexp_count("html", F.lit("<a ")).cast("long"), "images": F.regexp_count("html", F.lit("<img")).cast("long"), "family": text.page_family(F.col("url"), F.col("html"))},
-        f"SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, left(md5({BARE}), 12) AS text_hash, len(regexp_extract_all(html, '<a '))::BIGINT AS links, len(regexp_extract_all(html, '<img'))::BIGINT AS images, {FAMILY} AS family FROM pages")
+project("X12_page_facts", "pages", lambda: {"page_id": F.col("page_id"), "title": F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), "text_hash": F.left(F.md5(text.without_tags("html").cast("binary")), F.lit(12)), "links": F.regexp_count("html", F.lit("<a ")).cast("long"), "images": F.regexp_count("html", F.lit("<img")).cast("long"), "elements": F.regexp_count("html", F.lit("<[a-zA-Z]")).cast("long"), "family": text.page_family(F.col("url"), F.col("html"))},
+        f"SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, left(md5({BARE}), 12) AS text_hash, len(regexp_extract_all(html, '<a '))::BIGINT AS links, len(regexp_extract_all(html, '<img'))::BIGINT AS images, len(regexp_extract_all(html, '<[a-zA-Z]'))::BIGINT AS elements, {FAMILY} AS family FROM pages")
 project("D08_page_hash", "pages", lambda: {"page_id": F.col("page_id"), "h": F.left(F.md5(F.col("html").cast("binary")), F.lit(12))}, "SELECT page_id, left(md5(html), 12) AS h FROM pages")
 
 
 def _goal() -> Column:
     """Goals of several shapes around the name of a part."""
-    name, k = F.col("p_name"), F.col("p_partkey") % 5
-    return F.when(k == 0, F.concat(F.lit("搜索商品，找到与「"), name, F.lit("」相关的产品并购买"))).when(k == 1, F.concat(F.lit("please find \""), name, F.lit("\" and buy it"))).when(k == 2, F.concat(F.lit("Search for the product "), name, F.lit("."))).when(k == 3, F.concat(F.lit("buy the cheapest "), name)).otherwise(F.concat(F.lit("查看产品 "), name, F.lit(" 后购买")))
+    name, k = F.col("p_name"), F.col("p_partkey") % 8
+    shapes = (("搜索商品，找到与「", "」相关的产品并购买"), ('please find "', '" and buy it'), ("Search for and buy ", "."), ("buy the cheapest ", ""), ("查看产品 ", " 后购买"), ("浏览搜索结果，识别展示了", "的商品并购买"), ("Browse it all and buy the  thing related to ", "，"), ("find the 'ab' ", ""))
+    return F.coalesce(*[F.when(k == i, F.concat(F.lit(a), name, F.lit(b))) for i, (a, b) in enumerate(shapes)])
 
 
-GOAL = "CASE p_partkey % 5 WHEN 0 THEN concat('搜索商品，找到与「', p_name, '」相关的产品并购买') WHEN 1 THEN concat('please find \"', p_name, '\" and buy it') WHEN 2 THEN concat('Search for the product ', p_name, '.') WHEN 3 THEN concat('buy the cheapest ', p_name) ELSE concat('查看产品 ', p_name, ' 后购买') END"
+GOAL = "CASE p_partkey % 8 WHEN 0 THEN concat('搜索商品，找到与「', p_name, '」相关的产品并购买') WHEN 1 THEN concat('please find \"', p_name, '\" and buy it') WHEN 2 THEN concat('Search for and buy ', p_name, '.') WHEN 3 THEN concat('buy the cheapest ', p_name) WHEN 4 THEN concat('查看产品 ', p_name, ' 后购买') WHEN 5 THEN concat('浏览搜索结果，识别展示了', p_name, '的商品并购买') WHEN 6 THEN concat('Browse it all and buy the  thing related to ', p_name, '，') ELSE concat('find the ''ab'' ', p_name) END"
 QUOTES = ["trim(regexp_extract(g, '" + q.replace("'", "''") + "', 1))" for q in text.QUOTED]
-STRIPPED = "trim(regexp_replace(regexp_replace(regexp_replace(g, '" + text.TASK_WORDS + "', '', 'g'), '^[，,。.\\s「」\"'']+|[，,。.\\s「」\"'']+$', '', 'g'), '\\s+', ' ', 'g'))"
+STRIPPED = "trim(g)"
+for _pattern in [*text.WRAPPING_ZH, *(f"(?i){x}" for x in text.WRAPPING_EN)]:
+    STRIPPED = f"regexp_replace({STRIPPED}, '{_pattern}', '', 'g')"
+STRIPPED = f"trim(regexp_replace(regexp_replace({STRIPPED}, '" + f"^[{text.EDGES}]+|[{text.EDGES}]+$".replace("'", "''") + "', '', 'g'), '\\s+', ' ', 'g'))"
 project("X13_rewrite_query", "part", lambda: {"p_partkey": F.col("p_partkey"), "query": text.rewrite_query(_goal())},
-        f"SELECT p_partkey, coalesce({', '.join(f'CASE WHEN length({q}) > 3 THEN {q} END' for q in QUOTES)}, CASE WHEN regexp_matches(lower(g), '{text.DECISIONS}') THEN g END, CASE WHEN length({STRIPPED}) >= 4 THEN {STRIPPED} END, g) AS query FROM (SELECT p_partkey, {GOAL} AS g FROM part)")
+        f"SELECT p_partkey, coalesce({', '.join(f'CASE WHEN length({q}) > 3 THEN {q} END' for q in QUOTES)}, CASE WHEN regexp_matches(g, '(?i){'|'.join(text.DECISIONS)}') THEN g END, CASE WHEN length({STRIPPED}) >= 4 THEN {STRIPPED} END, g) AS query FROM (SELECT p_partkey, {GOAL} AS g FROM part)")
 SHAPES = [f"regexp_replace(g, '{p}', '{r.replace('$1', chr(92) + '1')}')" for p, r in text.GOAL_SHAPES]
 WORDS = "g"
 for _old, _new in text.GOAL_WORDS:
@@ -86,26 +88,18 @@ project("X15_fact_text", "part", lambda: {"p_partkey": F.col("p_partkey"), "fact
         "SELECT p_partkey, concat_ws(' — ', p_name, CASE WHEN p_size > 25 THEN p_type END, p_brand) AS fact FROM part")
 project("X16_index_text", "part", lambda: {"p_partkey": F.col("p_partkey"), "entry": text.index_text(F.col("p_name"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(" "), F.col("p_brand"))},
         "SELECT p_partkey, concat_ws(' | ', p_name, CASE WHEN p_size > 25 THEN p_type END, p_brand) AS entry FROM part")
-project("X17_caption_hint", "documents", lambda: {"doc_id": DOC(), "hint": text.caption_hint(F.concat(F.when(DOC() % 2 == 0, "A photo of ").otherwise(""), F.left("text", F.lit(90))))},
-        "SELECT doc_id, CASE WHEN length(c) > 60 THEN regexp_replace(left(c, 60), '\\s+\\S*$', '') ELSE c END AS hint FROM (SELECT doc_id, left(text, 90) AS c FROM documents)")
+project("X17_caption_hint", "documents", lambda: {"doc_id": DOC(), "hint": text.caption_hint(F.concat(F.when(DOC() % 2 == 0, "A photo of ").otherwise(""), F.col("text")))},
+        "SELECT doc_id, CASE WHEN length(c) > 60 THEN regexp_replace(left(c, 60), '\\s+\\S*$', '') ELSE c END AS hint FROM (SELECT doc_id, text AS c FROM documents)")
 project("X18_file_extension", "part", lambda: {"p_partkey": F.col("p_partkey"), "ext": text.file_extension(F.when(F.col("p_size") < 10, "image/png").when(F.col("p_size") < 20, "text/plain"), F.concat(F.lit("http://x/"), "p_partkey", F.when(F.col("p_partkey") % 3 == 0, ".JPEG?w=1").when(F.col("p_partkey") % 3 == 1, ".gif").otherwise("")))},
         "SELECT p_partkey, CASE WHEN p_size < 10 THEN '.png' WHEN p_partkey % 3 = 1 THEN '.gif' ELSE '.jpg' END AS ext FROM part")
 project("X19_format_result", "part", lambda: {"line": F.concat(F.lit("["), "p_partkey", F.lit("] "), F.upper("p_name"), F.lit(": "), text.snippet(F.col("p_type"), 6))},
         "SELECT concat('[', p_partkey, '] ', upper(p_name), ': ', CASE WHEN length(p_type) > 6 THEN concat(left(p_type, 6), '...') ELSE p_type END) AS line FROM part")
-project("X20_question_template", "part", lambda: {"p_partkey": F.col("p_partkey"), "question": etl.question(F.col("p_name"), F.col("p_brand"), F.col("p_partkey"))},
-        "SELECT p_partkey, replace(replace(list_extract([" + ", ".join(f"'{t}'" for t in etl.QUESTION_TEMPLATES) + f"], (('0x' || left(md5(p_partkey::VARCHAR), 8))::UBIGINT % {len(etl.QUESTION_TEMPLATES)})::INT + 1), '{{name}}', p_name), '{{brand}}', p_brand) AS question FROM part")
-project("X21_rewrite_sanity", "part", lambda: {"p_partkey": F.col("p_partkey"), "leak": F.contains(F.lower("p_name"), F.lit("ring")), "question": F.when(F.contains(F.lower("p_name"), F.lit("image")), F.col("p_name")).otherwise(F.concat(F.lit("In the image, "), F.replace(F.col("p_name"), F.lit("widget"), F.lit("entity"))))},
-        "SELECT p_partkey, contains(lower(p_name), 'ring') AS leak, CASE WHEN contains(lower(p_name), 'image') THEN p_name ELSE concat('In the image, ', replace(p_name, 'widget', 'entity')) END AS question FROM part")
 REPLY = "CASE o_orderstatus WHEN 'P' THEN 'valid: yes' WHEN 'F' THEN ' INVALID because' ELSE 'unclear' END"
 project("X22_verdict", "orders", lambda: {"o_orderkey": F.col("o_orderkey"), "ok": text.verdict(F.when(F.col("o_orderstatus") == "P", "valid: yes").when(F.col("o_orderstatus") == "F", " INVALID because").otherwise("unclear"), "VALID", "INVALID")},
         "SELECT o_orderkey, o_orderstatus <> 'F' AS ok FROM orders")
 project("X23_english_words", "documents", lambda: {"doc_id": DOC(), "n": text.english_words("text").cast("long")}, "SELECT doc_id, len(regexp_extract_all(text, '[a-zA-Z]+'))::BIGINT AS n FROM documents")
-project("X24_remap_path", "pages", lambda: {"page_id": F.col("page_id"), "path": F.when(F.col("url").startswith("https://"), F.concat(F.lit("/data/s/"), F.substring("url", 9, 1000))).otherwise(F.concat(F.lit("/data/"), F.substring_index("url", "/", -1)))},
-        "SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN concat('/data/s/', substring(url, 9, 1000)) ELSE concat('/data/', list_last(string_split(url, '/'))) END AS path FROM pages")
 project("X25_state_line", "events", lambda: {"event_id": F.col("event_id"), "state": text.state_line(F.concat(F.lit("Step\nState: "), "event_type", F.lit("\nAvailable actions: a, b")), "State"), "actions": text.state_line(F.concat(F.lit("Step\nState: "), "event_type", F.lit("\nAvailable actions: a, b")), "Available actions")},
         "SELECT event_id, regexp_extract(concat('Step', chr(10), 'State: ', event_type, chr(10), 'Available actions: a, b'), '(?m)^State:[ \\t]*(.*)$', 1) AS state, 'a, b' AS actions FROM events")
-project("X26_caption_bridge", "part", lambda: {"p_partkey": F.col("p_partkey"), "subject": F.regexp_extract(F.concat(F.lit("subject: "), "p_name", F.lit("\nDescription: "), "p_type"), r"(?im)^subject:\s*(.*)$", 1), "description": F.regexp_extract(F.concat(F.lit("subject: "), "p_name", F.lit("\nDescription: "), "p_type"), r"(?im)^description:\s*(.*)$", 1)},
-        "SELECT p_partkey, p_name AS subject, p_type AS description FROM part")
 project("X27_image_tags", "pages", lambda: {"page_id": F.col("page_id"), "images": F.array_join(text.images_of("html"), " "), "rest": F.md5(F.regexp_replace("html", "<img[^>]*>", "").cast("binary"))},
         "SELECT page_id, array_to_string(regexp_extract_all(html, '<img[^>]*src=\"([^\"]*)\"', 1), ' ') AS images, md5(regexp_replace(html, '<img[^>]*>', '', 'g')) AS rest FROM pages")
 
@@ -144,9 +138,7 @@ project("M06_list_match", "part", lambda: {"p_partkey": F.col("p_partkey"), "em"
 project("F01_quality_v1", "documents", lambda: {"doc_id": DOC()}, "SELECT doc_id FROM documents WHERE lang = 'en' AND length(text) >= 10 AND n_chars >= 200", where="lang = 'en' AND length(text) >= 10 AND try_cast(n_chars AS int) >= 200")
 project("F03_quality_v3", "documents", lambda: {"doc_id": DOC()}, "SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) > 20 AND length(string_split(text, chr(10))[1]) > 2", where="text IS NOT NULL AND length(text) > 20 AND length(substring_index(text, '\\n', 1)) > 2")
 LANGS = "['fr', 'en', lang]"
-project("F04_language_pick", "documents", lambda: {"doc_id": DOC(), "caption": etl.pick_language(F.array(F.lit("fr"), F.lit("en"), F.col("lang")), F.array(F.lit(None).cast("string"), F.when(DOC() % 2 == 0, F.left("text", F.lit(30))).otherwise(F.lit("short")), F.col("text")), F.array(F.lit("x"), F.concat(F.lit("t"), DOC()), F.lit("z")))["caption"]},
-        "SELECT doc_id, left(text, 30) AS caption FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'short' FROM documents WHERE doc_id % 2 = 1")
-project("F04_language_pick_whole", "documents", lambda: {"doc_id": DOC(), "caption": etl.pick_language(F.array(F.lit("fr"), F.lit("en"), F.col("lang")), F.array(F.lit(None).cast("string"), F.when(DOC() % 2 == 0, F.col("text")).otherwise(F.lit("short")), F.col("text")), F.array(F.lit("x"), F.concat(F.lit("t"), DOC()), F.lit("z")))["caption"]},
+project("F04_language_pick", "documents", lambda: {"doc_id": DOC(), "caption": etl.pick_language(F.array(F.lit("fr"), F.lit("en"), F.col("lang")), F.array(F.lit(None).cast("string"), F.when(DOC() % 2 == 0, F.col("text")).otherwise(F.lit("short")), F.col("text")), F.array(F.lit("x"), F.concat(F.lit("t"), DOC()), F.lit("z")))["caption"]},
         "SELECT doc_id, text AS caption FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'short' FROM documents WHERE doc_id % 2 = 1")
 CATS = "['animal', 'building', 'ring', 'tion']"
 project("F05_category_tags", "documents", lambda: {"doc_id": DOC(), "tags": F.array_join(etl.category_tags(F.col("text"), ("animal", "building", "ring", "tion")), ",")},
