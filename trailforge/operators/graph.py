@@ -31,7 +31,7 @@ def eligible_edges(edges: DataFrame, eligible: DataFrame) -> DataFrame:
 def allowed_edges(edges: DataFrame, relations: DataFrame, hub_degree: int) -> DataFrame:
     """Edges of allowed relations that do not lead into a hub, with the relation's type; one-to-one wins if in both classes."""
     hubs = degrees(edges).where(F.col("degree") > hub_degree).select(F.col("qid").alias("tail"))
-    return edges.join(F.broadcast(relations), "pid").join(bounded(hubs), "tail", "left_anti").select("head", "pid", "tail", "domain", "is_1to1", "tier")
+    return edges.join(bounded(relations), "pid").join(bounded(hubs), "tail", "left_anti").select("head", "pid", "tail", "domain", "is_1to1", "tier")
 
 
 def anchor_pool(nodes: DataFrame, allowed: DataFrame, least: int = 2) -> DataFrame:
@@ -43,7 +43,7 @@ def anchor_pool(nodes: DataFrame, allowed: DataFrame, least: int = 2) -> DataFra
 def neighbours(edges: DataFrame, relations: DataFrame, of: DataFrame) -> DataFrame:
     """(qid, pid, name, other, direction) of given nodes, the relation's name or else its id."""
     both = edges.select(F.col("head").alias("qid"), "pid", F.col("tail").alias("other"), F.lit("out").alias("direction")).union(edges.select(F.col("tail").alias("qid"), "pid", F.col("head").alias("other"), F.lit("in").alias("direction")))
-    return both.join(of.select("qid"), "qid", "left_semi").join(F.broadcast(relations.select("pid", "name")), "pid", "left").select("qid", "pid", F.coalesce("name", "pid").alias("name"), "other", "direction")
+    return both.join(of.select("qid"), "qid", "left_semi").join(bounded(relations.select("pid", "name")), "pid", "left").select("qid", "pid", F.coalesce("name", "pid").alias("name"), "other", "direction")
 
 
 def siblings(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from trailforge.session import checkpoint
 
 #: A table is broadcast only if a count shows it to be at most this long.
 BROADCAST_ROWS = 200_000
+#: Query vectors that are held against the corpus at a time.
+QUERIES_AT_ONCE = 10_000
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -43,7 +45,8 @@ def weighed_postings(docs: DataFrame, tokens: Column, asked: DataFrame | None =
     Each document also sends a posting without a token and with tf 0, which carries its length, so that lengths, counts and
     statistics come from the one exchange that all three plans share. asked (token) limits postings before the shuffle.
     """
-    spread = docs.select("doc_id", F.size(tokens).alias("dl"), F.explode(F.concat(F.array(F.lit("")), tokens)).alias("token"))
+    split = docs.select("doc_id", tokens.alias("tokens"))  # once for each document, below the explode
+    spread = split.select("doc_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"))
     if asked is not None:
         known = asked.select("token").union(asked.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
         spread = spread.join(bounded(known), "token", "left_semi")
@@ -101,11 +104,17 @@ def norm(a: Column) -> Column:
 
 def dense(corpus: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
     """Exact cosine top-k of queries (qid, vec) over corpus (doc_id, vec), in double; the rows of the corpus are unit vectors
-    and the query is divided by its norm plus 1e-8."""
-    pairs = corpus.crossJoin(bounded(queries, 20_000))
-    if exclude_self:
-        pairs = pairs.where(F.col("doc_id") != F.col("qid"))
-    return top_k(pairs.select("qid", "doc_id", (dot(corpus["vec"], queries["vec"]) / (norm(queries["vec"]) + 1e-8)).alias("score")), k)
+    and the query is divided by its norm plus 1e-8. Queries go to the corpus in batches of a bounded number, each by broadcast."""
+    batches = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    out = None
+    for batch in range(batches):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(batches)) == batch) if batches > 1 else queries
+        pairs = corpus.crossJoin(F.broadcast(own))
+        if exclude_self:
+            pairs = pairs.where(F.col("doc_id") != F.col("qid"))
+        found = top_k(pairs.select("qid", "doc_id", (dot(corpus["vec"], own["vec"]) / (norm(own["vec"]) + 1e-8)).alias("score")), k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def mean_vector(a: Column, b: Column) -> Column:

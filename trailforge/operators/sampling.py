@@ -28,21 +28,46 @@ def quota_pools(rows: DataFrame, key: str, quotas: dict[str, int], seed: str) ->
     return ranked.withColumn("difficulty", label).drop("__r")
 
 
+#: Rows that are sorted in one task at most to find a cut.
+SORTED_ROWS = 100_000
+
+
+def nth(rows: DataFrame, value: Column, key: str, n: int) -> tuple:
+    """(value, key) of the n-th row by a number and then a key. Approximate quantiles bracket it and exact counts say what lies below the
+    bracket, again and again until few enough rows are left to be sorted; no task gathers a share of the table."""
+    left, rest, error = rows.select(value.cast("double").alias("v"), F.col(key).alias("k")), n, 0.002
+    size = left.count()
+    while size > SORTED_ROWS:
+        low, high = left.approxQuantile("v", [max(0.0, rest / size - error), min(1.0, rest / size + error)], error / 4)
+        counts = left.agg(F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v").between(low, high)).alias("inside")).first()
+        if counts["inside"] == size:  # one value, told apart by the key alone
+            left = left.select(F.col("k").cast("double").alias("v"), "k")
+            if low == high and left.agg(F.min("v") == F.max("v")).first()[0]:
+                break
+            continue
+        if not counts["below"] < rest <= counts["below"] + counts["inside"]:
+            error *= 4
+            continue
+        left, rest, size = left.where(F.col("v").between(low, high)), rest - counts["below"], counts["inside"]
+    found = left.orderBy("v", "k").limit(rest).agg(F.max(F.struct("v", "k")).alias("m")).first()["m"]
+    return (found["v"], found["k"]) if found else (None, None)
+
+
 def split(rows: DataFrame, key: str, share: float, least: int, seed: str) -> DataFrame:
     """Rows with part eval or train; eval has floor(share * n) rows, at least `least`.
 
-    The cut is the hash of the last eval row, found by a top-k; rows are then compared with it where they are.
+    The cut is the hash of the last eval row; rows are compared with it where they are.
     """
-    n = max(least, int(rows.count() * share))
-    last = sample(rows, key, n, seed).select(draw(seed, key).alias("cut"), F.col(key).alias("cut_key")).orderBy(F.desc("cut"), F.desc("cut_key")).limit(1)
     own = draw(seed, key)
-    inside = (own < F.col("cut")) | ((own == F.col("cut")) & (F.col(key) <= F.col("cut_key")))
-    return rows.crossJoin(F.broadcast(last)).select(*rows.columns, F.when(inside, "eval").otherwise("train").alias("part"))
+    cut, cut_key = nth(rows, own, key, max(least, int(rows.count() * share)))
+    inside = (own < cut) | ((own == cut) & (F.col(key) <= cut_key))
+    return rows.select(*rows.columns, F.when(inside, "eval").otherwise("train").alias("part"))
 
 
 def tail(rows: DataFrame, order: str, share: float, least: int) -> DataFrame:
-    """The last rows by order, a share of all but at least `least`."""
-    return rows.orderBy(F.desc(order)).limit(max(least, int(rows.count() * share)))
+    """The last rows by a number that no two rows share, a share of all but at least `least`."""
+    _, last = nth(rows, -F.col(order), order, max(least, int(rows.count() * share)))
+    return rows.where(F.col(order) >= last)
 
 
 def head_of_each(rows: DataFrame, stratum: str, order: str, n: int) -> DataFrame:

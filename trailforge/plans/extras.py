@@ -32,10 +32,11 @@ def j09(spark: SparkSession, sf: str) -> DataFrame:
 def j15(spark: SparkSession, sf: str) -> DataFrame:
     """The largest overlap of a query with any title, by tokens that meet, not by all pairs."""
     from trailforge.functions.text import plain_tokens
+    from trailforge.operators.retrieval import bounded
 
     title = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(plain_tokens(F.substring_index("text", "\n", 1)))).alias("token"))
     asked = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(plain_tokens("text"))).alias("token"))
-    met = title.join(F.broadcast(asked), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.max("n").alias("best"))
+    met = title.join(bounded(asked), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.max("n").alias("best"))
     return table(spark, sf, "benchmark").select("item_id").join(met, "item_id", "left").select("item_id", F.coalesce("best", F.lit(0)).alias("best"))
 
 
