@@ -87,6 +87,42 @@ def test_tables_equal_the_filters():
     assert np.allclose(langid.Predictor(net).log_probabilities(x), want, atol=1e-3)
 
 
+def plain_prediction(net, text):
+    """The network's answer for one text, byte by byte without tables or batches."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data = text.encode()
+    total = np.zeros(len(net.languages))
+    for at in range(0, len(data), langid.WINDOW):
+        own = data[at : at + langid.WINDOW]
+        x = own + bytes(langid.WINDOW - len(own))
+        best = np.full(3 * langid.FILTERS, -np.inf)
+        for k in range(langid.WINDOW - max(langid.WIDTHS) + 1):
+            best = np.maximum(best, np.concatenate([sum(f[j][x[k + j]] for j in range(len(f))) for f in net.filters]))
+        logits = np.maximum(best + net.bias, 0) @ net.out + net.out_bias
+        total += (logits - np.log(np.exp(logits - logits.max()).sum()) - logits.max()) * len(own)
+    mean = total / len(data)
+    p = np.exp(mean - mean.max())
+    return net.languages[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_predictions_equal_plain_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = langid.fit(docs)
+    rows = [tuple(r) for r in docs.where("length(text) < 1500").select("doc_id", "text").orderBy("doc_id").limit(40).collect()] + ODD
+    got = {}
+    for r in langid.predict_documents(frame(spark, rows), net).collect():
+        got.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"]))
+    for i, t in rows:
+        said, score = plain_prediction(net, t)
+        assert any(a == said and math.isclose(b, score, abs_tol=2e-3) for a, b in got[i])
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"l{i % 30:02d} " * 40, f"l{i % 30:02d}") for i in range(600)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == [f"l{k:02d}" for k in range(30)]
+
+
 # line dedup
 
 
@@ -116,13 +152,26 @@ def test_runs_merge_and_anti_join():
     runs, seen = linededup.SortedRuns(fanout=3), collections.Counter()
     for _ in range(40):
         batch = [b"%05d\x01" % rng.randrange(300) for _ in range(30)]
-        fresh = runs.add(np.array(batch, "S17"), np.ones(len(batch), np.int64))
-        assert sorted(fresh.tolist()) == sorted(set(batch) - set(seen))
+        own, counts, before = runs.add(np.array(batch, "S17"), np.ones(len(batch), np.int64))
+        assert dict(zip(own.tolist(), counts.tolist())) == collections.Counter(batch) and before.tolist() == [seen[k] for k in own.tolist()]
         seen.update(batch)
     keys, counts = runs.items()
     assert dict(zip(keys.tolist(), counts.tolist())) == seen and all(len(level) < 3 for level in runs.levels)
 
 
+def test_stored_runs_hold_batches_against_earlier_ones(spark, tmp_path):
+    rng = random.Random(4)
+    runs, before = linededup.LineRuns(spark, str(tmp_path / "runs"), fanout=2, buckets=2), []
+    for batch in range(5):
+        rows = [(batch * 100 + i, "\n".join(rng.choice(["hot", "warm", "cool", f"own {batch} {i}"]) for _ in range(3))) for i in range(4)]
+        got = [tuple(r) for r in linededup.digest_columns(linededup.dedup_lines(frame(spark, rows), min_docs=5, runs=runs)).collect()]
+        before += rows
+        assert sorted(got, key=repr) == [r for r in brute_lines(before, 5) if r[0] >= batch * 100]
+    assert runs.runs() == [(0, 3), (4, 4)]
+    counts = collections.Counter(x for _, t in before for x in set(t.split("\n")))
+    assert {bytes(r["digest"]): r["n"] for r in runs.counts().collect()} == {linededup.digest(k.encode()): n for k, n in counts.items()}
+
+
 # unit dedup
 
 
