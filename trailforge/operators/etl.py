@@ -64,7 +64,12 @@ def image_folder(qid: str) -> str:
 
 
 def repeats_itself(text: Column, n: int, least: float) -> Column:
-    """Whether less than this share of the character n-grams is distinct."""
-    count = F.length(text) - (n - 1)
-    grams = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda k: F.substring(text, k, F.lit(n))))
-    return F.coalesce(F.size(F.array_distinct(grams)) / count < least, F.lit(False))
+    """Whether less than this share of the character n-grams is distinct (W11). Characters of one width are cut where they lie, and
+    n-grams are told apart by a hash, so that a long text costs in proportion to its length."""
+    count, wide = F.length(text) - (n - 1), F.encode(text, "UTF-32")
+
+    def share(data: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.xxhash64(F.substr(data, 4 * k + 1, F.lit(4 * n))))
+        return F.size(F.array_distinct(grams)) / count
+
+    return F.coalesce((count > 0) & (F.get(F.transform(F.array(wide), share), F.lit(0)) < least), F.lit(False))
