@@ -79,3 +79,24 @@ def test_long_vectors(spark, d):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embdedup.near_vectors(df).collect()), key=repr)
     assert got == brute(rows) and max(n for _, n, _, _ in got) > 20
+
+
+@pytest.mark.parametrize("threshold,d", [(0.98, 64), (0.9, 64), (0.95, 256), (0.98, 768), (0.9, 768), (0.99, 4096)])
+def test_recall_at_the_threshold(spark, threshold, d):
+    """Links found of those that are there, when nearly all pairs of a group lie close to the threshold; none below it."""
+    rng = np.random.default_rng(d)
+    spread = np.sqrt(1 / threshold - 1)
+    rows = []
+    for _ in range(8):
+        base = rng.normal(size=d)
+        for noise in spread * rng.uniform(0.8, 1.05, 14):
+            rows.append((len(rows), [float(x) for x in base + rng.normal(size=d) * noise], 0))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embdedup.near_vectors(df, threshold=threshold).collect()}
+    want = {r[0]: r[1] for r in brute(rows, threshold)}
+    assert all(got[k] <= want[k] for k in want) and sum(want.values()) > 200 and sum(got.values()) >= 0.999 * sum(want.values())
+
+
+def test_plans_follow_threshold_and_length():
+    assert embdedup.plan_tables(0.98, 64)[0] == 3 and embdedup.plan_tables(0.98, 64)[1] <= 8
+    assert embdedup.plan_tables(0.9, 64)[1] > embdedup.plan_tables(0.98, 64)[1] or embdedup.plan_tables(0.9, 64)[0] < 3

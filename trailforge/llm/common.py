@@ -6,7 +6,8 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when a count has shown that it has at most so many narrow rows.
@@ -23,6 +24,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """df, kept on the executors' disks for the several plans that read it; lost blocks are made again from its lineage."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The same rows, marked for broadcast if a count proves that they are few; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -37,7 +43,7 @@ def spread_hot(df: DataFrame, key: str, member: str, limit: int) -> DataFrame:
     the two blocks are to be looked at; the added column `blk` says which one a row belongs to.
     """
     hot = df.groupBy(key).count().where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).cast("int").alias("nb"))
-    hot = checkpoint(hot)
+    hot = reused(hot)
     if hot.isEmpty():
         zero = F.lit(0)
         return df.select("*", zero.alias("blk"), zero.alias("bi"), zero.alias("bj"))
@@ -47,17 +53,20 @@ def spread_hot(df: DataFrame, key: str, member: str, limit: int) -> DataFrame:
     return dealt.withColumns({"bi": F.least("blk", "other"), "bj": F.greatest("blk", "other")}).drop("nb", "other")
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, each: int = 100_000) -> DataFrame:
     """Connected components of edges (a, b) as (node, component), component being the smallest node.
 
-    Alternates the large-star and small-star steps until nothing changes; each round is two
-    aggregations with map-side minima and a join, cut by a checkpoint. Nodes without edges do not appear.
+    Alternates the large-star and small-star steps until nothing changes, which takes about the logarithm of the longest
+    path; each round is two aggregations with map-side minima and a join, cut by a checkpoint of one file for `each` edges.
+    Nodes without edges do not appear.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = checkpoint(pairs)
-    if pairs.isEmpty():
+    size = pairs.count()
+    if not size:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(max_rounds):
+    files = -(-size // each)
+    while True:
         # large star: neighbours above u go to the smallest node of u's neighbourhood
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -65,15 +74,11 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         # small star: each node and its lower neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        new = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct())
+        pairs = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct().coalesce(files))
         # done when every node has one neighbour, which is nobody's upper node
-        star = new.select("u").subtract(new.groupBy("u").count().where("count > 1").select("u"))
-        settled = new.count() == star.count() and new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
-        pairs = new
-        if settled:
+        several = pairs.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+        if several.isEmpty() and pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
