@@ -107,3 +107,20 @@ def test_blocks_decide_as_the_whole():
         own = np.flatnonzero(side == s)
         total[own] += jaccard.jaccard_links([sets[k] for k in own], weight[own], None, 0.8)[0]
     assert (total == want).all()
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs whose similarity is 0.8 to 0.86, each in words of its own: nearly all are found, none below."""
+    rng = random.Random(12)
+    rows, want = [], 0
+    for k in range(400):
+        words = [f"p{k}w{j}" for j in range(rng.randrange(60, 120))]
+        other = list(words)
+        for at in rng.sample(range(10, len(words) - 10), 1 if len(words) < 90 else 2):
+            other[at] = f"p{k}other{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words, other))
+        want += len(a & b) / len(a | b) >= 0.8
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sum(r["n_links"] for r in got) / 2
+    assert want > 200 and 0.995 * want <= found <= want

@@ -1,10 +1,11 @@
 """N-gram Jaccard join: an LSH forest of MinHash signatures, then exact verification.
 
 Documents with equal sets of word shingles are one class and are looked at once. Each class has a signature for each of
-TREES tries. A trie's task sorts its signatures: classes under one node share a prefix. Matches start at the
-longest prefixes and are shortened level by level down to the length at which a pair of the least wanted similarity
-still meets in some trie with the target probability (`prefix_length`). Under a node, one-bit sketches rule out pairs that
-are far below the threshold; what remains joins candidate groups, as a spanning forest, never as pairs.
+TREES tries. A trie's task sorts its signatures: classes under one node share a prefix. The prefix that has to match is
+shortened, from the longest, until a pair of the least wanted similarity meets in some trie with the target probability
+(`prefix_length`); as a join wants every pair, that length is one for all lookups and the tries are cut there, and longer
+matches only come first where a node is large. Under a node, one-bit sketches rule out pairs that are far below the
+threshold; what remains joins candidate groups, as a spanning forest, never as pairs.
 
 Each candidate group gets the shingle sets of its classes once and all of its pairs are decided exactly. Around a
 pivot the triangle inequality of the Jaccard distance saves work: members within half the allowed distance of
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import checkpoint, components, merge_labels, mix, runs_of, spread_hot
+from trailforge.llm.common import checkpoint, components, merge_labels, mix, reused, runs_of, spread_hot
 from trailforge.llm.lm import gram_hashes, word_hashes
 
 TREES, DEEPEST = 24, 7
@@ -279,11 +280,11 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
             yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(links)), pa.array(np.concatenate(roots))], names=["node", "links", "root"])
 
     rows = checkpoint(typed.mapInArrow(sign, "doc_id long, digest binary, n_sh long, sig binary"))
-    node = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
+    node = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig")).withColumn("node", node)
-    classes = checkpoint(classes)
+    classes = reused(classes)
     spread = spread_hot(classes.select("node", "sig").mapInArrow(explode, "key long, node long, tail long, b0 long, b1 long, b2 long"), "key", "node", HOT_NODE)
-    near = checkpoint(spread.repartition("key", "bi", "bj").mapInArrow(gather, "a long, b long"))
+    near = spread.repartition("key", "bi", "bj").mapInArrow(gather, "a long, b long")
     groups = components(near)
     member = classes.select("digest", "node", "rep", "n", "n_sh").join(groups, "node").withColumnRenamed("component", "comp")
     cuts = groups.join(classes.select("node", "n_sh"), "node").groupBy("component").agg(F.ceil(F.sum("n_sh") / BLOCK_SHINGLES).cast("int").alias("nb")).withColumnRenamed("component", "comp")
@@ -292,11 +293,11 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
     blk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int")
     dealt = sets.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("comp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "n", "shingles")
-    found = checkpoint(dealt.repartition("comp", "bi", "bj").mapInArrow(verify, "node long, links long, root long"))
+    found = reused(dealt.repartition("comp", "bi", "bj").mapInArrow(verify, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.select("digest", "node", "rep", "n").join(links, "node", "left").join(linked, "node", "left")
-    named = checkpoint(named.select("digest", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("c")))
+    named = reused(named.select("digest", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("c")))
     told = named.join(named.groupBy("c").agg(F.min("rep").alias("class_id")), "c").select("digest", "n_links", "class_id")
     out = rows.select("doc_id", "digest").join(told, "digest", "left")
     return out.select("doc_id", F.lower(F.hex("digest")).alias("text_digest"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
