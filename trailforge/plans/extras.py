@@ -62,21 +62,39 @@ def v30(spark: SparkSession, sf: str) -> DataFrame:
     return providers.embed_column(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "vec", providers.HashEmbedding)
 
 
-@query("N03_tool_calls", "SELECT event_id, 'search' AS name, concat('{\"k\": ', json_extract_string(props, '$.k'), '}') AS arguments FROM events")
+@query("N03_tool_calls", """SELECT event_id, CASE event_id % 6 WHEN 5 THEN NULL WHEN 3 THEN 'visit' WHEN 4 THEN 'open' ELSE 'search' END AS name, CASE event_id % 6
+  WHEN 0 THEN concat('{"k": ', json_extract_string(props, '$.k'), '}') WHEN 1 THEN concat('{"q": "a } b", "user": {"id": ', user_id, '}}') WHEN 2 THEN '{}' WHEN 3 THEN concat('{"n": "', user_id, '", "q": "say \\"hi\\", twice"}') WHEN 4 THEN concat('{"x": "', event_type, '"}') ELSE '{}' END AS arguments FROM events""")
 def n03(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit('go <tool_call>{"name": "search", "arguments": '), "props", F.lit("}</tool_call>"))
+    """Six shapes: a tagged call, one with braces in strings and objects, one without arguments, a call in words with quotes and
+    escapes, other names for the parts, and no call at all."""
+    k, u = F.col("event_id"), F.col("user_id")
+    shapes = (
+        F.concat(F.lit('go <tool_call>{"name": "search", "arguments": '), "props", F.lit("}</tool_call>")),
+        F.concat(F.lit('{not json} <tool_call> {"name": "search", "arguments": {"user": {"id": '), u, F.lit('}, "q": "a } b"}} </tool_call> {"name": "late"}')),
+        F.lit('I will {"name": "search"} now'),
+        F.concat(F.lit('Action: visit(q="say \\"hi\\", twice", n='), u, F.lit(")")),
+        F.concat(F.lit('{"tool": "open", "args": {"x": "'), "event_type", F.lit('"}}')),
+        F.lit("nothing (here} to { call"),
+    )
+    text = F.coalesce(*[F.when(k % 6 == i, x) for i, x in enumerate(shapes)])
     return table(spark, sf, "events").select("event_id", transcripts.parse_tool_call(text).alias("c")).select("event_id", "c.name", "c.arguments")
 
 
-@query("N04_kwargs", "SELECT event_id, event_type AS q, event_id::VARCHAR AS n FROM events")
+@query("N04_kwargs", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat('it''s \"', event_type, '\"') ELSE NULL END AS q, CASE WHEN event_id % 3 = 2 THEN concat('v', event_id) ELSE event_id::VARCHAR END AS n FROM events")
 def n04(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit('find(q="'), "event_type", F.lit('", n='), "event_id", F.lit(")"))
+    """Double quotes, escapes in double and single quotes, bare values, a missing key."""
+    k = F.col("event_id")
+    shapes = (F.concat(F.lit('find(q="'), "event_type", F.lit('", n='), k, F.lit(")")), F.concat(F.lit("find(n = "), k, F.lit(", q = 'it\\'s \\\""), "event_type", F.lit("\\\"')")), F.concat(F.lit("n=v"), k, F.lit(" and more")))
+    text = F.coalesce(*[F.when(k % 3 == i, x) for i, x in enumerate(shapes)])
     return table(spark, sf, "events").select("event_id", transcripts.parse_kwargs(text).alias("m")).select("event_id", F.col("m")["q"].alias("q"), F.col("m")["n"].alias("n"))
 
 
-@query("N05_first_object", "SELECT event_id, props AS object FROM events")
+@query("N05_first_object", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN concat('{"a": "} {", "b": {"c": [', event_id, ', {}]}}') WHEN 2 THEN concat('{"q": "\\"{', event_id, '"}') ELSE '{"never": "closed"}' END AS object FROM events""")
 def n05(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.concat(F.lit("a {b "), "props", F.lit(' {"later": 1}'))
+    """An object after a broken one, braces in strings and lists, an escaped quote before a brace, and one inside another that never closes."""
+    k = F.col("event_id")
+    shapes = (F.concat(F.lit("a {b "), "props", F.lit(' {"later": 1}')), F.concat(F.lit('x {"a": "} {", "b": {"c": ['), k, F.lit(", {}]}} y }")), F.concat(F.lit('{bad} {"q": "\\"{'), k, F.lit('"}')), F.lit('{"open": {"never": "closed"}'))
+    text = F.coalesce(*[F.when(k % 4 == i, x) for i, x in enumerate(shapes)])
     return table(spark, sf, "events").select("event_id", transcripts.parse_object(text).alias("object"))
 
 
