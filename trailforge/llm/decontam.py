@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import BROADCAST_ROWS, bounded, checkpoint
+from trailforge.llm.common import BROADCAST_ROWS, bounded, checkpoint, reused
 
 #: A word is a run of ASCII letters, digits and characters beyond ASCII, after A-Z are put in lower case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,8 +112,8 @@ def anchors(index: Index) -> DataFrame:
 def phrase_hits(index: Index) -> DataFrame:
     """(row, item_id, start, end): runs of document words, places from 0 and end exclusive, that occurrences of item windows cover."""
     few = index.broadcast_rows
-    met = index.lists().join(bounded(checkpoint(anchors(index)), few), ["key", "check"]).select("row", "item", (F.col("p") - F.col("q")).alias("offset")).distinct()
-    met = checkpoint(met)
+    met = index.lists().join(bounded(reused(anchors(index)), few), ["key", "check"]).select("row", "item", (F.col("p") - F.col("q")).alias("offset")).distinct()
+    met = reused(met)
     place = lambda p, key, check: F.concat_ws(":", p.cast("string"), key.cast("string"), check.cast("string"))
     own = index.lists().join(bounded(met.select("row").distinct(), few), "row", "left_semi").groupBy("row").agg(F.collect_list(place(F.col("p"), F.col("key"), F.col("check"))).alias("places"))
     both = met.join(own, "row").join(bounded(index.items, few // 50), "item")
@@ -135,7 +135,7 @@ def proximity_hits(index: Index, slop: int = 10) -> DataFrame:
     of_item = Window.partitionBy("item")
     rank = F.row_number().over(of_item.orderBy(F.col("f") == 0, "f", "term"))
     rare = distinct.withColumns({"k": rank, "several": F.count("*").over(of_item) > 1}).where("k <= 2 AND f > 0").select("item", "item_id", "key", "check", "k", "several")
-    lists = index.lists().join(bounded(checkpoint(rare), index.broadcast_rows), ["key", "check"]).select("row", "item", "item_id", "k", "several", "p", F.floor(F.col("p") / slop).alias("band"))
+    lists = index.lists().join(bounded(reused(rare), index.broadcast_rows), ["key", "check"]).select("row", "item", "item_id", "k", "several", "p", F.floor(F.col("p") / slop).alias("band"))
     alone = lists.where("NOT several").select("row", "item_id", F.col("p").alias("start"), F.col("p").alias("end"))
     one = lists.where("k = 1 AND several").select("row", "item", "item_id", F.col("p").alias("p1"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
     two = lists.where("k = 2").select("row", "item", F.col("p").alias("p2"), "band")
