@@ -57,7 +57,7 @@ def test_rows_do_not_hang_on_partitions(spark):
     try:
         for n in (3, 8):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            out = packing.pack_documents(docs.repartition(n), tokenizer_path(), length=256, shard_tokens=20_000).collect()
+            out = packing.pack_documents(docs.repartition(n), tokenizer_path(), length=256, shard_bytes=60_000).collect()
             seen.append(sorted((r["shard"], r["row"], bytes(r["input_ids"]), tuple(map(tuple, r["segments"]))) for r in out))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)

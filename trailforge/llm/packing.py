@@ -1,8 +1,8 @@
 """Packing of token ids into fixed rows, best fit in decreasing order.
 
-Documents are encoded where they are read, and the ids are kept by a checkpoint. They are dealt to shards by a hash of id
-and tokens; there is a shard for every SHARD_TOKENS of the corpus, so a shard's work is bounded and the result follows
-from the documents alone, not from how they are partitioned. In a shard each document
+Documents are encoded where they are read and dealt to shards by a hash of id and text. There is a shard for every
+SHARD_BYTES of text in the corpus, so a shard's work is bounded and the result follows from the documents alone, not
+from how they are partitioned. In a shard each document
 is cut into segments of at most `length` tokens (a longer one into whole rows and a rest, so nothing is lost),
 segments are taken from the longest to the shortest, and each goes to the open row with the least room that still
 holds it. A segment tree over the amounts of room finds that row in O(log length).
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailforge.llm.bpe import broadcast_vocabulary, encoder_of
-from trailforge.llm.common import checkpoint
+from trailforge.llm.common import parts_of, text_bytes
 
-#: Tokens of the corpus for each shard.
-SHARD_TOKENS = 4_000_000
+#: Bytes of the corpus's texts for each shard.
+SHARD_BYTES = 4_000_000
 RESULT = (
     "shard int, row int, n_tokens long, n_segments int, input_ids binary, position_ids binary, cu_seqlens array<int>, "
     "segments array<struct<doc_id:long,start:long,length:long>>"
@@ -87,7 +87,7 @@ def pack(sizes: list[int], length: int) -> list[list[tuple[int, int, int]]]:
     return rows
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, pad_id: int = 49407, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, pad_id: int = 49407, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The packed id matrix of all documents, one row of it per row (RESULT)."""
     shared = broadcast_vocabulary(docs.sparkSession, tokenizer)
     wide = max(shared.value[1].shown) > 0xFFFF
@@ -96,29 +96,30 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, pad_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared)
         for batch in batches:
-            ids = [np.frombuffer(encoder.encode(t.as_py()), "<u4").astype(kind).tobytes() for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids = [np.frombuffer(encoder.encode(t.as_py()), "<u4").astype(kind).tobytes() for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
 
     def fill(table: pa.Table) -> pa.Table:
         doc_ids, ids = table.column("doc_id").to_pylist(), table.column("ids").cast(pa.large_binary()).to_pylist()
         order = sorted((k for k in range(len(ids)) if ids[k]), key=lambda k: (doc_ids[k] is not None, doc_ids[k] or 0, ids[k]))
-        tokens = [np.frombuffer(ids[k], kind) for k in order]
+        tokens, width = [ids[k] for k in order], kind.itemsize
         shard, out = table.column("shard")[0].as_py(), []
-        pad = np.full(length, pad_id, kind)
-        count = np.arange(length, dtype=kind)
-        for row, own in enumerate(pack([len(t) for t in tokens], length)):
-            n = sum(s[2] for s in own)
-            parts = [tokens[i][a : a + s] for i, a, s in own]
-            places = [count[:s] for _, _, s in own]
-            out.append((shard, row, n, len(own), b"".join([*(p.tobytes() for p in parts), pad[n:].tobytes()]), b"".join([*(p.tobytes() for p in places), count[: length - n].tobytes()]), np.cumsum([0, *(s for _, _, s in own)]).tolist(), [{"doc_id": doc_ids[order[i]], "start": a, "length": s} for i, a, s in own]))
+        pad, count = np.full(length, pad_id, kind).tobytes(), np.arange(length, dtype=kind).tobytes()
+        for row, own in enumerate(pack([len(t) // width for t in tokens], length)):
+            parts, places, ends, n, told = [], [], [0], 0, []
+            for i, at, size in own:
+                parts.append(tokens[i][at * width : (at + size) * width])
+                places.append(count[: size * width])
+                ends.append(n := n + size)
+                told.append({"doc_id": doc_ids[order[i]], "start": at, "length": size})
+            out.append((shard, row, n, len(own), b"".join([*parts, pad[n * width :]]), b"".join([*places, count[: (length - n) * width]]), ends, told))
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])))
         names = ["shard", "row", "n_tokens", "n_segments", "input_ids", "position_ids", "cu_seqlens", "segments"]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 8, kinds, strict=True)], names=names)
 
-    encoded = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary"))
-    tokens = (encoded.agg(F.sum(F.octet_length("ids")).alias("n")).first()["n"] or 0) // kind.itemsize
-    shard = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(max(1, -(-tokens // shard_tokens)))).cast("int")
-    return encoded.select(shard.alias("shard"), "doc_id", "ids").groupBy("shard").applyInArrow(fill, RESULT)
+    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts_of(text_bytes(docs), shard_bytes))).cast("int")
+    dealt = docs.select(shard.alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return dealt.mapInArrow(encode, "shard int, doc_id long, ids binary").groupBy("shard").applyInArrow(fill, RESULT)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
