@@ -1,29 +1,19 @@
-"""Pieces that several operators share: checkpoints, digests, hot groups and connected components."""
+"""Pieces that several operators share: kept results, digests, hot groups and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailforge.session import checkpoint
+
 #: A side is broadcast only when a count has shown that it has at most so many narrow rows.
 BROADCAST_ROWS = 200_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="trailforge-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def reused(df: DataFrame) -> DataFrame:
     """df, kept on the executors' disks for the several plans that read it; lost blocks are made again from its lineage."""
     return df.persist(StorageLevel.DISK_ONLY)
@@ -61,7 +51,7 @@ def components(edges: DataFrame, each: int = 100_000) -> DataFrame:
     Nodes without edges do not appear.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = checkpoint(pairs)
+    pairs = reused(pairs)
     size = pairs.count()
     if not size:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))

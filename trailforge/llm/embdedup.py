@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import checkpoint, components, merge_labels, mix, reused, runs_of, spread_hot
+from trailforge.llm.common import components, merge_labels, mix, reused, runs_of, spread_hot
 
 #: Share of pairs at the threshold that may share no bucket, and the most tables that hashes are kept for.
 MISSED, MOST_TABLES = 1e-5, 12
@@ -170,7 +170,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, hot: int = HOT_BUC
                 digests.append(whole), data.append(raw), nodes.append(int.from_bytes(whole[:8], "little", signed=True)), dims.append(len(x))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(data, pa.binary()), pa.array(dims, pa.int32())], names=["vec_id", "label", "digest", "node", "v", "dim"])
 
-    rows = checkpoint(typed.mapInArrow(read, "vec_id long, label string, digest binary, node long, v binary, dim int"))
+    rows = reused(typed.mapInArrow(read, "vec_id long, label string, digest binary, node long, v binary, dim int"))
     hashes, tables = plan_tables(threshold, rows.agg(F.max("dim").alias("d")).first()["d"] or 1)
     classes = rows.where("digest IS NOT NULL").groupBy("digest", "node", "label", "v", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
 

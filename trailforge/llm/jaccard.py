@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import checkpoint, components, merge_labels, mix, reused, runs_of, spread_hot
+from trailforge.llm.common import bounded, components, merge_labels, mix, reused, runs_of, spread_hot
 from trailforge.llm.lm import gram_hashes, word_hashes
 
 TREES, DEEPEST = 24, 7
@@ -279,7 +279,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
         if nodes:
             yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(links)), pa.array(np.concatenate(roots))], names=["node", "links", "root"])
 
-    rows = checkpoint(typed.mapInArrow(sign, "doc_id long, digest binary, n_sh long, sig binary"))
+    rows = reused(typed.mapInArrow(sign, "doc_id long, digest binary, n_sh long, sig binary"))
     node = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig")).withColumn("node", node)
     classes = reused(classes)
@@ -289,7 +289,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
     member = classes.select("digest", "node", "rep", "n", "n_sh").join(groups, "node").withColumnRenamed("component", "comp")
     cuts = groups.join(classes.select("node", "n_sh"), "node").groupBy("component").agg(F.ceil(F.sum("n_sh") / BLOCK_SHINGLES).cast("int").alias("nb")).withColumnRenamed("component", "comp")
     member = member.join(cuts, "comp")
-    sets = typed.join(member.select("rep", "digest", "node", "n", "comp", "nb"), typed["doc_id"].eqNullSafe(F.col("rep"))).select("digest", "node", "n", "comp", "nb", "text").mapInArrow(collect, "digest binary, node long, n long, comp long, nb int, shingles binary")
+    wanted = bounded(reused(member.select("rep", "digest", "node", "n", "comp", "nb")))
+    sets = typed.join(wanted, typed["doc_id"].eqNullSafe(F.col("rep"))).select("digest", "node", "n", "comp", "nb", "text").mapInArrow(collect, "digest binary, node long, n long, comp long, nb int, shingles binary")
     blk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int")
     dealt = sets.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("comp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "n", "shingles")
