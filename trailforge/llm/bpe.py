@@ -26,12 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from trailforge.llm.common import give_back
+
 #: White space as Unicode defines it, and what splits a word from its neighbours.
 WHITE = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 
-#: Distinct words kept with their ids in one worker; beyond it the memory is emptied and filled anew.
-WORDS_KEPT = 700_000
+#: Distinct words kept with their ids in one worker; beyond it the memory is emptied and filled anew. Fewer where a worker
+#: has served other stages before.
+WORDS_KEPT, FEWER_WORDS_KEPT = 700_000, 250_000
 BITS, MASK = 20, (1 << 20) - 1  # a token's id below its length, or below the token before it
 END = "\x00"  # marks the end of a word; no byte is written so
 
@@ -103,8 +106,9 @@ class Vocabulary:
 class Encoder:
     """Encodes and decodes texts; keeps what it found for distinct words and pairs, within bounds."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, words_kept: int = WORDS_KEPT):
         v = self.vocabulary = vocabulary
+        self.words_kept = words_kept
         self.automaton = ahocorasick.Automaton()
         self.size = {}
         for token, i in v.usable.items():
@@ -158,8 +162,9 @@ class Encoder:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self.words) > WORDS_KEPT:
+        if len(self.words) > self.words_kept:
             self.words.clear()
+        if len(self.pairs) > WORDS_KEPT:
             self.pairs.clear()
         if self.cut and any(s in text for s in self.vocabulary.special):
             special = self.vocabulary.special
@@ -222,14 +227,15 @@ def broadcast_vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((key, _vocabularies[key]))
 
 
-def encoder_of(shared) -> Encoder:
+def encoder_of(shared, words_kept: int = WORDS_KEPT) -> Encoder:
     key, vocabulary = shared.value
     if key not in _encoders:
         _encoders[key] = Encoder(vocabulary)
+    _encoders[key].words_kept = words_kept
     return _encoders[key]
 
 
-def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, words_kept: int = WORDS_KEPT) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, one row per row of docs; ids on request.
 
     A map over the scan: no shuffle, and memory for one batch of texts and the bounded word memory.
@@ -237,7 +243,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     shared = broadcast_vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared)
+        give_back()
+        encoder = encoder_of(shared, words_kept)
         for batch in batches:
             n, first, second, kept = [], [], [], []
             for text in batch.column(1):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -14,6 +17,13 @@ from trailforge.session import checkpoint
 BROADCAST_ROWS = 200_000
 
 
+def give_back() -> None:
+    """Return what earlier tasks of this worker have freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def reused(df: DataFrame) -> DataFrame:
     """df, kept on the executors' disks for the several plans that read it; lost blocks are made again from its lineage."""
     return df.persist(StorageLevel.DISK_ONLY)
