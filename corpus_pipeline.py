@@ -4,6 +4,10 @@ Language ID lets go of documents without letters or without a language that is l
 frequent lines out of texts; the Jaccard join keeps the first document of each class; decontamination lets go of
 documents that the benchmark covers; encoding returns ids and digests of what is left. All but the last return the
 columns of documents.
+
+Defined cases: rows are judged each by itself, whether their doc_id is null, repeats or is unique; a null or empty text
+has no letters and goes at the first stage; a text that loses all of its lines is empty from then on and stays; of equal
+rows one stays; an empty table passes through; extra columns, also of names that operators use, are kept as they are.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from trailforge.llm import bpe, decontam, jaccard, langid, linededup
 from trailforge.llm.bpe import tokenizer_path
-from trailforge.llm.common import checkpoint
+from trailforge.llm.common import bounded, checkpoint, reused
 from trailforge.session import table
 
 MIN_LANGUAGE_SCORE = 0.5
@@ -34,30 +38,45 @@ def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.withColumns(changed).select(*docs.columns)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number __row of each row, fixed by a checkpoint: decisions are on rows, as a doc_id may be null or repeat."""
-    return checkpoint(docs.withColumn("__row", F.monotonically_increasing_id()))
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with a key __key of each row, and the keys that several rows have, if there are any: decisions are on rows, as a doc_id
+    may be null or repeat. Rows of one key have one doc_id and one text, so they are judged alike; should two others ever
+    share a key, a second hash tells, and rows are numbered through a checkpoint instead."""
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    other = F.xxhash64(F.lit(7), F.col("text"), F.col("doc_id"))
+    again = rows.groupBy("__key").agg(F.count("*").alias("n"), F.min(other).alias("low"), F.max(other).alias("high")).where("n > 1")
+    again = reused(again)
+    if again.isEmpty():
+        return rows, None
+    if not again.where("low <> high").isEmpty():
+        return checkpoint(docs.withColumn("__key", F.monotonically_increasing_id())), None
+    return rows, again.select("__key")
 
 
 def keep_first_of_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class stays: that of least doc_id, a null one last, and then of least hash of its text."""
-    rows = numbered(docs)
-    classes = jaccard.jaccard_join(rows.select(F.col("__row").alias("doc_id"), "text"), size=5, threshold=0.8).select(F.col("doc_id").alias("__row"), F.col("class_id").alias("__class"))
+    rows, again = keyed(docs)
+    classes = jaccard.jaccard_join(rows.select(F.col("__key").alias("doc_id"), "text"), size=5, threshold=0.8).groupBy(F.col("doc_id").alias("__key")).agg(F.min("class_id").alias("__class"))
     doc_id = F.col("doc_id").cast("long")
-    place = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.xxhash64("text").alias("hash"), F.col("__row").alias("row"))
-    first = rows.select("__row", place.alias("__place")).join(classes, "__row").groupBy("__class").agg(F.min("__place")["row"].alias("__row"))
-    return rows.join(first, "__row", "left_semi").select(*docs.columns)
+    place = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.xxhash64("text").alias("hash"), F.col("__key").alias("row"))
+    placed = reused(rows.groupBy("__key").agg(F.min(place).alias("__place")).join(classes, "__key"))
+    first = placed.groupBy("__class").agg(F.min("__place")["row"].alias("__first"))
+    gone = placed.join(first, "__class").where("__key <> __first").select("__key")
+    kept = rows.join(bounded(gone), "__key", "left_anti")
+    if again is not None:  # of equal rows one
+        kept = kept.join(again, "__key", "left_anti").unionByName(kept.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    judged = decontam.judge_documents(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), n=13)
-    gone = judged.where("contaminated").select(F.col("doc_id").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    rows, _ = keyed(docs)
+    judged = decontam.judge_documents(rows.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), n=13)
+    gone = reused(judged.where("contaminated").select(F.col("doc_id").alias("__key")).distinct())
+    return rows.join(bounded(gone), "__key", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, tokenizer_path())
+    return bpe.encode_documents(docs, tokenizer_path(), words_kept=bpe.FEWER_WORDS_KEPT)
 
 
 STAGES = [
