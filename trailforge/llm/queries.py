@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailforge.llm import bpe, decontam, embdedup, jaccard, langid, linededup, lm, packing, substring, unitdedup
+from trailforge.llm import bpe, decontam, embdedup, jaccard, langid, linededup, lm, packing, spelling, substring, unitdedup
 from trailforge.llm.bpe import tokenizer_path
 from trailforge.session import table
 
@@ -159,6 +159,40 @@ FROM keyed LEFT JOIN frequent f USING (k) GROUP BY doc_id
 """
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), min_chars=5, min_count=3, ratio=2)
+
+
+#: The draw is a crc32 bit by bit, least bit first; a code point of a run is one byte or two in UTF-8.
+OP11_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+), each AS (SELECT doc_id, run, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM runs GROUP BY doc_id, run),
+coded AS (
+  SELECT run, n, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)) AS b FROM each
+), drawn AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(b, lambda x: list_transform([0, 1, 2, 3, 4, 5, 6, 7], lambda i: ((x >> i) & 1)::BIGINT)))),
+    lambda c, bit: xor(c >> 1, 3988292384::BIGINT * (xor(c, bit) & 1))), 4294967295::BIGINT) AS h FROM coded
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM drawn
+), v AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3), without AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM without a JOIN without b ON a.i = b.i AND a.k = b.k WHERE a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT a.word, v.word FROM without a JOIN v ON v.word = a.k
+  UNION SELECT v.word, a.word FROM without a JOIN v ON v.word = a.k
+), ranked AS (
+  SELECT a, b, v.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) AS k FROM near JOIN v ON v.word = b
+), forms AS (
+  SELECT v.word, CASE WHEN r.n >= 2 * v.n THEN r.b END AS form, v.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 2 * v.n THEN r.n END AS form_n
+  FROM v LEFT JOIN ranked r ON r.a = v.word AND r.k = 1
+), walk AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.at WHERE forms.form IS NOT NULL
+), roots AS (SELECT walk.word, walk.at AS root FROM walk JOIN forms ON forms.word = walk.at WHERE forms.form IS NULL)
+SELECT forms.word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm": op1_lm,
@@ -171,6 +205,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_unit_dedup": op8_unit_dedup,
         "op2_bpe": op2_bpe,
         "op7_line_dedup": op7_line_dedup,
+        "op11_spelling": op11_spelling,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -181,5 +216,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_embedding_dedup": OP9_SQL,
         "op5_decontam": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
+        "op11_spelling": OP11_SQL,
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
