@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailforge.llm import bpe, decontam, embdedup, jaccard, langid, linededup, lm, packing, spelling, substring, unitdedup
+from trailforge.llm import bpe, collocate, decontam, embdedup, jaccard, langid, linededup, lm, packing, spelling, substring, unitdedup
 from trailforge.llm.bpe import tokenizer_path
 from trailforge.session import table
 
@@ -193,6 +193,37 @@ SELECT forms.word, form, root, n, n_near::BIGINT AS n_near, form_n FROM forms JO
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocate.collocations(table(spark, sf_dir, "documents"), max_words=5, min_count=100, top=2000)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents
+), worded AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY lang),
+f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (SELECT unnest([1, 2, 3, 4, 5]) AS k)) GROUP BY ALL HAVING count(*) >= 100
+), c AS (SELECT lang, phrase, k AS size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_phrases AS (
+  SELECT c.lang, c.a AS around, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM c, (SELECT unnest([2, 3, 4]) AS k) WHERE k < size) c
+), covered AS (SELECT lang, phrase, max(around) AS around FROM inner_phrases GROUP BY lang, phrase),
+kept AS (SELECT c.* FROM c LEFT JOIN covered USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a),
+cuts AS (
+  SELECT kept.lang, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:size], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM kept) kept
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r, n, 1000 * a * n // (x.f * y.f) AS score,
+         row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY 1000 * a * n // (x.f * y.f), cuts.k) AS place
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest JOIN n ON n.lang = cuts.lang
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored WHERE place = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm": op1_lm,
@@ -206,6 +237,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": op2_bpe,
         "op7_line_dedup": op7_line_dedup,
         "op11_spelling": op11_spelling,
+        "op12_collocations": op12_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -217,5 +249,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontam": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
         "op11_spelling": OP11_SQL,
+        "op12_collocations": OP12_SQL,
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
