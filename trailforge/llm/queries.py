@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trailforge.llm import bpe, collocate, decontam, embdedup, jaccard, langid, linededup, lm, packing, spelling, substring, unitdedup
+from trailforge.llm import bpe, collocate, decontam, embdedup, jaccard, langid, linededup, lm, packing, spelling, substring, toxicity, unitdedup
 from trailforge.llm.bpe import tokenizer_path
 from trailforge.session import table
 
@@ -200,7 +200,8 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents
+-
+]')) AS piece FROM documents
 ), worded AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
 n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM worded GROUP BY lang),
 f AS (
@@ -224,6 +225,11 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BI
 """
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm": op1_lm,
@@ -238,6 +244,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op11_spelling": op11_spelling,
         "op12_collocations": op12_collocations,
+        "op13_toxicity": op13_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
