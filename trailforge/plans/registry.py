@@ -25,7 +25,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-MODULES = ("retrieval", "text", "credit", "graph", "evaluation", "extras", "sources", "agents", "tasks")
+def oracle_of(name: str) -> str:
+    """The SQL of a query that must give the same rows; its module has to be imported before."""
+    return _sql[name]
+
+
+MODULES = ("retrieval", "text", "credit", "graph", "evaluation", "extras", "sources", "agents", "tasks", "stores")
 
 
 def _load() -> None:

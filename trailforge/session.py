@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_built: dict[tuple[str, str, int], str] = {}
+
+
+def built(source: DataFrame, name: str, write: Callable[[str], object]) -> str:
+    """The folder of what `write` makes of a table read from files: written once for an application, a name and the files as they are."""
+    spark = source.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = []
+    for f in sorted(source.inputFiles()):
+        place = hadoop.Path(f)
+        status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+        files.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, hash(tuple(files)))
+    if key not in _built:
+        write(path := scratch(spark, name))
+        _built[key] = path
+    return _built[key]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder."""
     shared_folder(df.sparkSession)
