@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.functions import providers, transcripts
+from trailforge.functions import calls, providers, transcripts
 from trailforge.operators import etl, graph
 from trailforge.plans import retrieval
 from trailforge.plans.graph import edges, nodes, with_fan
@@ -80,6 +80,46 @@ def n03(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", transcripts.parse_tool_call(text).alias("c")).select("event_id", "c.name", "c.arguments")
 
 
+@query("N03_final_actions", """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'search' WHEN 5 THEN 'visit' WHEN 7 THEN '' ELSE 'answer' END AS tool,
+  CASE event_id % 8 WHEN 0 THEN replace(props, ' ', '') WHEN 5 THEN concat('{"s":"}{","u":{"id":', user_id, '}}') ELSE '{}' END AS args, event_id % 8 NOT IN (0, 5, 7) AS final,
+  CASE WHEN event_id % 8 IN (0, 5, 7) THEN '' WHEN event_id % 8 = 3 THEN concat('u', user_id) ELSE event_type END AS answer FROM events""")
+def n03_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each format of an evaluated reply, and what wins where two of them stand."""
+    k, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    shapes = (
+        F.concat(F.lit('<tool_call>{"name": "search", "arguments": '), "props", F.lit("}</tool_call> Answer: late")),
+        F.concat(F.lit('<tool_call> {"name": "answer", "arguments": {"text": "'), t, F.lit('"}} </tool_call><answer>late</answer>')),
+        F.concat(F.lit("<tool_call>{broken</tool_call> <answer> "), t, F.lit(' </answer> answer(text="late")')),
+        F.concat(F.lit('so answer(text="u'), u, F.lit('")\nAnswer: late')),
+        F.concat(F.lit("I see\nAnswer: "), t, F.lit('  \n{"tool": "late"}')),
+        F.concat(F.lit('go {"tool": "visit", "args": {"u": {"id": '), u, F.lit('}, "s": "}{"}} }')),
+        F.concat(F.lit('{"tool": "answer", "args": {"text": "'), t, F.lit('"}}')),
+        F.concat(F.lit('{"tool": "'), t),
+    )
+    text = F.coalesce(*[F.when(k % 8 == i, x) for i, x in enumerate(shapes)])
+    return table(spark, sf, "events").select("event_id", calls.action_of(text).alias("c")).select("event_id", "c.*")
+
+
+@query("N03_synthesis_calls", """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'look' WHEN 3 THEN 'go' WHEN 4 THEN 'so' WHEN 6 THEN event_type ELSE '' END AS thought,
+  CASE event_id % 7 WHEN 0 THEN 'search' WHEN 1 THEN 'answer' WHEN 2 THEN 'crop_and_search' WHEN 3 THEN 'read_entity' WHEN 4 THEN 'answer' END AS tool,
+  CASE event_id % 7 WHEN 0 THEN concat('{"query":"', event_type, '"}') WHEN 1 THEN concat('{"text":"', event_type, '"}') WHEN 2 THEN concat('{"bbox":"1, 2","query":"', event_type, '"}')
+    WHEN 3 THEN concat('{"entity_id":"Q', user_id, '"}') WHEN 4 THEN concat('{"text":"', user_id, '"}') END AS args FROM events""")
+def n03_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Each format of a synthesis reply: named calls, keywords, places, answers, and thoughts alone."""
+    k, u, t = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    shapes = (
+        F.concat(F.lit('Thought: look call:default_api:search{"query": "'), t, F.lit('"} answer("late")')),
+        F.concat(F.lit('call:answer{"answer": "'), t, F.lit('"}')),
+        F.concat(F.lit("Action: crop_and_search(query='first', bbox=[1, 2], query=\""), t, F.lit('")')),
+        F.concat(F.lit('go\n```python\nread_entity("Q'), u, F.lit('")\n```')),
+        F.concat(F.lit("Reasoning: so answer("), u, F.lit(" )")),
+        F.lit("</think> answer( )"),
+        F.concat(F.lit("Think: "), t),
+    )
+    text = F.coalesce(*[F.when(k % 7 == i, x) for i, x in enumerate(shapes)])
+    return table(spark, sf, "events").select("event_id", calls.synthesis_call(text).alias("c")).select("event_id", "c.*")
+
+
 @query("N04_kwargs", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat('it''s \"', event_type, '\"') ELSE NULL END AS q, CASE WHEN event_id % 3 = 2 THEN concat('v', event_id) ELSE event_id::VARCHAR END AS n FROM events")
 def n04(spark: SparkSession, sf: str) -> DataFrame:
     """Double quotes, escapes in double and single quotes, bare values, a missing key."""
