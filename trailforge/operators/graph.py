@@ -73,20 +73,34 @@ def distinguishing(edges: DataFrame, properties: DataFrame, inward: DataFrame |
     return ranked.select("parent", "via", "target", "direction", "pid", "value")
 
 
+#: Ends that one mask stands for.
+MASK_BITS = 63
+
+
 def reachable_within(samples: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(sample, hops): the least number of out edges, up to depth, from each sample's anchor to its answer.
 
-    All samples advance together: one join and one distinct for each level; a sample that has arrived leaves the frontier.
+    Nodes carry masks, a bit for each of MASK_BITS ends, that say which ends they can reach (or are reached from): a level is a join with
+    the edges and a bitwise or of the masks by node, with a part of it before the shuffle, so a hub sends one row for each task
+    and mask. The ends are the answers, and levels go against the edges, or the anchors if there are fewer of them. Samples meet
+    the masks once, at the end; edges may repeat.
     """
-    step = edges.select(F.col("head").alias("node"), F.col("tail").alias("next")).distinct()
-    frontier = samples.select("sample", F.col("anchor").alias("node"), "answer")
-    found = None
+    own = samples.select("sample", "anchor", "answer")
+    sides = own.agg(F.approx_count_distinct("anchor").alias("anchors"), F.approx_count_distinct("answer").alias("answers")).first()
+    end, start = ("answer", "anchor") if sides["answers"] <= sides["anchors"] else ("anchor", "answer")
+    one, other = ("tail", "head") if end == "answer" else ("head", "tail")
+    step = edges.select(F.col(one).alias("from"), F.col(other).alias("to"))
+    place = F.monotonically_increasing_id()
+    ends = checkpoint(own.select(F.col(end).alias("end")).where(F.col("end").isNotNull()).distinct().select("end", place.alias("k")))
+    ends = ends.select("end", F.floor(F.col("k") / MASK_BITS).alias("mask"), F.expr(f"shiftleft(1L, cast(k % {MASK_BITS} as int))").alias("bit"))
+    front = ends.select(F.col("end").alias("from"), "mask", F.col("bit").alias("bits"))
+    levels = None
     for hops in range(1, depth + 1):
-        frontier = frontier.join(step, "node").select("sample", F.col("next").alias("node"), "answer").distinct()
-        here = frontier.where("node = answer").select("sample", F.lit(hops).alias("hops"))
-        found = here if found is None else found.union(here)
-        frontier = frontier.where("node <> answer")
-    return found.groupBy("sample").agg(F.min("hops").alias("hops"))
+        front = step.join(front, "from").groupBy("to", "mask").agg(F.bit_or("bits").alias("bits")).select(F.col("to").alias("from"), "mask", "bits")
+        here = front.select(F.col("from").alias(start), "mask", "bits", F.lit(hops).alias("hops"))
+        levels = here if levels is None else levels.union(here)
+    asked = own.join(bounded(ends), own[end] == ends["end"]).select("sample", start, "mask", "bit")
+    return asked.join(levels, [start, "mask"]).where(F.col("bits").bitwiseAND(F.col("bit")) != 0).groupBy("sample").agg(F.min("hops").alias("hops"))
 
 
 def paths(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:

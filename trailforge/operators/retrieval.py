@@ -183,6 +183,36 @@ def title_search(arts: DataFrame, queries: DataFrame, tokens, k: int = 5, exact_
     return exact.unionByName(top_k(scored, k))
 
 
+#: Rarest tokens of a query that seed its first candidates.
+SEEDS = 2
+
+
+def best_overlap(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, best): the most distinct tokens that a query (qid, tokens) shares with any text (doc_id, tokens); both without repeats.
+
+    The texts that hold a query's rarest tokens give an overlap that the best one has at least. A text that shares more must hold
+    one of the query's tokens outside the so many most frequent ones, so only those that do, and that have tokens enough, are looked
+    at (a prefix filter with tokens by rarity, and a length filter); frequent tokens never make pairs.
+    """
+    spread = texts.select("doc_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    asked = queries.select("qid", F.explode("tokens").alias("token"))
+    df = spread.join(bounded(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("qid").orderBy("df", "token")  # a query's own tokens
+    ranked = checkpoint(asked.join(df, "token").withColumn("place", F.row_number().over(order)).withColumn("of", F.count("*").over(Window.partitionBy("qid"))))
+    sets = queries.select("qid", F.col("tokens").alias("wanted"))
+
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        met = texts.join(bounded(pairs), "doc_id").join(bounded(sets), "qid")
+        return met.groupBy("qid").agg(F.max(F.size(F.array_intersect("tokens", "wanted"))).alias("best"))
+
+    pairs = lambda probes, extra: spread.join(bounded(probes), "token").where(extra).select("qid", "doc_id").distinct()
+    first = checkpoint(overlaps(pairs(ranked.where(F.col("place") <= SEEDS).select("qid", "token"), F.lit(True))))
+    probes = ranked.join(bounded(first), "qid").where((F.col("place") > SEEDS) & (F.col("place") <= F.col("of") - F.col("best"))).select("qid", "token", "best")
+    more = overlaps(pairs(probes, F.col("size") > F.col("best")))
+    found = first.union(more).groupBy("qid").agg(F.max("best").alias("best"))
+    return queries.select("qid").join(found, "qid", "left").select("qid", F.coalesce("best", F.lit(0)).alias("best"))
+
+
 def boost(ranked: DataFrame, gold: DataFrame, factor: float, k: int) -> DataFrame:
     """Scores of gold documents times a factor, ranked again and cut."""
     marked = ranked.join(bounded(gold.select("qid", "doc_id", F.lit(True).alias("gold"))), ["qid", "doc_id"], "left")

@@ -30,14 +30,13 @@ def j09(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J15_title_overlap", "WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+')) AS s FROM documents), q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark) SELECT item_id, max(len(list_intersect(s, t))) AS best FROM a, q GROUP BY item_id")
 def j15(spark: SparkSession, sf: str) -> DataFrame:
-    """The largest overlap of a query with any title, by tokens that meet, not by all pairs."""
+    """The largest overlap of a query with any title: rare tokens first, frequent ones only to count."""
     from trailforge.functions.text import plain_tokens
-    from trailforge.operators.retrieval import bounded
+    from trailforge.operators.retrieval import best_overlap
 
-    title = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(plain_tokens(F.substring_index("text", "\n", 1)))).alias("token"))
-    asked = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(plain_tokens("text"))).alias("token"))
-    met = title.join(bounded(asked), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.max("n").alias("best"))
-    return table(spark, sf, "benchmark").select("item_id").join(met, "item_id", "left").select("item_id", F.coalesce("best", F.lit(0)).alias("best"))
+    titles = table(spark, sf, "documents").select("doc_id", F.array_distinct(plain_tokens(F.substring_index("text", "\n", 1))).alias("tokens"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(plain_tokens("text")).alias("tokens"))
+    return best_overlap(titles, asked).select(F.col("qid").alias("item_id"), "best")
 
 
 @query("W01_ranks", f"WITH {retrieval.BM25} SELECT qid, max(rank) AS last FROM bmr WHERE rank <= 50 GROUP BY qid")

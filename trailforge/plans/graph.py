@@ -37,12 +37,17 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("has_image", hash_number(F.col("qid")) % 2 == 0)
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges as the tables have them; some repeat."""
     out = None
     for src, h, p, t in LINKS:
         rows = table(spark, sf, src).select(F.expr(h).alias("head"), F.lit(p).alias("pid"), F.expr(t).alias("tail"))
         out = rows if out is None else out.union(rows)
-    return out.distinct()
+    return out
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    return links(spark, sf).distinct()
 
 
 def relations(spark: SparkSession) -> DataFrame:
@@ -188,7 +193,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("G03_bfs", f"WITH {BFS} SELECT sample, min(hops) AS hops FROM found GROUP BY sample")
 def g03(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.reachable_within(samples(spark, sf), edges(spark, sf), 3)
+    return graph.reachable_within(samples(spark, sf), links(spark, sf), 3)
 
 
 PATHS = f"""{BASE}, starts AS (SELECT qid FROM nodes WHERE kind = 'C' AND has_image),

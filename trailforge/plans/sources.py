@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from trailforge.operators import etl
 from trailforge.operators.retrieval import bounded, term_frequencies
-from trailforge.plans import retrieval
+from trailforge.plans import retrieval, stores
 from trailforge.plans.registry import query
 from trailforge.session import scratch, table
-from trailforge.sources import readers, sinks
+from trailforge.sources import matrix, readers, sinks
+from trailforge.streaming import results
 
 
 def _lines(df: DataFrame, line: Column, path: str, **options: str) -> str:
@@ -174,19 +175,18 @@ def s15(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("S16_matrix", "SELECT vec_id AS doc_id, len(embedding)::BIGINT AS size, embedding[1]::FLOAT AS head FROM embeddings")
 def s16(spark: SparkSession, sf: str) -> DataFrame:
-    """A matrix of vectors with the ids of its rows."""
-    sinks.vector_store(table(spark, sf, "embeddings").select("vec_id", "embedding"), path := scratch(spark, "matrix"))
-    v = readers.vectors(spark, path, "vec_id", "embedding")
+    """A NumPy matrix with the ids of its rows, written in parts and read by ranges of rows."""
+    matrix.write(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), path := scratch(spark, "matrix"))
+    v = matrix.read(spark, path, columns="doc_id long, vec array<float>", rows=500)
     return v.select("doc_id", F.size("vec").cast("long").alias("size"), F.col("vec")[0].alias("head"))
 
 
 @query("S17_vector_store", "SELECT vec_id, label, (SELECT count(*) FROM embeddings) AS stored FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)")
 def s17(spark: SparkSession, sf: str) -> DataFrame:
-    """A store that is written, counted, and asked for rows by id; V04 asks it by vector."""
-    sinks.vector_store(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), path := scratch(spark, "store"))
-    rows = spark.read.parquet(path)
-    ids = table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"))
-    return readers.lookup(rows.select("vec_id", "label"), ids, "vec_id").crossJoin(F.broadcast(rows.agg(F.count("*").alias("stored"))))
+    """A store that is counted, and asked for rows by id; S17_vector_search asks it by vector."""
+    store = stores.vectors(spark, sf)
+    ids = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
+    return store.get(ids).select(F.col("doc_id").alias("vec_id"), "label", F.lit(store.count()).cast("long").alias("stored"))
 
 
 def screen_files(spark: SparkSession, sf: str) -> str:
@@ -252,8 +252,8 @@ def k04(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("K07_vector_writer", "SELECT vec_id, label, len(embedding)::BIGINT AS size FROM embeddings")
 def k07(spark: SparkSession, sf: str) -> DataFrame:
-    sinks.vector_store(table(spark, sf, "embeddings"), path := scratch(spark, "vectors"))
-    return spark.read.parquet(path).select("vec_id", "label", F.size("embedding").cast("long").alias("size"))
+    """All rows of the store that S17 asks, read from its cells."""
+    return stores.vectors(spark, sf).rows().select(F.col("doc_id").alias("vec_id"), "label", F.size("vec").cast("long").alias("size"))
 
 
 @query("K08_index_probe", f"WITH {retrieval.BM25} SELECT token, count(*) AS df, sum(tf)::BIGINT AS tf FROM post WHERE token IN (SELECT token FROM q) GROUP BY token")
@@ -284,6 +284,30 @@ def k10(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def saved(spark: SparkSession, sf: str) -> str:
+    """Judged orders as they arrive, file by file, in two runs of one stream."""
+    arrived, path, schema = scratch(spark, "arrived"), scratch(spark, "saved"), table(spark, sf, "orders").select("o_orderkey").schema
+    o = table(spark, sf, "orders").select("o_orderkey")
+    for k in (0, 1):
+        o.where(F.col("o_orderkey") % 2 == k).repartition(3).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+        results.save(stream.withColumn("hit", (F.col("o_orderkey") % 3 == 0).cast("int")), path, ("hit",))
+    return path
+
+
+@query("K10_stream", "SELECT o_orderkey, (o_orderkey % 3 = 0)::INT AS hit FROM orders")
+def k10_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stream has saved, each row once."""
+    kind = table(spark, sf, "orders").schema["o_orderkey"].dataType.simpleString()
+    return results.read(spark, saved(spark, sf), f"o_orderkey {kind}, hit int").drop("batch")
+
+
+@query("K10_report", "SELECT count(*) AS evaluated, round(100.0 * sum((o_orderkey % 3 = 0)::INT)::DOUBLE / count(*), 6) AS hit FROM orders")
+def k10_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The running accuracy from the sums of the batches."""
+    return results.report(spark, saved(spark, sf), ("hit",))
+
+
 @query("F20_missing_files", "SELECT n_nationkey FROM nation WHERE n_nationkey % 4 <> 0")
 def f20(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose picture lies in the folder."""

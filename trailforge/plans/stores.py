@@ -5,9 +5,12 @@ A store is built once for a session and table, in the shared folder, and read by
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailforge.functions import table_functions
 from trailforge.functions.text import search_tokens
 from trailforge.operators import retrieval as R
 from trailforge.plans import retrieval
@@ -67,3 +70,11 @@ def k08_blocks(spark: SparkSession, sf: str) -> DataFrame:
 def x09_index(spark: SparkSession, sf: str) -> DataFrame:
     """The same matches as X09 from the documents that the pattern's pieces leave."""
     return R.grep(pieces(spark, sf).matching("license"), "license")
+
+
+@query("X09_table_function", oracle_of("X09_grep"))
+def x09_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    """The same matches by a table function over the parts of a table as they lie, from SQL."""
+    table_functions.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView(view := f"texts_{uuid.uuid4().hex}")
+    return spark.sql(f"SELECT id AS doc_id, n, start, excerpt FROM grep_rows(TABLE(SELECT doc_id AS id, text FROM {view}), 'license', 100, 5)")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.functions import match, providers, text, transcripts
+from trailforge.functions import match, providers, table_functions, text, transcripts
 from trailforge.operators import credit as C
 from trailforge.operators import etl, filters, graph, metrics, retrieval, tasks, world
 from trailforge.plans import credit
@@ -87,25 +89,44 @@ def x26(spark: SparkSession, sf: str) -> DataFrame:
 TURNS = "t AS (SELECT conv_id, role = 'assistant' AS act, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE role <> 'system')"
 
 
-@query("N01_parse_steps", f"""WITH RECURSIVE {TURNS}, s AS (
+N01_SQL = f"""WITH RECURSIVE {TURNS}, s AS (
   SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS step, ''::VARCHAR AS a, ''::VARCHAR AS o FROM conversations
   UNION ALL
   SELECT s.conv_id, t.i, CASE WHEN act AND a <> '' AND o <> '' THEN step + 1 ELSE step END, CASE WHEN act THEN text WHEN act AND o <> '' THEN '' ELSE a END, CASE WHEN NOT act THEN concat(text, ' Q', t.i) WHEN a <> '' AND o <> '' THEN '' ELSE o END FROM s JOIN t ON t.conv_id = s.conv_id AND t.i = s.i + 1
-) SELECT conv_id, step, md5(a) AS action, md5(o) AS observation, CASE WHEN o = '' THEN '' ELSE regexp_extract(o, '(Q\\d+)$', 1) END AS ids FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, step ORDER BY i DESC) = 1""")
-def n01(spark: SparkSession, sf: str) -> DataFrame:
-    """Transcripts written from conversations and parsed into steps, with the entities of each observation."""
+) SELECT conv_id, step, md5(a) AS action, md5(o) AS observation, CASE WHEN o = '' THEN '' ELSE regexp_extract(o, '(Q\\d+)$', 1) END AS ids FROM s QUALIFY row_number() OVER (PARTITION BY conv_id, step ORDER BY i DESC) = 1"""
+
+
+def transcript_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(conv_id, t): conversations written as transcripts with tagged blocks."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     said = F.coalesce("text", F.lit(""))
     c = table(spark, sf, "conversations")
     turns = c.where("role <> 'system'").withColumn("i", F.row_number().over(w))
     block = F.when(F.col("role") == "assistant", F.concat(F.lit("thought <tool_call>"), said, F.lit("</tool_call>"))).otherwise(F.concat(F.lit("<observation>"), said, F.lit(" Q"), "i", F.lit("</observation> and")))
     whole = turns.select("conv_id", F.struct("i", block.alias("b")).alias("b")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["b"]), "\n").alias("t"))
-    rows = c.select("conv_id").distinct().join(whole, "conv_id", "left")
-    steps = rows.select("conv_id", F.explode(transcripts.parse_steps("t")).alias("s")).select("conv_id", "s.*")
+    return c.select("conv_id").distinct().join(whole, "conv_id", "left")
+
+
+def step_digests(steps: DataFrame) -> DataFrame:
     last = F.element_at(F.concat(F.array(F.lit("")), F.col("ids")), -1)
     return steps.select("conv_id", "step", F.md5(F.col("action").cast("binary")).alias("action"), F.md5(F.col("observation").cast("binary")).alias("observation"), last.alias("ids"))
 
 
+@query("N01_parse_steps", N01_SQL)
+def n01(spark: SparkSession, sf: str) -> DataFrame:
+    """Transcripts written from conversations and parsed into steps, with the entities of each observation."""
+    rows = transcript_rows(spark, sf)
+    return step_digests(rows.select("conv_id", F.explode(transcripts.parse_steps("t")).alias("s")).select("conv_id", "s.*"))
+
+
+@query("N01_lateral", N01_SQL)
+def n01_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """The same steps by a table function in a lateral join, from SQL."""
+    table_functions.register(spark)
+    transcript_rows(spark, sf).createOrReplaceTempView(view := f"transcripts_{uuid.uuid4().hex}")
+    return step_digests(spark.sql(f"SELECT v.conv_id, s.* FROM {view} v, LATERAL parse_steps(v.t) s"))
+
+
 ROLL = "r AS (SELECT user_id, (n // 12)::BIGINT AS episode, (n % 12)::INT AS step, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events))"
 
 
