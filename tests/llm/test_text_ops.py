@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -396,6 +397,15 @@ def test_packed_keys_round_trip():
     assert (common.unpack_ints(common.pack_ints(values)) == values).all() and (common.unpack_counts(common.pack_counts(values)) == values).all() and len(common.unpack_counts(common.pack_counts(values[:0]))) == 0
 
 
+def test_a_text_that_repeats_a_rare_pair(spark):
+    began = time.time()
+    docs = spark.createDataFrame([(1, "a b " * 100_000), (2, "a b"), (3, "a b " * 8)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b " * 8)], "item_id long, text string")
+    rows = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"], r["n_near"]) for r in decontam.judge_documents(docs, items).collect()}
+    assert rows == {1: (200_000, 200_000, 1, True, 1), 2: (2, 0, 0, False, 0), 3: (16, 16, 1, True, 1)}
+    assert time.time() - began < 90
+
+
 @pytest.mark.parametrize("run", [lambda d: lm.score_documents(d), lambda d: linededup.dedup_lines(d), lambda d: unitdedup.dedup_units(d), lambda d: bpe.encode_documents(d, bpe.tokenizer_path()), lambda d: langid.predict_documents(d.withColumn("lang", F.lit("en")), langid.fit(d.withColumn("lang", F.lit("en")))), lambda d: decontam.judge_documents(d, d.select(F.col("doc_id").alias("item_id"), "text"))])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], "doc_id long, text string")).count() == 0

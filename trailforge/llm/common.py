@@ -75,9 +75,10 @@ def components(edges: DataFrame, each: int = 100_000) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         pairs = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct().coalesce(files))
-        # done when every node has one neighbour, which is nobody's upper node
-        several = pairs.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-        if several.isEmpty() and pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        # done when every node has one neighbour, which is nobody's upper node: one look at all nodes, once as upper and once as lower
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
+        if seen.where("up > 1 OR (up > 0 AND low = 0)").isEmpty():
             break
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -5,7 +5,8 @@ texts makes the posting list of every term that the benchmark has, (row, p, key,
 word, together with a posting at place -1 that holds each document's number of words. The lists are stored once and
 all that follows reads them alone: term frequencies; the rarest term of each window of `n` consecutive item words;
 the postings of these terms, shifted by the term's place in the item, which say where an item would lie in a document;
-and the intersection of the item's other terms, at their offsets, with the document's list. A window is hit where all
+and the intersection of the item's other terms, at their offsets, with the document's list: a join by document, place
+and term, so a text that repeats a rare term costs its repeats times the item's terms. A window is hit where all
 of its terms stand next to one another.
 
 Proximity matches come from the same lists: an item's two rarest terms that occur at all, within `slop` words of each
@@ -114,13 +115,12 @@ def phrase_hits(index: Index) -> DataFrame:
     few = index.broadcast_rows
     met = index.lists().join(bounded(reused(anchors(index)), few), ["key", "check"]).select("row", "item", (F.col("p") - F.col("q")).alias("offset")).distinct()
     met = reused(met)
-    place = lambda p, key, check: F.concat_ws(":", p.cast("string"), key.cast("string"), check.cast("string"))
-    own = index.lists().join(bounded(met.select("row").distinct(), few), "row", "left_semi").groupBy("row").agg(F.collect_list(place(F.col("p"), F.col("key"), F.col("check"))).alias("places"))
-    both = met.join(own, "row").join(bounded(index.items, few // 50), "item")
-    wanted = F.transform("terms", lambda t, q: place(F.col("offset") + q, t["key"], t["check"]))
-    found = F.transform(F.array_intersect(wanted, F.col("places")), lambda s: F.substring_index(s, ":", 1).cast("int"))
-    need = F.least(F.lit(index.n - 1), F.size("terms"))
-    both = both.select("row", "item_id", "size", need.alias("need"), F.array_sort(found).alias("found"))
+    # every term of a candidate's item at the place where the document should have it; a document's places are not copied to candidates
+    wanted = met.join(bounded(index.items, few // 50), "item").select("row", "item", "item_id", "size", F.size("terms").alias("n_terms"), "offset", F.posexplode("terms").alias("q", "t"))
+    wanted = wanted.select("row", "item", "item_id", "size", "n_terms", "offset", (F.col("offset") + F.col("q")).alias("p"), "t.key", "t.check")
+    own = index.lists().join(bounded(met.select("row").distinct(), few), "row", "left_semi")
+    both = wanted.join(own, ["row", "p", "key", "check"]).groupBy("row", "item", "offset").agg(F.first("item_id").alias("item_id"), F.first("size").alias("size"), F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_set("p")).alias("found"))
+    both = both.withColumn("need", F.least(F.lit(index.n - 1), "n_terms")).where(F.size("found") >= F.col("need"))
     starts = F.filter("found", lambda x, k: F.get("found", k + F.col("need") - 1) == x + F.col("need") - 1)
     both = both.select("row", "item_id", F.least(F.lit(index.n), F.col("size")).alias("width"), starts.alias("s")).where(F.size("s") > 0)
     first = F.filter("s", lambda x, k: (k == 0) | ~F.get("s", k - 1).eqNullSafe(x - 1))
