@@ -12,8 +12,8 @@ pivot the triangle inequality of the Jaccard distance saves work: members within
 it are linked to one another. Large groups are cut into blocks, so that each task holds two blocks' sets.
 
 Words are as in `lm`; a document of fewer words than a shingle has one shingle of all of them. Defined cases: a null
-text or one without words has no shingles and links with nothing; rows that repeat a doc_id are documents of their own;
-extra columns are ignored.
+text or one without words has no shingles and links with nothing; rows that repeat a doc_id or have none are documents of
+their own, and a class of rows without an id has none; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -184,7 +184,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
 
     text_digest tells rows that share a doc_id apart: it is a hash of the shingle set.
     """
-    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     least = prefix_length(threshold, recall)
     apart = _apart(threshold)
 
@@ -205,7 +205,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
                 for r, k in enumerate(full):
                     digest[k] = xxhash.xxh3_128_digest(sets[k].tobytes())
                     sig[k] = bits[r].tobytes() + keys[r].astype("<u8").tobytes() + tails[r].tobytes()
-                yield pa.record_batch([part.column(0), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "digest", "n_sh", "sig"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(digest, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "hash", "digest", "n_sh", "sig"])
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,18 +279,19 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
         if nodes:
             yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(links)), pa.array(np.concatenate(roots))], names=["node", "links", "root"])
 
-    rows = reused(typed.mapInArrow(sign, "doc_id long, digest binary, n_sh long, sig binary"))
+    rows = reused(typed.mapInArrow(sign, "doc_id long, hash long, digest binary, n_sh long, sig binary"))
     node = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
-    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig")).withColumn("node", node)
+    classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"), F.count("*").alias("n"), F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig")).withColumn("node", node)
     classes = reused(classes)
     spread = spread_hot(classes.select("node", "sig").mapInArrow(explode, "key long, node long, tail long, b0 long, b1 long, b2 long"), "key", "node", HOT_NODE)
     near = spread.repartition("key", "bi", "bj").mapInArrow(gather, "a long, b long")
     groups = components(near)
-    member = classes.select("digest", "node", "rep", "n", "n_sh").join(groups, "node").withColumnRenamed("component", "comp")
+    member = classes.select("digest", "node", "first", "n", "n_sh").join(groups, "node").withColumnRenamed("component", "comp")
     cuts = groups.join(classes.select("node", "n_sh"), "node").groupBy("component").agg(F.ceil(F.sum("n_sh") / BLOCK_SHINGLES).cast("int").alias("nb")).withColumnRenamed("component", "comp")
     member = member.join(cuts, "comp")
-    wanted = bounded(reused(member.select("rep", "digest", "node", "n", "comp", "nb")))
-    sets = typed.join(wanted, typed["doc_id"].eqNullSafe(F.col("rep"))).select("digest", "node", "n", "comp", "nb", "text").mapInArrow(collect, "digest binary, node long, n long, comp long, nb int, shingles binary")
+    # one row of each class by its id and its text's hash, so that rows without an id or with the same one meet their own class only
+    wanted = bounded(reused(member.select(F.col("first.doc_id").alias("rep"), F.col("first.hash").alias("rep_hash"), "digest", "node", "n", "comp", "nb")))
+    sets = typed.join(wanted, (typed["hash"] == F.col("rep_hash")) & typed["doc_id"].eqNullSafe(F.col("rep"))).select("digest", "node", "n", "comp", "nb", "text").mapInArrow(collect, "digest binary, node long, n long, comp long, nb int, shingles binary")
     blk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int")
     dealt = sets.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("comp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "n", "shingles")

@@ -8,7 +8,9 @@ For inference the filters are tables: a width-2 response is one lookup by a pair
 of two lookups, so each byte costs three gathers however long the text is.
 
 Defined cases: a null text, or one without letters, is `und` with score 0. A null language or a text without letters
-is never learned from. Without any labelled text every prediction is `und`. Only the text is an input.
+is never learned from. Without any labelled text every prediction is `und`. Rows without a doc_id are not held out, rows that
+repeat one are held out together, and all are predicted each by itself; an empty table gives no rows; extra columns are
+ignored. Only the text is an input.
 """
 
 from __future__ import annotations
@@ -158,7 +160,7 @@ def held_out() -> Column:
 def fit(docs: DataFrame, per_language: int = WINDOWS_PER_LANGUAGE, seed: int = 1) -> Network:
     """Learn from at most per_language windows of each labelled language, one window of a document.
 
-    The sample is by hash of the id at a rate that the counts of languages give, so its expected size is bounded
+    The sample is by hash of id and text, so that rows without an id are drawn each by itself, at a rate that the counts of languages give, so its expected size is bounded
     whatever the size of the table; each window stands at a hashed place of its text.
     """
     own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & ~held_out())
@@ -166,11 +168,11 @@ def fit(docs: DataFrame, per_language: int = WINDOWS_PER_LANGUAGE, seed: int = 1
     if not counts:
         return Network([], [np.zeros((w, 256, FILTERS)) for w in WIDTHS], np.zeros(3 * FILTERS), np.zeros((3 * FILTERS, 0)), np.zeros(0))
     per_language = max(1, min(per_language, WINDOWS_IN_ALL // len(counts)))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 20))
     rates = docs.sparkSession.createDataFrame([(k, min(1 << 20, (per_language << 20) // n + 1)) for k, n in sorted(counts.items())], "lang string, rate long")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.char_length("text") - WINDOW)).cast("int")
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.greatest(F.lit(1), F.char_length("text") - WINDOW)).cast("int")
     drawn = own.withColumn("draw", draw).join(F.broadcast(rates), "lang").where((F.col("draw") < F.col("rate")) & F.col("text").isNotNull())
-    sample = drawn.select("lang", F.substring("text", place + 1, F.lit(WINDOW)).alias("w"), F.xxhash64("doc_id", F.lit(seed + 2)).alias("o"))
+    sample = drawn.select("lang", F.substring("text", place + 1, F.lit(WINDOW)).alias("w"), F.xxhash64("doc_id", "text", F.lit(seed + 2)).alias("o"))
     rows = sorted((r["o"], r["lang"], r["w"].encode()[:WINDOW]) for r in sample.orderBy("o", "lang", "w").limit(2 * per_language * len(counts)).collect())
     rows = [r for r in rows if has_letter(r[2])]
     languages = sorted({r[1] for r in rows})

@@ -11,7 +11,7 @@ lifts its count over the bound. `LineRuns` keeps the same levels as sorted Parqu
 are held against earlier ones; a run is found by the batches it covers, so a merge that is cut off loses nothing.
 
 Defined cases: a null or empty text is one empty line; empty keys are always kept; rows that repeat a doc_id count as
-documents of their own and share the lines they lose; extra columns are ignored.
+documents of their own, as do rows without one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -205,14 +205,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, carry:
     prefix: put before the three new names, for tables that have columns of these names. runs: what earlier batches had; docs
     are added to them, and their lines are judged by all documents so far.
 
-    Lines meet the frequent digests in a join that Spark may split where one line is hot, and each document's
-    dropped digests come back to it by doc_id.
+    Lines meet the frequent digests in a join that Spark may split where one line is hot, and each document's dropped digests
+    come back to it by a hash of its id and text; rows of one hash share what they lose, which only holds frequent lines.
     """
-    lines = docs.select("doc_id", "text").mapInArrow(_own_digests, "doc_id long, digest binary")
+    row = F.xxhash64("doc_id", "text")
+    lines = docs.select(row.alias("row"), "text").mapInArrow(_own_digests, "row long, digest binary")
     frequent = frequent_lines(docs, min_docs, min_chars) if runs is None else runs.add(line_counts(docs, min_chars)).where(F.col("n") + F.col("before") >= min_docs).select("digest")
-    lost = lines.join(frequent, "digest").groupBy(F.col("doc_id").alias("__lost_id")).agg(F.collect_set("digest").alias("__lost"))
-    text_of = docs.select(F.col("doc_id"), *carry, F.col("text"))
-    joined = text_of.join(lost, text_of["doc_id"].eqNullSafe(lost["__lost_id"]), "left").select("doc_id", *carry, "text", "__lost")
+    lost = lines.join(frequent, "digest").groupBy(F.col("row").alias("__row")).agg(F.collect_set("digest").alias("__lost"))
+    text_of = docs.select(F.col("doc_id"), *carry, F.col("text"), row.alias("__row"))
+    joined = text_of.join(lost, "__row", "left").select("doc_id", *carry, "text", "__lost")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry, "text"))
     new = [f"{prefix}{c}" for c in ("n_lines", "n_dropped", "kept")]
 
@@ -241,7 +242,7 @@ def _own_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {k for k in map(line_key, (text or b"").split(b"\n")) if k}
             ids.extend([doc] * len(own))
             found.extend(map(digest, own))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "digest"])
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["row", "digest"])
 
 
 def digest_columns(kept: DataFrame) -> DataFrame:
