@@ -2,12 +2,15 @@
 
 import random
 import re
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from trailforge.functions.text import search_tokens
+from trailforge.operators import graph
 from trailforge.operators import retrieval as R
+from trailforge.plans import graph as graph_plans
 from trailforge.plans import stores
 from trailforge.session import built, scratch, table
 from trailforge.sources.text_index import GramIndex, TextIndex
@@ -129,5 +132,33 @@ def test_folders_of_a_rare_pattern(spark):
 def test_a_store_is_built_once(spark):
     calls = []
     source = table(spark, SF, "region")
-    paths = [built(source, "once", lambda path: calls.append(path)) for _ in range(3)]
-    assert len(calls) == 1 and set(paths) == {calls[0]} and built(table(spark, SF, "nation"), "once", lambda path: calls.append(path)) == calls[1]
+
+    def write(path):
+        calls.append(path)
+        source.write.parquet(path)
+
+    paths = [built(source, "once", write) for _ in range(3)]
+    assert len(calls) == 1 and set(paths) == {calls[0]} and built(table(spark, SF, "nation"), "once", write) == calls[1]
+    shutil.rmtree(calls[0].removeprefix("file:"))
+    assert built(source, "once", write) == calls[2]
+
+
+def test_a_hop_shuffles_the_walks_only(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = SF.replace("sf0.1", "sf0.001")
+        starts = graph_plans.nodes(spark, small).where("kind = 'C' AND has_image").select("qid")
+        found = graph.paths(starts, graph_plans.allowed(spark, small), 3)
+        said = found._jdf.queryExecution().executedPlan().toString()
+        assert said.count("Exchange hashpartitioning") == 3 and said.count("SortMergeJoin") == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_a_batch_of_attempts(spark):
+    rows = [("x", 1), ("y", 2), ("x", 3), ("z", 5), ("w", 9), ("v", 30), ("u", 31)]
+    found = spark.createDataFrame(rows, "end string, attempt long")
+    took = lambda **k: sorted(r["end"] for r in graph.batch(found, ["end"], "attempt", **k).collect())
+    assert took(wanted=10, dry=100) == ["u", "v", "w", "x", "y", "z"] and took(wanted=3, dry=100) == ["x", "y", "z"]
+    assert took(wanted=10, dry=4) == ["w", "x", "y", "z"] and took(wanted=10, dry=3) == ["x", "y", "z"] and took(wanted=10, dry=100, cap=8) == ["x", "y", "z"]

@@ -157,6 +157,22 @@ def walk(starts: DataFrame, edges: DataFrame, hops: int, seed: str = "s") -> Dat
     return done.union(state).select("walk", "path", "pids", "domains", F.size("pids").alias("hops"))
 
 
+def batch(found: DataFrame, key: list[str], attempt: str, wanted: int, dry: int, cap: int | None = None) -> DataFrame:
+    """The rows that a loop of attempts would take (G08): the first attempt of each key, in order of attempts, until `wanted` are taken,
+    `cap` attempts are made (500 for each wanted one, 50,000 at least), or more than `dry` attempts go by without a new one.
+
+    Attempts are numbered from 1. What is taken is at most `wanted` rows, so the look back from each to the one before is on as many.
+    """
+    cap = max(500 * wanted, 50_000) if cap is None else cap
+    rest = [c for c in found.columns if c not in key]
+    first = found.where(F.col(attempt) <= cap).groupBy(*key).agg(F.min(F.struct(attempt, *[c for c in rest if c != attempt])).alias("r")).select(*key, "r.*")
+    taken = first.orderBy(attempt, *key).limit(wanted)
+    one = Window.orderBy(attempt, *key)
+    gap = F.col(attempt) - F.coalesce(F.lag(attempt).over(one), F.lit(0))
+    stopped = F.max((F.col("__gap") > dry).cast("int")).over(one.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return taken.withColumn("__gap", gap).withColumn("__stopped", stopped).where("__stopped = 0").select(*found.columns)
+
+
 def hop_types(images: Column) -> Column:
     """P or K for each hop (G06): the first is P; a later one is P if its node has an image, the one before is K and fewer than
     three are P so far. `images`: whether each hop's node has an image."""

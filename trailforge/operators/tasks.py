@@ -59,6 +59,11 @@ def combo_difficulty(skills: Column) -> Column:
     return F.aggregate(skills, F.lit(0.0), lambda total, s: total + 0.5 + weight(s) + 0.3 * F.size(_needs(s)))
 
 
+def needs_of(skills: Column) -> Column:
+    """How many skills each skill needs."""
+    return F.transform(skills, lambda s: F.size(_needs(s)))
+
+
 def first_unmet(skills: Column) -> Column:
     """(skill, missing) of the first skill that comes before something it needs, null if there is none."""
     unmet = F.transform(skills, lambda s, k: F.struct(s.alias("skill"), F.filter(_needs(s), lambda n: ~F.array_contains(F.slice(skills, 1, k), n)).alias("missing")))

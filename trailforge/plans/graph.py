@@ -9,7 +9,7 @@ from trailforge.operators import filters, graph
 from trailforge.operators.etl import first_of, hash_number
 from trailforge.operators.retrieval import bounded
 from trailforge.plans.registry import query
-from trailforge.session import table
+from trailforge.session import built_table, table
 
 #: Relations of the test graph: id, name, domain, one-to-one, tier.
 RELATIONS = (
@@ -47,7 +47,8 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    return links(spark, sf).distinct()
+    """The stored adjacency: edges without repeats, bucketed and sorted by head, built once for a session and its tables."""
+    return built_table(links(spark, sf), "edges", lambda: links(spark, sf).distinct(), "head")
 
 
 def relations(spark: SparkSession) -> DataFrame:
@@ -55,7 +56,8 @@ def relations(spark: SparkSession) -> DataFrame:
 
 
 def allowed(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.allowed_edges(edges(spark, sf), relations(spark), HUB)
+    """Allowed edges, stored like all edges: a hop shuffles the walks only."""
+    return built_table(links(spark, sf), "allowed", lambda: graph.allowed_edges(edges(spark, sf), relations(spark), HUB), "head")
 
 
 @query("A01_degrees", f"WITH {BASE} SELECT qid, out_deg, in_deg, degree FROM deg")
@@ -309,6 +311,16 @@ def g08(spark: SparkSession, sf: str) -> DataFrame:
     return first_of(ends, ["start", "end"], "walk").orderBy("walk").limit(500)
 
 
+@query("G08_batch_caps", f"""WITH {BASE}, {FAN}, {walk_sql(3, 'batch')}, a AS (SELECT path[1] AS start, path[-1] AS "end", substr(walk, 2)::BIGINT AS attempt FROM walks),
+f AS (SELECT "end", min(attempt) AS attempt FROM a WHERE attempt <= 4000 GROUP BY "end"), t AS (SELECT * FROM f ORDER BY attempt, "end" LIMIT 200),
+g AS (SELECT *, attempt - coalesce(lag(attempt) OVER (ORDER BY attempt, "end"), 0) AS gap FROM t), s AS (SELECT *, max((gap > 12)::INT) OVER (ORDER BY attempt, "end" ROWS UNBOUNDED PRECEDING) AS stopped FROM g)
+SELECT "end", attempt FROM s WHERE stopped = 0""")
+def g08_caps(spark: SparkSession, sf: str) -> DataFrame:
+    """One walk for each end in the order of attempts: at most 200, out of 4,000 attempts, until 12 in a row bring nothing new."""
+    ends = walks(spark, sf, 3, "batch").select(F.element_at("path", -1).alias("end"), F.substring("walk", 2, 20).cast("long").alias("attempt"))
+    return graph.batch(ends, ["end"], "attempt", wanted=200, dry=12, cap=4000)
+
+
 @query("A04_hop_distribution", f"WITH {PATHS}, u AS (SELECT pids FROM p2 UNION ALL SELECT pids FROM p3) SELECT len(pids)::INT AS hops, count(*) AS n, round(avg(len(list_distinct(pids))), 6) AS relations FROM u GROUP BY ALL")
 def a04(spark: SparkSession, sf: str) -> DataFrame:
     starts = nodes(spark, sf).where("kind = 'C' AND has_image").select("qid")

@@ -201,10 +201,14 @@ def a20(spark: SparkSession, sf: str) -> DataFrame:
     return chosen_skills(spark, sf).select("l_orderkey", F.round(d, 6).alias("difficulty"), F.floor(F.round(F.round(d, 6)).cast("int") / 4).cast("int").alias("band"))
 
 
-@query("A20_skill_graph", f"SELECT count(*) AS skills, sum(len(needs))::BIGINT AS needs, round(avg(weight::DOUBLE), 6) AS mean_weight, count(*) FILTER (WHERE len(needs) = 0) AS free FROM {SKILL_ROWS}")
+@query("A20_skill_graph", f"""WITH {CHOSEN}, c AS (SELECT l_orderkey, round(round(0.5::DOUBLE * count(*) + sum(weight::DOUBLE) + sum(0.3::DOUBLE * len(needs)), 6))::INT // 4 AS band, count(*) AS n, count(*) FILTER (WHERE len(needs) = 0) AS free, sum(len(needs)) AS needs FROM l GROUP BY l_orderkey)
+SELECT band, count(*) AS combos, sum(n)::BIGINT AS skills, sum(free)::BIGINT AS free, sum(needs)::BIGINT AS needs FROM c GROUP BY band""")
 def a20_graph(spark: SparkSession, sf: str) -> DataFrame:
-    s = spark.createDataFrame(tasks.SKILLS, "skill string, weight double, needs array<string>")
-    return s.agg(F.count("*").alias("skills"), F.sum(F.size("needs")).alias("needs"), F.round(F.avg("weight"), 6).alias("mean_weight"), F.count_if(F.size("needs") == 0).alias("free"))
+    """How hard the combinations are: their number in each band of difficulty, with their skills, those that need nothing, and all needs."""
+    rows = chosen_skills(spark, sf).select("skills", F.floor(F.round(F.round(tasks.combo_difficulty(F.col("skills")), 6)).cast("int") / 4).cast("int").alias("band"))
+    needs = tasks.needs_of(F.col("skills"))
+    counted = rows.select("band", F.size("skills").alias("n"), F.size(F.filter(needs, lambda k: k == 0)).alias("free"), F.aggregate(needs, F.lit(0), lambda s, k: s + k).alias("needs"))
+    return counted.groupBy("band").agg(F.count("*").alias("combos"), F.sum("n").alias("skills"), F.sum("free").alias("free"), F.sum("needs").alias("needs"))
 
 
 @query("N11_prerequisite_order", f"""WITH {CHOSEN}, m AS (SELECT a.l_orderkey, a.i, a.skill, list_filter(any_value(a.needs), lambda n: NOT list_contains(coalesce(list(b.skill) FILTER (WHERE b.skill IS NOT NULL), []::VARCHAR[]), n)) AS missing FROM l a LEFT JOIN l b ON b.l_orderkey = a.l_orderkey AND b.i < a.i GROUP BY a.l_orderkey, a.i, a.skill),

@@ -65,8 +65,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 _built: dict[tuple[str, str, int], str] = {}
 
 
-def built(source: DataFrame, name: str, write: Callable[[str], object]) -> str:
-    """The folder of what `write` makes of a table read from files: written once for an application, a name and the files as they are."""
+def _once(source: DataFrame, name: str, make: Callable[[], str]) -> str:
+    """The folder that `make` filled for this application, this name and the files of a table as they are; made again if it has gone."""
     spark = source.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
     files = []
@@ -75,12 +75,41 @@ def built(source: DataFrame, name: str, write: Callable[[str], object]) -> str:
         status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
         files.append((f, status.getLen(), status.getModificationTime()))
     key = (spark.sparkContext.applicationId, name, hash(tuple(files)))
-    if key not in _built:
-        write(path := scratch(spark, name))
-        _built[key] = path
+    place = hadoop.Path(_built.get(key, "/"))
+    if key not in _built or not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        _built[key] = make()
     return _built[key]
 
 
+def built(source: DataFrame, name: str, write: Callable[[str], object]) -> str:
+    """The folder of what `write` makes of a table read from files, written once."""
+
+    def make() -> str:
+        write(path := scratch(source.sparkSession, name))
+        return path
+
+    return _once(source, name, make)
+
+
+def built_table(source: DataFrame, name: str, rows: Callable[[], DataFrame], key: str) -> DataFrame:
+    """The rows that `rows` makes of tables read from files, as a table that is bucketed and sorted by a key, written once.
+
+    There are as many buckets as shuffle partitions, so that a join by the key shuffles the other side only.
+    """
+    spark = source.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def title(path: str) -> str:
+        return path.rsplit("/", 1)[-1].replace("-", "_")
+
+    def make() -> str:
+        path = scratch(spark, name)
+        rows().repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(title(path))
+        return path
+
+    return spark.table(title(_once(source, f"{name}-{buckets}", make)))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder."""
     shared_folder(df.sparkSession)
