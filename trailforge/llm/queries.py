@@ -134,7 +134,22 @@ FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), size=5, threshold=0.8)
+    """The hash that tells rows of one doc_id apart is left out: it is the operator's own."""
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), size=5, threshold=0.8).drop("text_digest")
+
+
+OP3_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, least(len(w), 5) AS size, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.size = b.size AND a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k::DOUBLE / (x.n + y.n - k) >= 0.8),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+class AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a), counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, coalesce(n_links, 0)::BIGINT AS n_links, class_id FROM documents JOIN class ON class.a = doc_id LEFT JOIN counted ON counted.a = doc_id
+"""
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +157,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Bytes as pairs of hexadecimal digits; runs of removed bytes are merged from the windows that cover them.
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d)),
+firsts AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT w.doc_id, p FROM w JOIN firsts USING (s) WHERE least < w.doc_id),
+marked AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS fresh FROM gone),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marked) GROUP BY doc_id, g),
+r AS (SELECT doc_id, list(a ORDER BY a) AS aa, list(b ORDER BY a) AS bb, sum(b - a) AS removed FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(len(aa), 0) AS n_spans,
+         array_to_string(list_transform(range(1, coalesce(len(aa), 0) + 2), lambda k: substr(h, 2 * coalesce(bb[k - 1], 0) + 1, 2 * (coalesce(aa[k], len(h) // 2) - coalesce(bb[k - 1], 0)))), '') AS kept
+  FROM d LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM kept
+"""
+
 OP7_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line
@@ -255,6 +287,8 @@ def oracle_sql() -> dict[str, str]:
         "op9_embedding_dedup": OP9_SQL,
         "op5_decontam": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
+        "op3_ngram_jaccard": OP3_SQL,
+        "op10_suffix_dedup": OP10_SQL,
         "op11_spelling": OP11_SQL,
         "op12_collocations": OP12_SQL,
     }
