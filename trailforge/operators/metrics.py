@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailforge.operators.retrieval import bounded
+from trailforge.session import checkpoint
+
 #: Where recall is cut, and the bins of the rank histogram.
 CUTS = (1, 3, 5, 6, 10)
 BINS = (("1", 1, 1), ("2-5", 2, 5), ("6-10", 6, 10), ("11-20", 11, 20), ("21-50", 21, 50), ("51-100", 51, 100), (">100", 101, 1 << 40))
@@ -46,20 +49,43 @@ def report(rows: DataFrame, level: str, **measures: Column) -> DataFrame:
     return g.withColumn("level", F.when(F.col("__g") == 1, "all").otherwise(F.col(level))).drop(level, "__g")
 
 
+#: The names of failures, in the order in which they are looked for, and the coverage that is low.
+FAILURES = ("Success", "FormatOrActionError", "GTNotInCandidates", "NeverOpenedGT", "OpenedGTButNeverCited", "CitedButNotSubmitted", "SubmittedWithLowCoverage", "NeedsManualReview")
+SHOP_FAILURES = ("Success", "FormatOrActionError", "NeverClickedGT_NotInCandidates", "NeverClickedGT", "ClickedGTButFinalWrong", "PossibleNeedsZoomOrCrop", "NeedsManualReview_AfterZoom")
+LOW_COVERAGE = 0.5
+#: Names and bounds of the root causes of lost documents.
+CAUSES = ("no_samples", "mismatch", "top_k_cut", "mismatch_likely")
+LOST_SHARE, FOUND_SHARE, FAR_RANK, CUT_SHARE, NEAR_SHARE = 0.4, 0.5, 50, 0.2, 0.7
+
+
+def _first_of(names: tuple[str, ...], *conditions: Column) -> Column:
+    """The name of the first condition that holds, the last name if none does."""
+    return F.coalesce(*[F.when(c, name) for c, name in zip(conditions, names)], F.lit(names[-1]))
+
+
+def running_mean(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Adds mean: the mean of a value over a group's rows up to this one.
+
+    Rows are dealt to ordered ranges; a range starts from the sums of the group's ranges before it, which are as many rows as the
+    group has ranges. No task holds more than a range, however many rows a group has. order is unique in a group.
+    """
+    dealt = checkpoint(rows.repartitionByRange(group, order).withColumn("__part", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(group, "__part").agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    start = sums.select(group, "__part", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"))
+    here = Window.partitionBy(group, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mean = F.try_divide(F.col("__s") + F.coalesce(F.sum(value).over(here), F.lit(0.0)), F.col("__n") + F.count(value).over(here))
+    return dealt.join(bounded(start), [group, "__part"]).select(*rows.columns, mean.alias("mean"))
+
+
 def failure_bucket(success: Column, malformed: Column, in_candidates: Column, opened: Column, cited: Column, submitted: Column, coverage: Column) -> Column:
     """The first thing that went wrong."""
-    return (
-        F.when(success, "Success").when(malformed, "FormatOrActionError").when(~in_candidates, "GTNotInCandidates").when(~opened, "NeverOpenedGT")
-        .when(~cited, "OpenedGTButNeverCited").when(~submitted, "CitedButNotSubmitted").when(coverage < 0.5, "SubmittedWithLowCoverage").otherwise("NeedsManualReview")
-    )
+    return _first_of(FAILURES, success, malformed, ~in_candidates, ~opened, ~cited, ~submitted, coverage < LOW_COVERAGE)
 
 
 def shopping_failure(success: Column, malformed: Column, in_candidates: Column, clicked: Column, bought: Column, zoomed: Column) -> Column:
     """The first thing that went wrong in the shopping world."""
-    return (
-        F.when(success, "Success").when(malformed, "FormatOrActionError").when(~in_candidates, "NeverClickedGT_NotInCandidates").when(~clicked, "NeverClickedGT")
-        .when(bought, "ClickedGTButFinalWrong").when(~zoomed, "PossibleNeedsZoomOrCrop").otherwise("NeedsManualReview_AfterZoom")
-    )
+    return _first_of(SHOP_FAILURES, success, malformed, ~in_candidates, ~clicked, bought, ~zoomed)
 
 
 def root_cause(best: DataFrame) -> DataFrame:
@@ -67,9 +93,9 @@ def root_cause(best: DataFrame) -> DataFrame:
     rank = F.col("rank")
     s = best.agg(F.count("*").alias("total"), F.count_if(rank > 100).alias("lost"), *[F.count_if(rank <= k).alias(f"top{k}") for k in (6, 20, 50)], F.median(rank).alias("mid"))
     total, found = F.col("total"), F.col("total") - F.col("lost")
-    mismatch = (F.col("lost") >= F.greatest(F.lit(1), F.floor(total * 0.4))) | (found <= total * 0.5) | (F.col("mid") > 50)
-    cut = (F.col("top50") - F.col("top6") >= F.greatest(F.lit(2), F.floor(total * 0.2))) | ((F.col("top20") > F.col("top6")) & (F.col("top50") >= total * 0.7))
-    return s.withColumn("cause", F.when(total == 0, "no_samples").when(mismatch, "mismatch").when(cut, "top_k_cut").otherwise("mismatch_likely"))
+    mismatch = (F.col("lost") >= F.greatest(F.lit(1), F.floor(total * LOST_SHARE))) | (found <= total * FOUND_SHARE) | (F.col("mid") > FAR_RANK)
+    cut = (F.col("top50") - F.col("top6") >= F.greatest(F.lit(2), F.floor(total * CUT_SHARE))) | ((F.col("top20") > F.col("top6")) & (F.col("top50") >= total * NEAR_SHARE))
+    return s.withColumn("cause", _first_of(CAUSES, total == 0, mismatch, cut))
 
 
 def treatment_report(rows: DataFrame, arm: str, parts: dict[str, str]) -> DataFrame:

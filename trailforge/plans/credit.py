@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailforge.operators import credit as C
+from trailforge.operators import metrics
 from trailforge.operators.etl import hash_number
 from trailforge.plans.registry import query
 from trailforge.session import table
@@ -145,8 +146,8 @@ def v20(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("W08_running_accuracy", f"WITH {BASE} SELECT traj, round(avg(outcome) OVER (PARTITION BY question ORDER BY traj ROWS UNBOUNDED PRECEDING), 6) AS accuracy FROM trajs")
 def w08(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("question").orderBy("traj").rowsBetween(Window.unboundedPreceding, 0)
-    return trajectories(spark, sf).select("traj", F.round(F.avg("outcome").over(w), 6).alias("accuracy"))
+    rows = trajectories(spark, sf).select("question", "traj", F.col("outcome").cast("double").alias("outcome"))
+    return metrics.running_mean(rows, "question", "traj", "outcome").select("traj", F.round("mean", 6).alias("accuracy"))
 
 
 @query("W10_action_repeats", f"""WITH {BASE}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY traj ORDER BY step DESC) AS r FROM steps) WHERE r <= 8),
