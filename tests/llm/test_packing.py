@@ -67,3 +67,11 @@ def test_rows_do_not_hang_on_partitions(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, tokenizer_path()).count() == 0
+
+
+def test_positions_of_long_rows(spark):
+    docs = spark.createDataFrame([(1, "a " * 70_000), (2, None)], "doc_id long, text string")
+    rows = packing.pack_documents(docs, tokenizer_path(), length=100_000).collect()
+    assert len(rows) == 1 and rows[0]["n_tokens"] == 70_000
+    places = np.frombuffer(rows[0]["position_ids"], "<u4")
+    assert (places[:70_000] == np.arange(70_000)).all() and (places[70_000:] == np.arange(30_000)).all()

@@ -6,7 +6,8 @@ vocabulary) lists the tokens that end at each position, a memoised pair test pic
 back-pointers give the ids. The work is linear in the length of the word and needs no merge queue.
 
 Defined cases: a null text is the empty text and has no tokens; special tokens that stand in a text become
-their own ids; words of any length are encoded whole.
+their own ids; words of any length are encoded whole; rows without a doc_id, rows that repeat one and repeated rows are
+encoded each by itself; an empty table has no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,11 +8,11 @@ segments are taken from the longest to the shortest, and each goes to the open r
 holds it. A segment tree over the amounts of room finds that row in O(log length).
 
 A row of the result is one row of the id matrix: `input_ids` (little-endian unsigned 16 or 32 bit integers, filled up
-with the pad id), `cu_seqlens` (cumulative segment lengths from 0), `position_ids` (as input_ids; they restart at 0
-with each segment and in the fill) and, for each segment, its document, its first token's place in it and its length.
+with the pad id), `cu_seqlens` (cumulative segment lengths from 0), `position_ids` (as input_ids, but of 32 bits where rows are
+longer than 65,536; they restart at 0 with each segment and in the fill) and, for each segment, its document, its first token's place in it and its length.
 
-Defined cases: a document without tokens has no segment; rows that repeat a doc_id are documents of their own; ties in
-length go by doc_id, then by place; extra columns are ignored.
+Defined cases: a null text or one without tokens has no segment; rows that repeat a doc_id or have none are documents of their
+own; ties in length go by doc_id, null first, then by ids and place; an empty table has no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,6 +92,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, pad_id:
     shared = broadcast_vocabulary(docs.sparkSession, tokenizer)
     wide = max(shared.value[1].shown) > 0xFFFF
     kind = np.dtype("<u4" if wide else "<u2")
+    place_kind = np.dtype("<u4") if length > 1 << 16 else kind
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared)
@@ -104,15 +105,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, pad_id:
         order = sorted((k for k in range(len(ids)) if ids[k]), key=lambda k: (doc_ids[k] is not None, doc_ids[k] or 0, ids[k]))
         tokens, width = [ids[k] for k in order], kind.itemsize
         shard, out = table.column("shard")[0].as_py(), []
-        pad, count = np.full(length, pad_id, kind).tobytes(), np.arange(length, dtype=kind).tobytes()
+        pad, count = np.full(length, pad_id, kind).tobytes(), np.arange(length, dtype=place_kind).tobytes()
         for row, own in enumerate(pack([len(t) // width for t in tokens], length)):
             parts, places, ends, n, told = [], [], [0], 0, []
             for i, at, size in own:
                 parts.append(tokens[i][at * width : (at + size) * width])
-                places.append(count[: size * width])
+                places.append(count[: size * place_kind.itemsize])
                 ends.append(n := n + size)
                 told.append({"doc_id": doc_ids[order[i]], "start": at, "length": size})
-            out.append((shard, row, n, len(own), b"".join([*parts, pad[n * width :]]), b"".join([*places, count[: (length - n) * width]]), ends, told))
+            out.append((shard, row, n, len(own), b"".join([*parts, pad[n * width :]]), b"".join([*places, count[: (length - n) * place_kind.itemsize]]), ends, told))
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])))
         names = ["shard", "row", "n_tokens", "n_segments", "input_ids", "position_ids", "cu_seqlens", "segments"]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 8, kinds, strict=True)], names=names)
