@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailforge.functions import calls, providers, transcripts
 from trailforge.operators import etl, graph
 from trailforge.plans import retrieval
-from trailforge.plans.graph import edges, nodes, with_fan
+from trailforge.plans.graph import links, nodes, with_fan
 from trailforge.plans.registry import query
 from trailforge.session import table
 
@@ -155,5 +155,5 @@ def u09(spark: SparkSession, sf: str) -> DataFrame:
 @query("G03_shortcuts", "SELECT count(*) AS n FROM (SELECT DISTINCT c_custkey, c_nationkey FROM customer)")
 def g03b(spark: SparkSession, sf: str) -> DataFrame:
     """Customers from which their nation is one hop away."""
-    e = edges(spark, sf).where("pid = 'citizen_of'")
+    e = links(spark, sf).where("pid = 'citizen_of'")
     return graph.reachable_within(e.select(F.col("head").alias("sample"), F.col("head").alias("anchor"), F.col("tail").alias("answer")), e, 1).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from trailforge.operators import filters, graph
 from trailforge.operators.etl import first_of, hash_number
 from trailforge.operators.retrieval import bounded
 from trailforge.plans.registry import query
-from trailforge.session import built_table, table
+from trailforge.session import built, built_table, table
 
 #: Relations of the test graph: id, name, domain, one-to-one, tier.
 RELATIONS = (
@@ -48,7 +48,7 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """The stored adjacency: edges without repeats, bucketed and sorted by head, built once for a session and its tables."""
-    return built_table(links(spark, sf), "edges", lambda: links(spark, sf).distinct(), "head")
+    return built_table(links(spark, sf), "edges", lambda buckets: links(spark, sf).repartition(buckets, "head").distinct(), "head")
 
 
 def relations(spark: SparkSession) -> DataFrame:
@@ -56,8 +56,15 @@ def relations(spark: SparkSession) -> DataFrame:
 
 
 def allowed(spark: SparkSession, sf: str) -> DataFrame:
-    """Allowed edges, stored like all edges: a hop shuffles the walks only."""
-    return built_table(links(spark, sf), "allowed", lambda: graph.allowed_edges(edges(spark, sf), relations(spark), HUB), "head")
+    """Allowed edges, from the stored ones and the stored hubs: a hop shuffles the walks only."""
+    e = edges(spark, sf)
+    hubs = built(links(spark, sf), "hubs", lambda path: graph.hubs(e, HUB).write.parquet(path))
+    return graph.allowed_edges(e, relations(spark), spark.read.schema("tail string").parquet(hubs))
+
+
+def fan(spark: SparkSession, sf: str) -> DataFrame:
+    """The fan-out of nodes over allowed edges, stored by node in the buckets of the edges."""
+    return built_table(links(spark, sf), "fan", lambda buckets: graph.fan(allowed(spark, sf)), "tail")
 
 
 @query("A01_degrees", f"WITH {BASE} SELECT qid, out_deg, in_deg, degree FROM deg")
@@ -224,8 +231,9 @@ def j05(spark: SparkSession, sf: str) -> DataFrame:
     loops = edges(spark, sf).where("head = tail").groupBy(F.col("head").alias("middle")).agg(F.count("*").alias("loops"))
     into, out = e.groupBy(F.col("tail").alias("middle")).agg(F.count("*").alias("i")), e.groupBy(F.col("head").alias("middle")).agg(F.count("*").alias("o"))
     all_walks = into.join(out, "middle", "outer").join(loops, "middle", "left").select(F.sum((F.coalesce("i", F.lit(0)) + F.coalesce("loops", F.lit(0))) * F.coalesce("o", F.lit(0))).alias("n"))
-    pairs = e.groupBy("head", "tail").agg(F.count("*").alias("a"))
-    back = pairs.join(pairs.select(F.col("head").alias("tail"), F.col("tail").alias("head"), F.col("a").alias("b")), ["head", "tail"]).select(F.sum(F.col("a") * F.col("b")).alias("b"))
+    # both directions of a pair in one group: each way there has each way back
+    pairs = e.groupBy(F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b")).agg(F.count_if(F.col("head") < F.col("tail")).alias("up"), F.count_if(F.col("head") > F.col("tail")).alias("down"))
+    back = pairs.select(F.sum(2 * F.col("up") * F.col("down")).alias("b"))
     return all_walks.crossJoin(back).select((F.col("n") - F.coalesce("b", F.lit(0))).alias("n"))
 
 
@@ -240,9 +248,7 @@ def md5_sql(*parts: str) -> str:
 
 
 def with_fan(spark: SparkSession, sf: str) -> DataFrame:
-    a = allowed(spark, sf)
-    fan = a.groupBy(F.col("head").alias("tail")).agg(F.count("*").alias("out_edges"))
-    return a.join(fan, "tail", "left").withColumn("out_edges", F.coalesce("out_edges", F.lit(0)))
+    return allowed(spark, sf).join(fan(spark, sf), "tail", "left").withColumn("out_edges", F.coalesce("out_edges", F.lit(0)))
 
 
 @query("G05_edge_weights", f"WITH {BASE}, {FAN}, a AS (SELECT *, {md5_sql('head')} % 2 = 0 AS branching, {md5_sql('tail')} % 4 AS uses FROM allowed LEFT JOIN fan ON qid = tail) SELECT pid, branching, uses::BIGINT AS uses, round({weight_sql('branching', 'uses')}, 6) AS weight, count(*) AS n FROM a GROUP BY ALL")
@@ -278,7 +284,7 @@ def walk_sql(hops: int, seed: str) -> str:
 
 
 def walks(spark: SparkSession, sf: str, hops: int, seed: str) -> DataFrame:
-    return graph.walk(nodes(spark, sf).where("kind = 'C' AND has_image").select("qid"), with_fan(spark, sf), hops, seed)
+    return graph.walk(nodes(spark, sf).where("kind = 'C' AND has_image").select("qid"), allowed(spark, sf), hops, seed, fan(spark, sf))
 
 
 @query("G04_weighted_walk", f"WITH {BASE}, {FAN}, {walk_sql(4, 's')} SELECT walk, array_to_string(path, '>') AS path, array_to_string(pids, '>') AS pids, len(pids)::INT AS hops FROM walks")

@@ -14,7 +14,7 @@ from trailforge.plans import credit
 from trailforge.plans import retrieval as plans
 from trailforge.plans import text as text_plans
 from trailforge.plans.agents import draw, draw_sql
-from trailforge.plans.graph import edges
+from trailforge.plans.graph import links
 from trailforge.plans.registry import query
 from trailforge.session import table
 
@@ -266,20 +266,18 @@ def f22(spark: SparkSession, sf: str) -> DataFrame:
 PROBES = """probe AS (SELECT p_partkey, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey = p_partkey % 100 + 1) THEN 'shortcut' WHEN p_partkey % 5 = 0 THEN 'text_only_solvable' WHEN p_partkey % 11 <> 0 AND p_partkey % 7 = 0 THEN 'vlm_direct_solvable' WHEN p_partkey % 11 <> 0 AND p_partkey % 3 = 0 THEN 'vision_only_solvable' END AS reason FROM part)"""
 
 
-def probed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def probed(spark: SparkSession, sf: str) -> DataFrame:
     """Samples with what each probe would see: the answer's name where a model could tell, else the brand."""
     k, name = F.col("p_partkey"), F.col("p_name")
     tell = lambda n: F.when(k % n == 0, name).otherwise(F.concat(F.lit("by "), "p_brand"))
-    rows = table(spark, sf, "part").select("p_partkey", name.alias("answer"), tell(5).alias("text"), F.when(k % 11 != 0, tell(7)).alias("direct"), F.when(k % 11 != 0, tell(3)).alias("vision"), F.concat(F.lit("P"), k).alias("anchor"), F.concat(F.lit("S"), k % 100 + 1).alias("goal"))
-    e = edges(spark, sf).where("pid = 'supplied_by'")
-    near = graph.reachable_within(rows.select(F.col("p_partkey").alias("sample"), "anchor", F.col("goal").alias("answer")), e, 1)
-    return rows, near
+    return table(spark, sf, "part").select("p_partkey", name.alias("answer"), tell(5).alias("text"), F.when(k % 11 != 0, tell(7)).alias("direct"), F.when(k % 11 != 0, tell(3)).alias("vision"), F.concat(F.lit("P"), k).alias("anchor"), F.concat(F.lit("S"), k % 100 + 1).alias("goal"))
 
 
 @query("F18_probe_order", f"WITH {PROBES} SELECT coalesce(reason, 'passed') AS stage, count(*) AS n FROM probe GROUP BY ALL")
 def f18(spark: SparkSession, sf: str) -> DataFrame:
     """Shortcut, text alone, image and question, image alone: each stage sees only what the one before let through."""
-    rows, near = probed(spark, sf)
+    rows = probed(spark, sf)
+    near = graph.reachable_within(rows.select(F.col("p_partkey").alias("sample"), "anchor", F.col("goal").alias("answer")), links(spark, sf).where("pid = 'supplied_by'"), 1)
     stages = [("text_only_solvable", "text"), ("vlm_direct_solvable", "direct"), ("vision_only_solvable", "vision")]
     return tasks.staged_probes(rows, "p_partkey", near.select(F.col("sample").alias("p_partkey")), stages, providers.EchoChat).groupBy("stage").agg(F.count("*").alias("n"))
 
@@ -287,7 +285,7 @@ def f18(spark: SparkSession, sf: str) -> DataFrame:
 @query("F17_model_probe", "SELECT p_partkey, p_partkey % 5 = 0 AS by_text, p_partkey % 11 <> 0 AND p_partkey % 7 = 0 AS direct, p_partkey % 11 <> 0 AND p_partkey % 3 = 0 AS by_vision FROM part")
 def f17(spark: SparkSession, sf: str) -> DataFrame:
     """Three modes of a stand-in model, each alone: whether it is right; without a picture a probe cannot be."""
-    rows, _ = probed(spark, sf)
+    rows = probed(spark, sf)
     out = rows.select("p_partkey", "answer", "text", "direct", "vision")
     for column, name in (("text", "by_text"), ("direct", "direct_ok"), ("vision", "by_vision")):
         out = tasks.probe(out, column, "answer", name, providers.EchoChat)
