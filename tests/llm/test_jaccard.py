@@ -124,3 +124,12 @@ def test_recall_near_the_threshold(spark):
     got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     found = sum(r["n_links"] for r in got) / 2
     assert want > 200 and 0.995 * want <= found <= want
+
+
+def test_plans_do_not_nest(spark):
+    """Each step's plan ends where its rows were written: only the signatures are read from a cache."""
+    base = " ".join(f"word{k}" for k in range(40))
+    rows = [(k, base + f" tail{k % 3}") for k in range(6)] + [(9, "nothing like the others at all")]
+    found = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("InMemoryRelation") == 1
+    assert {r["class_id"] for r in found.collect()} == {0, 9}

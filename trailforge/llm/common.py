@@ -61,7 +61,7 @@ def components(edges: DataFrame, each: int = 100_000) -> DataFrame:
     Nodes without edges do not appear.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = reused(pairs)
+    pairs = checkpoint(pairs)  # a round reads them eight times, and each would carry the plan that found them
     size = pairs.count()
     if not size:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))

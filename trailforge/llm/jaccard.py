@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from trailforge.llm.common import bounded, components, merge_labels, mix, reused, runs_of, spread_hot
 from trailforge.llm.lm import gram_hashes, word_hashes
+from trailforge.session import checkpoint
 
 TREES, DEEPEST = 24, 7
 HOT_NODE = 20_000
@@ -282,7 +283,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
     rows = reused(typed.mapInArrow(sign, "doc_id long, hash long, digest binary, n_sh long, sig binary"))
     node = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"), F.count("*").alias("n"), F.first("n_sh").alias("n_sh"), F.first("sig").alias("sig")).withColumn("node", node)
-    classes = reused(classes)
+    classes = checkpoint(classes)  # cut here and below: plans that hold one another's plans cost the driver's memory
     spread = spread_hot(classes.select("node", "sig").mapInArrow(explode, "key long, node long, tail long, b0 long, b1 long, b2 long"), "key", "node", HOT_NODE)
     near = spread.repartition("key", "bi", "bj").mapInArrow(gather, "a long, b long")
     groups = components(near)
@@ -290,16 +291,16 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall:
     cuts = groups.join(classes.select("node", "n_sh"), "node").groupBy("component").agg(F.ceil(F.sum("n_sh") / BLOCK_SHINGLES).cast("int").alias("nb")).withColumnRenamed("component", "comp")
     member = member.join(cuts, "comp")
     # one row of each class by its id and its text's hash, so that rows without an id or with the same one meet their own class only
-    wanted = bounded(reused(member.select(F.col("first.doc_id").alias("rep"), F.col("first.hash").alias("rep_hash"), "digest", "node", "n", "comp", "nb")))
+    wanted = bounded(checkpoint(member.select(F.col("first.doc_id").alias("rep"), F.col("first.hash").alias("rep_hash"), "digest", "node", "n", "comp", "nb")))
     sets = typed.join(wanted, (typed["hash"] == F.col("rep_hash")) & typed["doc_id"].eqNullSafe(F.col("rep"))).select("digest", "node", "n", "comp", "nb", "text").mapInArrow(collect, "digest binary, node long, n long, comp long, nb int, shingles binary")
     blk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("nb")).cast("int")
     dealt = sets.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("comp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "n", "shingles")
-    found = reused(dealt.repartition("comp", "bi", "bj").mapInArrow(verify, "node long, links long, root long"))
+    found = checkpoint(dealt.repartition("comp", "bi", "bj").mapInArrow(verify, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.select("digest", "node", "rep", "n").join(links, "node", "left").join(linked, "node", "left")
-    named = reused(named.select("digest", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("c")))
+    named = checkpoint(named.select("digest", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("c")))
     told = named.join(named.groupBy("c").agg(F.min("rep").alias("class_id")), "c").select("digest", "n_links", "class_id")
     out = rows.select("doc_id", "digest").join(told, "digest", "left")
     return out.select("doc_id", F.lower(F.hex("digest")).alias("text_digest"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
