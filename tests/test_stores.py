@@ -121,6 +121,19 @@ def test_grep_by_pieces(spark, pattern):
         assert index.candidates(pattern) is None
 
 
+def test_pieces_are_masks_made_where_texts_are_read(spark):
+    """A document sends no row for each of its pieces: each piece of a range is one row, and every document's pieces are in its masks."""
+    texts = ["abcabc", "xabcé", "", "ab", "\U0001f600\U0001f600ab"] + ["abc" * 50] * 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    index = GramIndex.write(docs, path := scratch(spark, "masks"))
+    stored, own = spark.read.parquet(f"{path}/grams"), {r["doc_id"]: (r["range"], r["bit"]) for r in index.texts().collect()}
+    assert stored.count() == stored.select("gram", "range").distinct().count() <= 4 * 3 + 10
+    held = {(r["gram"], r["range"]): r["docs"] for r in stored.collect()}
+    for doc, text in enumerate(texts):
+        mine = {g for (g, span), mask in held.items() if span == own[doc][0] and mask & own[doc][1]}
+        assert mine == {ord(text[i]) << 42 | ord(text[i + 1]) << 21 | ord(text[i + 2]) for i in range(len(text) - 2)}
+
+
 def test_folders_of_a_rare_pattern(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.md5(F.col("id").cast("string"))).alias("text")).repartition(8)
     index = GramIndex.write(docs, scratch(spark, "rare"))

@@ -13,12 +13,14 @@ those whose bound reaches it are read. No document is lost by that, and the resu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from trailforge.operators.retrieval import bounded, top_k
@@ -105,22 +107,69 @@ class TextIndex:
         return top_k(scores.union(self.score(terms, rest)), k)
 
 
-#: Characters of the pieces that are looked up for a pattern, documents of a range of their lists, folders that hold texts, and
-#: pieces of a pattern that are looked up, the rarest ones.
-GRAM, GRAM_RANGE, TEXT_FOLDERS, GRAMS_ASKED = 3, 1024, 256, 8
-
-
-def grams(text: Column) -> Column:
-    """The distinct pieces of GRAM characters of a text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+#: Characters of the pieces that are looked up for a pattern, documents that one mask stands for, ranges of them whose texts lie in
+#: one folder, folders that hold texts, pieces of a pattern that are looked up, the rarest ones, and characters of several
+#: documents that are cut at a time: as many different ones fit LETTER_BITS.
+GRAM, GRAM_RANGE, FOLDER_RANGES, TEXT_FOLDERS, GRAMS_ASKED, LETTER_BITS, CHARACTERS = 3, 64, 16, 256, 8, 19, 1 << 19
+
+
+def numbered(points: np.ndarray) -> np.ndarray:
+    """The pieces of three code points at each place, as numbers."""
+    points = points.astype(np.int64)
+    return points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+
+
+def grams(text: str) -> list[int]:
+    """The distinct pieces of a pattern."""
+    return sorted(set(numbered(np.frombuffer(text.encode("utf-32-le"), np.uint32)).tolist()))
+
+
+def _masks(texts: list[str], sizes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of some texts of one range, CHARACTERS in all unless it is one text, and the mask of each."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    if len(texts) == 1:
+        pieces = np.unique(numbered(points))
+        return pieces, np.full(len(pieces), bits[0])
+    if len(points) < GRAM:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    seen = np.zeros(int(points.max()) + 1, bool)
+    seen[points] = True
+    letters, rank = np.flatnonzero(seen), np.cumsum(seen) - 1
+    codes, place = rank[points], np.repeat(np.arange(len(texts)), sizes)
+    codes = ((codes[:-2] << LETTER_BITS | codes[1:-1]) << LETTER_BITS | codes[2:]) << 6 | place[2:]  # a range has 64 documents at most
+    codes = np.sort(codes[place[:-2] == place[2:]])
+    if not len(codes):
+        return codes, codes
+    triples = codes >> 6
+    starts = np.flatnonzero(np.concatenate([[True], triples[1:] != triples[:-1]]))
+    docs, triples, low = np.bitwise_or.reduceat(bits[codes & 63], starts), triples[starts], (1 << LETTER_BITS) - 1
+    return letters[triples >> 2 * LETTER_BITS] << 42 | letters[triples >> LETTER_BITS & low] << 21 | letters[triples & low], docs
+
+
+def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, range, docs) of texts (range, bit, text): a mask of the documents of a range that have a piece. A range whose documents
+    do not lie together has several masks of a piece, with other documents in each."""
+    for batch in batches:
+        ranges, bits, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begin = 0
+        while begin < len(texts):
+            end, room = begin + 1, CHARACTERS - sizes[begin]
+            while end < len(texts) and ranges[end] == ranges[begin] and sizes[end] <= room:
+                room, end = room - sizes[end], end + 1
+            pieces, docs = _masks(texts[begin:end], sizes[begin:end], bits[begin:end])
+            yield pa.record_batch([pa.array(pieces), pa.array(np.full(len(pieces), ranges[begin])), pa.array(docs)], names=["gram", "range", "docs"])
+            begin = end
 
 
 @dataclass
 class GramIndex:
     """Lower-cased texts by their pieces of three characters: a pattern is looked for only where all of its pieces stand.
 
-    grams    (gram, range, doc_ids), sorted by gram: the documents of a range that have a piece
-    texts    (doc_id, text, folder): the texts, in folders by range
+    texts    (doc_id, text, range, bit, folder): the texts, in folders by range, with the bit that each has in its range's masks
+    grams    (gram, range, docs), sorted by gram: masks of the documents of a range that have a piece
+
+    Masks are made where texts are read, from the stored texts, so a document sends no row for each of its pieces.
     """
 
     spark: SparkSession
@@ -129,39 +178,41 @@ class GramIndex:
     @staticmethod
     def write(docs: DataFrame, path: str) -> GramIndex:
         """Index docs (doc_id, text)."""
-        own = docs.where(F.col("text").isNotNull()).select("doc_id", "text").withColumn("range", F.floor(F.monotonically_increasing_id() / GRAM_RANGE))
-        own = own.withColumn("folder", F.pmod("range", F.lit(TEXT_FOLDERS)).cast("int"))
-        each = own.select("range", "folder", "doc_id", F.explode(grams(F.lower("text"))).alias("gram"))
-        lists = each.groupBy("gram", "range", "folder").agg(F.collect_list("doc_id").alias("doc_ids"))  # GRAM_RANGE documents at most
-        lists.repartitionByRange("gram", "range").sortWithinPartitions("gram", "range").write.mode("overwrite").parquet(f"{path}/grams")
-        own.select("doc_id", "text", "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/texts")
-        docs.sparkSession.read.parquet(f"{path}/grams").groupBy("gram").agg(F.sum(F.size("doc_ids")).alias("df")).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/sizes")
-        docs.where(F.col("text").isNotNull()).select("doc_id", "text").limit(0).write.mode("overwrite").parquet(f"{path}/schema")
-        return GramIndex(docs.sparkSession, path)
+        spark = docs.sparkSession
+        own = docs.where(F.col("text").isNotNull()).select("doc_id", "text").withColumn("k", F.monotonically_increasing_id()).withColumn("range", F.floor(F.col("k") / GRAM_RANGE))
+        own = own.withColumn("bit", F.expr(f"shiftleft(1L, cast(k % {GRAM_RANGE} as int))")).withColumn("folder", F.pmod(F.floor(F.col("range") / FOLDER_RANGES), F.lit(TEXT_FOLDERS)).cast("int")).drop("k")
+        own.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/texts")
+        own.limit(0).write.mode("overwrite").parquet(f"{path}/schema")
+        index = GramIndex(spark, path)
+        found = index.texts().select("range", "bit", F.lower("text").alias("text")).mapInArrow(masks, "gram long, range long, docs long")
+        found.repartition("gram").sortWithinPartitions("gram", "range").write.mode("overwrite").parquet(f"{path}/grams")
+        return index
 
     def texts(self) -> DataFrame:
-        """(doc_id, text, folder) of all documents."""
-        schema = self.spark.read.parquet(f"{self.path}/schema").schema.add("folder", T.IntegerType())
-        return self.spark.read.schema(schema).parquet(f"{self.path}/texts")
+        """(doc_id, text, range, bit, folder) of all documents."""
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.path}/schema").schema).parquet(f"{self.path}/texts")
 
-    def candidates(self, pattern: str) -> DataFrame | None:
-        """(doc_id, folder) of documents that have the rarest pieces of a pattern; None where the pattern has none."""
-        wanted = pattern.lower()
-        pieces = sorted({wanted[i : i + GRAM] for i in range(len(wanted) - GRAM + 1)})
+    def _found(self, pattern: str) -> DataFrame | None:
+        """The texts that have the rarest pieces of a pattern; only the folders that hold some are read. None where it has no pieces."""
+        pieces = grams(pattern.lower())
         if not pieces:
             return None
-        asked = bounded(self.spark.createDataFrame([(p,) for p in pieces], "gram string"))
-        sizes = self.spark.read.parquet(f"{self.path}/sizes").join(asked, "gram").orderBy("df", "gram").limit(GRAMS_ASKED).collect()
+        stored = self.spark.read.parquet(f"{self.path}/grams")
+        sizes = stored.where(F.col("gram").isin(pieces)).groupBy("gram").agg(F.sum(F.bit_count("docs")).alias("df")).orderBy("df", "gram").limit(GRAMS_ASKED).collect()
         known = sizes if len(sizes) == min(len(pieces), GRAMS_ASKED) else []  # a piece that no text has
         rarest = [r["gram"] for r in known]
-        lists = self.spark.read.parquet(f"{self.path}/grams").where(F.col("gram").isin(rarest))
-        return lists.select("folder", F.explode("doc_ids").alias("doc_id")).groupBy("doc_id", "folder").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("doc_id", "folder")
+        each = stored.where(F.col("gram").isin(rarest)).groupBy("range", "gram").agg(F.bit_or("docs").alias("docs"))
+        found = each.groupBy("range").agg(F.count("*").alias("n"), F.bit_and("docs").alias("docs")).where((F.col("n") == len(rarest)) & (F.col("docs") != 0)).select("range", "docs").persist(StorageLevel.DISK_ONLY)
+        folder = F.pmod(F.floor(F.col("range") / FOLDER_RANGES), F.lit(TEXT_FOLDERS)).cast("int")
+        folders = [r["folder"] for r in found.select(folder.alias("folder")).distinct().collect()]  # TEXT_FOLDERS at most
+        return self.texts().where(F.col("folder").isin(folders)).join(bounded(found), "range").where(F.col("docs").bitwiseAND(F.col("bit")) != 0)
+
+    def candidates(self, pattern: str) -> DataFrame | None:
+        """(doc_id, folder) of documents that have the rarest pieces of a pattern; None where the pattern has none."""
+        found = self._found(pattern)
+        return None if found is None else found.select("doc_id", "folder")
 
     def matching(self, pattern: str) -> DataFrame:
         """(doc_id, text) of the documents in which the pattern may stand; only the folders that have some are read."""
-        found = self.candidates(pattern)
-        if found is None:
-            return self.texts().select("doc_id", "text")
-        found = found.persist(StorageLevel.DISK_ONLY)
-        folders = [r["folder"] for r in found.select("folder").distinct().collect()]  # TEXT_FOLDERS at most
-        return self.texts().where(F.col("folder").isin(folders)).join(bounded(found.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+        found = self._found(pattern)
+        return (self.texts() if found is None else found).select("doc_id", "text")
