@@ -69,3 +69,9 @@ def test_walks_there_and_back_and_siblings_need_few_shuffles(spark, no_broadcast
 def test_no_graph_is_stored_for_one_hop_of_one_relation(spark, monkeypatch, name):
     monkeypatch.setattr(session, "_built", {})
     assert registry.queries()[name](spark, SF).count() and not session._built
+
+
+def test_a_hop_sorts_the_walks_only(spark, no_broadcasts):
+    starts = graph_plans.nodes(spark, no_broadcasts).where("kind = 'C' AND has_image").select("qid")
+    found = graph.paths(starts, graph_plans.allowed(spark, no_broadcasts), 3)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 3
