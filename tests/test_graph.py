@@ -75,3 +75,12 @@ def test_a_hop_sorts_the_walks_only(spark, no_broadcasts):
     starts = graph_plans.nodes(spark, no_broadcasts).where("kind = 'C' AND has_image").select("qid")
     found = graph.paths(starts, graph_plans.allowed(spark, no_broadcasts), 3)
     assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 3
+
+
+def test_distinguishing_needs_no_stored_graph(spark, monkeypatch):
+    monkeypatch.setattr(session, "_built", {})
+    found = registry.queries()["J07_distinguishing"](spark, SF)
+    assert not session._built
+    links, kept = graph_plans.links(spark, SF), ["placed", "contains"]
+    e = links.where(links["pid"].isin(kept)).distinct()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, graph.distinguishing(e.where("pid = 'placed'"), e.where("pid = 'contains'"), e).collect()))

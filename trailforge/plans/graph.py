@@ -168,8 +168,8 @@ own AS (SELECT parent, via, direction, pid, value, min(target) AS target FROM h
 r AS (SELECT *, row_number() OVER (PARTITION BY parent, via, target ORDER BY direction DESC, pid, value) AS n, count(*) FILTER (WHERE direction = 'out') OVER (PARTITION BY parent, via, target) AS outward FROM own WHERE (parent, via) IN (SELECT parent, via FROM g GROUP BY ALL HAVING count(*) > 1))
 SELECT parent, via, target, direction, pid, value FROM r WHERE n <= 5 AND (direction = 'out' OR outward < 3)""")
 def j07(spark: SparkSession, sf: str) -> DataFrame:
-    """What only one of a customer's orders has: parts first, then, where they are few, who points at it."""
-    e = edges(spark, sf)
+    """What only one of a customer's orders has: parts first, then, where they are few, who points at it. Links may repeat, so no graph is stored."""
+    e = links(spark, sf)
     return graph.distinguishing(e.where("pid = 'placed'"), e.where("pid = 'contains'"), e.where("pid IN ('placed', 'contains')"))
 
 
