@@ -1,6 +1,7 @@
 """Queries over whole tables and whole texts, held against plain Python and DuckDB."""
 
 import hashlib
+import math
 
 import duckdb
 import pytest
@@ -82,3 +83,20 @@ def test_every_node_has_its_neighbours(spark, duck):
 @pytest.mark.parametrize("name", "G07_accepted_walks G09_paths G04_weighted_walk G08_batch_walks D02_difference J07_distinguishing U13_episode_log U04_retry_controller".split())
 def test_queries_that_must_find_something(spark, duck, name):
     assert same_as_sql(spark, duck, name)
+
+
+def test_a_relaxed_attempt_looks_further(spark, tmp_path):
+    """Query 20: documents 1 to 19 and 61 lead its words, the untitled 20 to 39 its vector, and 40 to 59 stand 21st to 40th in both lists."""
+    words = {**{k: k for k in range(1, 20)}, 61: 20, **{k: k - 19 for k in range(40, 60)}}
+    documents = [(k, f"river{' filler' * words[k]}" if k in words else "") for k in range(1, 62)]
+    vectors = [(k, [math.cos((k - 20) / 60), math.sin((k - 20) / 60)]) for k in range(20, 60)]
+    con = duckdb.connect()
+    for name, kind, found in (("documents", "doc_id BIGINT, text VARCHAR", documents), ("embeddings", "vec_id BIGINT, embedding DOUBLE[]", vectors), ("benchmark", "item_id BIGINT, text VARCHAR", [(20, "river"), (7, "river"), (8, "brook")])):
+        con.execute(f"CREATE TABLE {name} ({kind})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", found)
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    columns = ("qid", "strategy", "grade", "attempts", "retried")
+    got = sorted(tuple(r[c] for c in columns) for r in registry.queries()["U04_retry_controller"](spark, str(tmp_path)).collect())
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()['U04_retry_controller']}) ORDER BY qid").fetchall()
+    assert got == want
+    assert (20, "relaxed_topk", "A", 2, True) in got and (7, "text_hybrid", "A", 1, False) in got and (8, "text_hybrid", "F", 3, True) in got
